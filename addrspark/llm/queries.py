@@ -8,16 +8,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op8_bpe
 from .decontaminate import op6_decontamination
+from .quality_rules import OP5_SQL, op5_quality_rules
 from .simhash import op3_simhash
+from .toxicity import op1_toxicity
+from .url_lm import OP10_SQL, op10_url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_toxicity": op1_toxicity,
         "op3_simhash": op3_simhash,
+        "op5_quality_rules": op5_quality_rules,
         "op6_decontamination": op6_decontamination,
         "op8_bpe": op8_bpe,
+        "op10_url_filter": op10_url_filter,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_quality_rules": OP5_SQL, "op10_url_filter": OP10_SQL}

@@ -21,8 +21,8 @@ SYMBOLS = "abcdefghijklmnopqrstuvwxyz0./-_%=&+:~"
 SIZE = 40
 #: Weight of the next lower order, and of each symbol at the lowest.
 BACK, FLOOR = 4.0, 0.5
-#: One URL in this many is held out for calibration.
-FOLDS = 5
+#: URLs whose MD5 starts with one of these digits are held out for calibration.
+HELD = ("0", "1", "2")
 
 
 def parsed(df: DataFrame, url: str = "url") -> DataFrame:
@@ -59,7 +59,7 @@ def grams() -> Column:
 
 
 def held_out() -> Column:
-    return F.crc32(F.concat("host", "path")) % FOLDS == 0
+    return F.substring(F.md5(F.concat("host", "path").cast("binary")), 1, 1).isin(*HELD)
 
 
 def ratios(rows: DataFrame) -> DataFrame:
@@ -112,6 +112,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), ["page_id"]).select("page_id", "host", "path", "rule", "verdict")
 
 
+_ORDER = "^$*" + SYMBOLS
 _CASE = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 OP10_SQL = rf"""
 WITH u AS (SELECT row_number() OVER () AS k, page_id, coalesce(url, '') AS u FROM pages),
@@ -126,5 +127,24 @@ d AS (SELECT *, CASE
 t AS (SELECT *, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS decided,
       '^^' || regexp_replace(regexp_replace(lower(host || path), '[0-9]', '0', 'g'), '[^a-z0./_%=&+:~-]', '*', 'g') || '$' AS s FROM d),
 c AS (SELECT k, decided, s, host || path AS hp, unnest(range(3, length(s) + 1)) AS i FROM t),
-n AS (SELECT k, decided, hp, instr('^$*{SYMBOLS}', substr(s, i - 2, 1)) - 1 AS a, instr('^$*{SYMBOLS}', substr(s, i - 1, 1)) - 1 AS b, instr('^$*{SYMBOLS}', substr(s, i, 1)) - 1 AS c FROM c),
+n AS (SELECT k, decided, hp, strpos('{_ORDER}', substr(s, i - 2, 1)) - 1 AS a, strpos('{_ORDER}', substr(s, i - 1, 1)) - 1 AS b, strpos('{_ORDER}', substr(s, i, 1)) - 1 AS c,
+      substr(md5(hp), 1, 1) IN ('0', '1', '2') AS held FROM c),
+x AS (SELECT decided, a, b, c, count(*) AS n3 FROM n WHERE decided IS NOT NULL AND NOT held GROUP BY ALL),
+x2 AS (SELECT decided, b, c, sum(n3) AS n2 FROM x GROUP BY ALL),
+xb AS (SELECT decided, b, sum(n3) AS nb FROM x GROUP BY ALL),
+xab AS (SELECT decided, a, b, sum(n3) AS nab FROM x GROUP BY ALL),
+x1 AS (SELECT decided, c, sum(n3) AS n1 FROM x GROUP BY ALL),
+x0 AS (SELECT decided, sum(n3) AS n FROM x GROUP BY ALL),
+w AS (SELECT x0.decided, x0.n, a, b, c FROM x0, (SELECT DISTINCT a, b, c FROM n)),
+l AS (SELECT w.a, w.b, w.c, w.decided,
+        ln((coalesce(n3, 0) + {BACK} * ((coalesce(n2, 0) + {BACK} * ((coalesce(n1, 0) + {FLOOR}) / (w.n + {FLOOR} * {SIZE}))) / (coalesce(nb, 0) + {BACK}))) / (coalesce(nab, 0) + {BACK})) AS l
+      FROM w LEFT JOIN x ON x.decided = w.decided AND x.a = w.a AND x.b = w.b AND x.c = w.c
+      LEFT JOIN x2 ON x2.decided = w.decided AND x2.b = w.b AND x2.c = w.c LEFT JOIN x1 ON x1.decided = w.decided AND x1.c = w.c
+      LEFT JOIN xb ON xb.decided = w.decided AND xb.b = w.b LEFT JOIN xab ON xab.decided = w.decided AND xab.a = w.a AND xab.b = w.b),
+r AS (SELECT a, b, c, sum(CASE WHEN decided = 'allow' THEN l ELSE -l END) AS ratio FROM l GROUP BY ALL),
+z AS (SELECT k, any_value(n.decided) AS decided, any_value(held) AS held, sum(ratio) / count(*) AS score FROM n JOIN r ON r.a = n.a AND r.b = n.b AND r.c = n.c GROUP BY k),
+m AS (SELECT decided, avg(score) AS mean, stddev_pop(score) + 1e-9 AS sd FROM z WHERE held AND decided IS NOT NULL GROUP BY decided),
+h AS (SELECT round((g.mean * f.sd + f.mean * g.sd) / (g.sd + f.sd), 9) AS t FROM m g, m f WHERE g.decided = 'allow' AND f.decided = 'block')
+SELECT page_id, host, path, rule, coalesce(t.decided, CASE WHEN round(z.score, 9) >= (SELECT t FROM h) THEN 'allow' ELSE 'block' END) AS verdict
+FROM t JOIN z ON z.k = t.k
 """
