@@ -12,12 +12,14 @@ from .quality_rules import OP5_SQL, op5_quality_rules
 from .simhash import op3_simhash
 from .toxicity import op1_toxicity
 from .url_lm import OP10_SQL, op10_url_filter
+from .warc_zip import OP4_SQL, op4_warc_zip
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
         "op3_simhash": op3_simhash,
+        "op4_warc_zip": op4_warc_zip,
         "op5_quality_rules": op5_quality_rules,
         "op6_decontamination": op6_decontamination,
         "op8_bpe": op8_bpe,
@@ -26,4 +28,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quality_rules": OP5_SQL, "op10_url_filter": OP10_SQL}
+    return {"op4_warc_zip": OP4_SQL, "op5_quality_rules": OP5_SQL, "op10_url_filter": OP10_SQL}
