@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import op8_bpe
 from .decontaminate import op6_decontamination
 from .quality_rules import OP5_SQL, op5_quality_rules
+from .sharding import op2_sharding
 from .simhash import op3_simhash
 from .toxicity import op1_toxicity
 from .url_lm import OP10_SQL, op10_url_filter
@@ -18,6 +19,7 @@ from .warc_zip import OP4_SQL, op4_warc_zip
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
+        "op2_sharding": op2_sharding,
         "op3_simhash": op3_simhash,
         "op4_warc_zip": op4_warc_zip,
         "op5_quality_rules": op5_quality_rules,
