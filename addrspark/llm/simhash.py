@@ -87,7 +87,7 @@ def links(distinct: DataFrame, max_list: int = MAX_LIST) -> DataFrame:
     Within lists of up to max_list all such links are returned; in longer ones those through shared values.
     """
     lists = materialize(postings(distinct).groupBy("mask", "part").agg(F.count("*").alias("n")).where("n > 1"), "lists")
-    members = materialize(postings(distinct).join(lists, ["mask", "part"]), "members")
+    members = materialize(postings(distinct).join(lists.hint("merge"), ["mask", "part"]), "members")
     short = members.where(F.col("n") <= max_list)
     x = F.col("l.fp").bitwiseXOR(F.col("r.fp"))
     shared = [(x.bitwiseAND(F.lit(_signed(255 << (8 * p))).cast("bigint")) == 0).cast("int") for p in range(8)]
