@@ -52,7 +52,10 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     df = df.withColumn("__r", F.sort_array(F.transform(twice, lambda x: x["i"])))
     r = F.col("__r")
     steps = F.transform(r, lambda x, i: F.least(F.lit(3), F.coalesce(F.get(r, i + 1) - x, F.lit(3))))
-    return df.withColumn("n_repeat_words", F.aggregate(steps, F.lit(0).cast("bigint"), lambda a, x: a + x)).drop("__w", "__p", "__c", "__f", "__r")
+    df = df.withColumn("n_repeat_words", F.aggregate(steps, F.lit(0).cast("bigint"), lambda a, x: a + x))
+    # as a generator's output, so that a later filter is not pushed below and made to evaluate all this once more
+    made = F.explode(F.array(F.struct(*[F.col(c) for c in MEASURES]))).alias("__m")
+    return df.select(*[F.col(f"`{c}`") for c in docs.columns if c not in MEASURES], made).select(*[F.col(f"`{c}`") for c in docs.columns if c not in MEASURES], "__m.*")
 
 
 def rules() -> list[tuple[str, Column]]:

@@ -12,8 +12,10 @@ from .quality_rules import OP5_SQL, op5_quality_rules
 from .sharding import op2_sharding
 from .simhash import op3_simhash
 from .toxicity import op1_toxicity
+from .token_count import op9_token_count
 from .url_lm import OP10_SQL, op10_url_filter
 from .warc_zip import OP4_SQL, op4_warc_zip
+from .weak_labels import op7_weak_labels
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -24,7 +26,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_warc_zip": op4_warc_zip,
         "op5_quality_rules": op5_quality_rules,
         "op6_decontamination": op6_decontamination,
+        "op7_weak_labels": op7_weak_labels,
         "op8_bpe": op8_bpe,
+        "op9_token_count": op9_token_count,
         "op10_url_filter": op10_url_filter,
     }
 
