@@ -53,3 +53,14 @@ def char_type(c: str) -> int:
     if c in NUMERIC:
         return 5
     return 6 if "一" <= c <= "鿿" else -1
+
+
+def char_type_column(c):
+    """char_type of a column of single characters."""
+    from pyspark.sql import functions as F
+
+    kinds = (("^[ぁ-ゖ]$", 0), ("^[ァ-ヶー]$", 1), ("^[A-Za-z]$", 2), ("^[!-~]$", 4), ("^[" + "".join(NUMERIC) + "]$", 5), ("^[一-鿿]$", 6))
+    out = F.lit(-1)
+    for pattern, kind in reversed(kinds):
+        out = F.when(c.rlike(pattern), kind).otherwise(out)
+    return out

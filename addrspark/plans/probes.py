@@ -257,3 +257,131 @@ def _distinct(n: DataFrame) -> DataFrame:
     first = n.where("level >= 7").groupBy(F.get("path_ids", F.lit(1)).alias("ward"), "x", "y").agg(F.min("id").alias("id"))
     number = n.where("level = 3").select(F.col("id").alias("ward"), F.substring("name", 8, 9).cast("int").alias("n"))
     return first.join(number, "ward").select("id", "n", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+# --- space
+
+_ITEMS = """, boxes AS (SELECT k.id AS item, least(min(d.x), k.x) AS x0, least(min(d.y), k.y) AS y0, greatest(max(d.x), k.x) AS x1, greatest(max(d.y), k.y) AS y1 FROM nodes k JOIN nodes d ON d.parent_id = k.id WHERE k.level = 7 GROUP BY k.id, k.x, k.y
+  UNION ALL SELECT min(id), x, y, x, y FROM nodes WHERE level = 7 AND sibling_id = id + 1 GROUP BY n, x, y),
+pts AS (SELECT id AS qid, x + 0.0004 AS x, y + 0.0003 AS y FROM nodes WHERE level = 7 AND id % 10 = 0) """
+
+
+def _points(n: DataFrame) -> DataFrame:
+    return n.where("level = 7 AND id % 10 = 0").select(F.col("id").alias("qid"), (F.col("x") + 0.0004).alias("x"), (F.col("y") + 0.0003).alias("y"))
+
+
+@probe("spatial_items", _ITEMS + "SELECT item, round(x0, 6) AS x0, round(y0, 6) AS y0, round(x1, 6) AS x1, round(y1, 6) AS y1 FROM boxes")
+def _items(n: DataFrame) -> DataFrame:
+    from ..operators.reverse import items
+
+    return items(n).select("item", *[F.round(c, 6).alias(c) for c in ("x0", "y0", "x1", "y1")])
+
+
+@probe("knn20", _ITEMS + ", d AS (SELECT qid, item, greatest(x0 - x, 0.0, x - x1) AS dx, greatest(y0 - y, 0.0, y - y1) AS dy FROM pts CROSS JOIN boxes), e AS (SELECT qid, item, dx * dx + dy * dy AS d2 FROM d) SELECT qid, item FROM (SELECT qid, item, rank() OVER (PARTITION BY qid ORDER BY d2) AS k FROM e) WHERE k <= 20")
+def _knn(n: DataFrame) -> DataFrame:
+    from ..operators.reverse import items, nearest
+    from .staging import staged
+
+    return nearest(_points(n), staged(items(n), "items")).select("qid", "item")
+
+
+@probe("reverse_full")
+def _reverse(n: DataFrame) -> DataFrame:
+    from ..operators.reverse import reverse_geocode
+
+    return reverse_geocode(n, _points(n), 7)
+
+
+def _corners():
+    return [F.lit(v) for v in (135.2, 35.1, 135.9, 35.2, 135.5, 35.7)]
+
+
+@probe("point_in_triangle", ", s AS (SELECT id, (135.9 - 135.2) * (y - 35.1) - (35.2 - 35.1) * (x - 135.2) AS a, (135.5 - 135.9) * (y - 35.2) - (35.7 - 35.2) * (x - 135.9) AS b, (135.2 - 135.5) * (y - 35.7) - (35.1 - 35.7) * (x - 135.5) AS c FROM nodes WHERE level = 7) SELECT id, (a > 0 AND b > 0 AND c > 0) OR (a < 0 AND b < 0 AND c < 0) AS inside FROM s")
+def _triangle(n: DataFrame) -> DataFrame:
+    from ..functions.geometry import in_triangle_column
+
+    return n.where("level = 7").select("id", in_triangle_column(F.col("x"), F.col("y"), *_corners()).alias("inside"))
+
+
+@probe("circumcircle", ", p AS (SELECT id, x AS ax, y AS ay, 135.2 - x AS bx, 35.1 - y AS b, 135.9 - x AS cx, 35.2 - y AS c FROM nodes WHERE level = 7), d AS (SELECT *, 2 * (bx * c - b * cx) AS d FROM p), u AS (SELECT id, ax, ay, (c * (bx * bx + b * b) - b * (cx * cx + c * c)) / d AS ux, (bx * (cx * cx + c * c) - cx * (bx * bx + b * b)) / d AS uy FROM d WHERE abs(d) > 0.01) SELECT id, round(ax + ux, 6) AS x, round(ay + uy, 6) AS y, round(ux * ux + uy * uy, 6) AS r2 FROM u")
+def _circle(n: DataFrame) -> DataFrame:
+    from ..functions.geometry import circumcircle_columns, cross_column
+
+    b = [F.lit(v) for v in (135.2, 35.1, 135.9, 35.2)]
+    far = F.abs(2 * cross_column(F.col("x"), F.col("y"), *b)) > 0.01
+    x, y, r2 = circumcircle_columns(F.col("x"), F.col("y"), *b)
+    return n.where("level = 7").where(far).select("id", F.round(x, 6).alias("x"), F.round(y, 6).alias("y"), F.round(r2, 6).alias("r2"))
+
+
+@probe("geodesic")
+def _geodesic(n: DataFrame) -> DataFrame:
+    from ..functions.geometry import geodesic
+    from pyspark.sql import types as T
+
+    metres = F.pandas_udf(lambda x, y: x * 0 + geodesic(x, y, 135.5, 35.4), T.DoubleType())
+    return n.where("level = 7").select("id", metres("x", "y").alias("metres"))
+
+
+# --- text
+
+_DOCS = "SELECT doc_id, "
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+@probe("std_native", _DOCS + "upper(source) || '-' || upper(lang) AS std FROM documents", star=False)
+def _std_native(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..functions.normalize import Standard
+
+    return _docs(spark, sf_dir).select("doc_id", Standard().plain_column(F.concat("source", F.lit("―"), "lang")).alias("std"))
+
+
+@probe("std_full", _DOCS + "upper(regexp_replace(source, '([0-9]+)', '\\1.')) || '-' || upper(lang) AS std FROM documents", star=False)
+def _std_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..functions.normalize import Standard
+
+    return _docs(spark, sf_dir).select("doc_id", Standard().column(F.concat("source", F.lit("―"), "lang")).alias("std"))
+
+
+@probe("get_number", _DOCS + "CAST(substr(source, 4) AS BIGINT) AS n, length(source) - 3 AS i FROM documents", star=False)
+def _number(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..functions.normalize import number_udf
+
+    return _docs(spark, sf_dir).select("doc_id", number_udf(F.substring("source", 4, 9)).alias("r")).select("doc_id", "r.n", F.col("r.i").cast("bigint").alias("i"))
+
+
+@probe("char_class", "SELECT event_id, CASE WHEN regexp_matches(substr(props, 1 + event_id % 6, 1), '[a-zA-Z]') THEN 2 WHEN regexp_matches(substr(props, 1 + event_id % 6, 1), '[!-~]') THEN 4 ELSE -1 END AS kind FROM events", star=False)
+def _char_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..functions.numbers import char_type_column
+
+    one = F.substr(F.col("props"), (1 + F.col("event_id") % 6).cast("int"), F.lit(1))
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", char_type_column(one).alias("kind"))
+
+
+@probe("match_len")
+def _match_len(n: DataFrame) -> DataFrame:
+    import pandas as pd
+    from pyspark.sql import types as T
+
+    from ..functions.matching import match_length
+    from ..functions.normalize import Standard
+
+    s = Standard()
+    length = F.pandas_udf(lambda a, b: pd.Series([match_length(x, y) for x, y in zip(a, b, strict=True)], dtype="int64"), T.LongType())
+    return n.where("level = 7").select("id", length(s.plain_column("name"), s.column("name")).alias("n"))
+
+
+@probe("geocode_full", "SELECT id AS qid, id AS node_id, length(name) AS tail FROM nodes WHERE level = 7")
+def _geocode(n: DataFrame) -> DataFrame:
+    from ..functions.normalize import Standard
+    from ..operators.search import Gazetteer, geocode
+
+    s = Standard()
+    top = n.where("level <= 7")
+    g = Gazetteer(top.withColumn("name_index", s.column("name")))
+    queries = top.where("level = 7").select(F.col("id").alias("qid"), F.concat(F.array_join("path_names", ""), F.lit(" and more")).alias("query"))
+    found = geocode(g, queries)
+    up = top.select(F.col("id").alias("node_id"), F.length(F.array_join(F.slice("path_names", 1, F.size("path_names") - 1), "")).alias("head"))
+    return found.join(up, "node_id").select("qid", "node_id", (F.length("matched") - F.col("head")).cast("bigint").alias("tail"))
