@@ -29,6 +29,8 @@ TRAIN_CHARS = 20_000
 TRAIN_SENTENCES = 4_000
 #: An anchor occurs in this share of the toxic rows at least, and at most at this share of that rate in others.
 ANCHOR_SHARE, ANCHOR_LEAK = 0.012, 0.02
+#: It would occur in toxic rows alone with less than this chance if it had nothing to do with the label.
+ANCHOR_CHANCE = 1e-5
 STEPS, L2 = 60, 0.02
 THRESHOLD = 0.7
 #: Words whose weights a worker keeps.
@@ -171,7 +173,8 @@ def fit(rows: list[tuple[str, int]]) -> Model | None:
     seen = {0: Counter(), 1: Counter()}
     for words, y in tokens:
         seen[y].update({f for w in {*words} - ENDS for f in own_features(w) })
-    anchors = {f for f, n in seen[1].items() if n >= max(3, ANCHOR_SHARE * total[1]) and seen[0][f] / total[0] <= ANCHOR_LEAK * n / total[1]}
+    least = max(ANCHOR_SHARE * total[1], np.log(ANCHOR_CHANCE) / np.log(total[1] / len(rows)))
+    anchors = {f for f, n in seen[1].items() if n >= least and seen[0][f] / total[0] <= ANCHOR_LEAK * n / total[1]}
     if not anchors:
         return None
     sentences: list[tuple[list[str], list[int]]] = []

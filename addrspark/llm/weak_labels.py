@@ -26,7 +26,7 @@ CACHE_WORDS = 300_000
 #: For bad and good rows: the believed chance of a good vote, and how many rows that belief is worth, as a share of all.
 #: Labellers see different faults, so they agree on few bad rows; without the belief that they seldom blame a good row,
 #: the likeliest reading is that a fault which one labeller alone sees is none.
-BELIEFS = ((0.6, 0.02), (0.998, 2.0))
+BELIEFS = ((0.6, 0.002), (0.998, 2.0))
 THRESHOLD = 0.5
 _WORD = re.compile(r"\S+")
 _SHAPES = [(re.compile(r"[^\W\d_]+"), lambda m: ("A" if m[0].isupper() and len(m[0]) > 1 else "a" if m[0].islower() else "Aa")), (re.compile(r"\d+"), lambda m: "0"), (re.compile(r"([^\w\s])\1+"), lambda m: m[1] + "+")]
