@@ -156,3 +156,24 @@ def map_links() -> tuple[Column, Column]:
     gsi = F.format_string("https://maps.gsi.go.jp/#%d/%.6f/%.6f/", F.col("level") + 9, F.col("y"), F.col("x"))
     google = F.format_string("https://maps.google.com/maps?q=%.6f,%.6f&z=%d", F.col("y"), F.col("x"), F.col("level") + 9)
     return gsi, google
+
+
+def guessed_level(name: str = "name", parent_name: str = "parent_name", parent_level: str = "parent_level", trigger_level: str = "trigger_level") -> Column:
+    """The level that a new element of that name has below its parent (0 or less: the root), as its name suggests.
+
+    Null where a part of a block would need a parent that cannot have one.
+    """
+    n, p = F.col(name), F.col(parent_level)
+    last = F.right(n, F.lit(1))
+    return (
+        F.when(p < 1, 1)
+        .when((p == 1) & ((last == "郡") | n.endswith("支庁") | n.endswith("振興局")), 2)
+        .when(last.isin("市", "町", "村") & (p < 3), 3)
+        .when(last.isin("市", "町", "村") & p.isin(3, 5), p + 1)
+        .when((last == "区") & (p == 3), 4)
+        .when((last == "区") & (F.col(parent_name) == "東京都"), 3)
+        .when(p < 5, 5)
+        .when(p == 5, 6)
+        .when((p == 6) & (F.col(trigger_level) <= 7), 6)
+        .when(p == 6, 7)
+    )

@@ -385,3 +385,24 @@ def _geocode(n: DataFrame) -> DataFrame:
     found = geocode(g, queries)
     up = top.select(F.col("id").alias("node_id"), F.length(F.array_join(F.slice("path_names", 1, F.size("path_names") - 1), "")).alias("head"))
     return found.join(up, "node_id").select("qid", "node_id", (F.length("matched") - F.col("head")).cast("bigint").alias("tail"))
+
+
+@probe(
+    "level_guess",
+    "SELECT n_nationkey AS k, CASE WHEN n_nationkey % 7 < 1 THEN 1 WHEN n_nationkey % 7 = 1 AND n_nationkey % 5 = 0 THEN 2 WHEN n_nationkey % 5 = 1 AND n_nationkey % 7 < 3 THEN 3 WHEN n_nationkey % 5 = 1 AND n_nationkey % 7 IN (3, 5) THEN n_nationkey % 7 + 1 WHEN n_nationkey % 5 = 2 AND n_nationkey % 7 = 3 THEN 4 WHEN n_nationkey % 7 < 5 THEN 5 WHEN n_nationkey % 7 = 5 THEN 6 WHEN n_nationkey % 2 = 0 THEN 6 ELSE 7 END AS level FROM nation",
+    star=False,
+)
+def _guess(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("n_nationkey")
+    ends = F.element_at(F.array(*[F.lit(x) for x in ("x郡", "x町", "x区", "x", "y")]), k % 5 + 1)
+    rows = spark.read.parquet(f"{sf_dir}/nation.parquet").select(k.alias("k"), ends.alias("name"), F.lit("p").alias("parent_name"), (k % 7).alias("parent_level"), F.when(k % 2 == 0, 7).otherwise(8).alias("trigger_level"))
+    return rows.select("k", tree.guessed_level().alias("level"))
+
+
+@probe("variant_table", "SELECT ch AS variant, min(n_name) AS representative FROM (SELECT n_name, unnest(string_split(lower(n_name), '')) AS ch FROM nation) WHERE ch <> '' GROUP BY ch", star=False)
+def _variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sources.variants import representative_rows, variant_rows
+
+    table = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_name").alias("representative"), F.lower("n_name").alias("variants"))
+    back = representative_rows(variant_rows(table))
+    return variant_rows(back).groupBy("variant").agg(F.min("representative").alias("representative"))

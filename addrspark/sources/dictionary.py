@@ -31,3 +31,28 @@ def install(spark: SparkSession, path: str, target: str, table: str = "address_n
     nodes = raw.select(*[F.col(a).alias(b) for a, b in COLUMNS.items()]).withColumns({"level": F.col("level").cast("int"), "priority": F.col("priority").cast("int")})
     with_paths(staged(nodes, "raw")).write.mode("overwrite").parquet(target)
     return spark.read.parquet(target).count()
+
+
+def version(spark: SparkSession, folder: str) -> str:
+    """The first line of metadata.txt, else the day README.md was written, else (Unknown)."""
+    import datetime
+
+    path = lambda name: spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+    fs = path("x").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(path("metadata.txt")):
+        return spark.read.text(f"{folder}/metadata.txt").first()[0].rstrip()
+    if fs.exists(path("README.md")):
+        return datetime.datetime.fromtimestamp(fs.getFileStatus(path("README.md")).getModificationTime() / 1000, datetime.UTC).strftime("%Y%m%d")
+    return "(Unknown)"
+
+
+def readme(spark: SparkSession, folder: str) -> str:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/README.md")
+    if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        return spark.read.text(f"{folder}/README.md", wholetext=True).first()[0]
+    return "(no README information)"
+
+
+def uninstall(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -125,3 +125,56 @@ def test_nearest_against_brute_force(spark):
         d = sorted((max(b[1] - x, 0, x - b[3]) ** 2 + max(b[2] - y, 0, y - b[4]) ** 2, b[0]) for b in boxes)
         want |= {(q, k) for v, k in d if v <= d[4][0]}
     assert {(r["qid"], r["item"]) for r in got.select("qid", "item").collect()} == want
+
+
+def test_variants_and_guess(spark):
+    from addrspark.sources import variants
+
+    table = spark.createDataFrame([("竜", "龍竜"), ("沢", "澤")], "representative string, variants string")
+    pairs = variants.variant_rows(table)
+    assert {tuple(r) for r in pairs.collect()} == {("龍", "竜"), ("澤", "沢")}
+    assert {tuple(r) for r in variants.representative_rows(pairs).collect()} == {("竜", "龍"), ("沢", "澤")}
+    nodes = spark.createDataFrame([(1, "龍澤"), (2, "龍"), (3, "竜")], "id int, name string")
+    assert {tuple(r) for r in variants.occurrences(nodes, pairs).collect()} == {("龍", "竜", 1, 2), ("澤", "沢", 1, 1)}
+    rows = spark.createDataFrame([("東京都", "", 0, 1), ("x郡", "p", 1, 1), ("新宿区", "東京都", 1, 3), ("x町", "p", 5, 7), ("九線", "p", 6, 7), ("1番", "p", 6, 8)], "name string, parent_name string, parent_level int, trigger_level int")
+    assert [r[0] for r in rows.select(tree.guessed_level()).collect()] == [1, 2, 3, 6, 6, 7]
+
+
+def test_remote(spark):
+    import json
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    from addrspark.sources import remote
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):  # noqa: N802
+            asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            q = asked["params"].get("query")
+            node = {"id": 7, "name": "n", "x": 1, "y": 2, "level": 3}
+            body = {"error": "no"} if q == "bad" else {"result": [{"node": node, "matched": q}] if q else []}
+            data = json.dumps(body).encode()
+            self.send_response(200)
+            self.send_header("Content-Length", str(len(data)))
+            self.end_headers()
+            self.wfile.write(data)
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}"
+    got = remote.geocode_remote(spark.createDataFrame([(1, "a"), (2, ""), (3, "a")], "qid bigint, query string"), url, "svc").collect()
+    assert sorted((r["qid"], r["rank"], r["node_id"], r["matched"]) for r in got) == [(1, 1, 7, "a"), (3, 1, 7, "a")]
+    with pytest.raises(remote.RemoteError):
+        remote.call(url, "svc.searchNode", {"query": "bad"})
+    server.shutdown()
+
+
+def test_dictionary_notes(spark, tmp_path):
+    assert dictionary.version(spark, str(tmp_path)) == "(Unknown)" and dictionary.readme(spark, str(tmp_path)).startswith("(no")
+    (tmp_path / "metadata.txt").write_text("v7\nmore")
+    assert dictionary.version(spark, str(tmp_path)) == "v7"
+    dictionary.uninstall(spark, str(tmp_path))
+    assert not tmp_path.exists()

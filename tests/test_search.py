@@ -72,3 +72,21 @@ def test_standard(spark):
     assert match_length(s("福島県浪江町高瀬丈六十二", True), "福島県波江町高瀬丈六十二") == 12
     assert match_length("滝沢字小林60番地113", "滝ノ沢平") == 0
     assert [skippable(t) for t in ("字小坂145番地", "字一ノ瀬甲2048番地先", "一丁目15番地")] == [3, 4, 0]
+
+
+def test_areas_omissible_children_and_stream(spark, gazetteer, tmp_path):
+    from addrspark.operators.search import check_areas, omissible_children
+    from addrspark.streaming.geocode import geocode_stream
+
+    check_areas(gazetteer, ["13", "13224", "多摩市"])
+    with pytest.raises(ValueError):
+        check_areas(gazetteer, ["どこか"])
+    named = {r["id"]: r["name"] for r in gazetteer.nodes.select("id", "name").collect()}
+    got = {(named[r["parent_id"]], named[r["id"]]) for r in omissible_children(gazetteer).collect()}
+    assert ("小山町", "竹之下") not in got and ("多摩市", "落合") in got
+    spark.createDataFrame([(1, "多摩市落合1-15"), (2, "長野県小谷村")], "qid bigint, query string").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("qid bigint, query string").parquet(str(tmp_path / "in"))
+    query = geocode_stream(gazetteer, stream, lambda found, k: found.write.mode("overwrite").parquet(str(tmp_path / f"out/batch={k}")), str(tmp_path / "c"))
+    query.processAllAvailable()
+    query.stop()
+    assert {r["fullname"] for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {"東京都/多摩市/落合/一丁目/15番地", "長野県/北安曇郡/小谷村"}
