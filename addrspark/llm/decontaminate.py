@@ -10,11 +10,13 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_slices, table, text_bytes
+from .common import map_slices, materialize, table, text_bytes
 
 WINDOW = 10
 #: Bytes of benchmark text that one broadcast may hold; a larger benchmark is scanned in blocks of this size.
 BLOCK_BYTES = 32 << 20
+#: Blocks that one pass over the documents holds.
+MAX_BLOCKS = 4
 #: A-Z lower-cased; every other ASCII byte but digits and a-z separates words.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
@@ -84,6 +86,17 @@ def _blocks(benchmark: DataFrame, block_bytes: int):
         yield held
 
 
+def _groups(blocks, size: int):
+    """(blocks, whether more follow) in groups of up to size; always one, if empty."""
+    held: list = []
+    for block in blocks:
+        if len(held) == size:
+            yield held, True
+            held = []
+        held.append(block)
+    yield held, False
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: list[str], *, window: int = WINDOW, mode: str = "flag", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Find benchmark windows in every whole text.
 
@@ -92,33 +105,41 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: list[str], *, win
     mode "spans": the input rows; hit words, with the separators between adjacent ones, are cut from text.
 
     Null texts have no words and stay as they are. A null item_id counts as the empty string; items of equal id count
-    once. The benchmark is broadcast in blocks of at most block_bytes (and one item), so no broadcast grows with it.
-    Repeated rows give repeated rows; empty tables give empty or unflagged results; a result column replaces a kept
-    column of its name.
+    once. The benchmark is broadcast in blocks of at most block_bytes (and one item), and a task holds MAX_BLOCKS of
+    them; a larger benchmark takes several passes, between which the rows and their hits so far are a table in the
+    shared folder. Repeated rows give repeated rows; empty tables give empty or unflagged results; a result column
+    replaces a kept column of its name.
     """
     made = {"n_words": "bigint", "n_hit": "bigint", "n_items": "bigint", "items_sha256": "string", "contaminated": "boolean"}
-    context = docs.sparkSession.sparkContext
-    blocks = [context.broadcast(Grams(b, window)) for b in _blocks(benchmark, block_bytes)]
-
-    def scan(words: list[bytes]) -> tuple[np.ndarray, set[str]]:
-        hit, names = np.zeros(len(words), bool), set()
-        for block in blocks:
-            more, found = block.value.scan(words)
-            hit |= more
-            names |= found
-        return hit, names
-
-    if mode == "flag":
-        keep, fields = [c for c in keep if c not in made], made
-    else:
-        keep, fields = list(docs.columns), {}
+    keep, fields = ([c for c in keep if c not in made], made) if mode == "flag" else (list(docs.columns), {})
     kinds = dict(docs.dtypes)
+    kept = [f"`{c}` {kinds[c]}" for c in keep]
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], text_bytes().alias("__data"))
+    for group, more in _groups(_blocks(benchmark, block_bytes), MAX_BLOCKS):
+        blocks = [docs.sparkSession.sparkContext.broadcast(Grams(b, window)) for b in group]
+        if more:
+            schema = ", ".join([*kept, "__data binary, __hit binary, __names array<string>"])
+            rows = materialize(map_slices(rows, _pass(blocks, keep, {}, "carry"), schema), "hits")
+    schema = ", ".join([*kept, *(f"{c} {k}" for c, k in fields.items())])
+    return map_slices(rows, _pass(blocks, keep, fields, mode), schema)
+
+
+def _pass(blocks, keep: list[str], fields: dict[str, str], mode: str):
+    """The work of one pass: the hits of these blocks, with those of earlier ones, and what the mode makes of them."""
 
     def work(cols: dict[str, list]) -> dict[str, list]:
-        out = {c: [] for c in [*keep, *fields]}
+        carried = ("__data", "__hit", "__names") if mode == "carry" else ()
+        out = {c: [] for c in [*keep, *fields, *carried]}
         for k, data in enumerate(cols["__data"]):
             words = words_of(data)
-            hit, names = scan(words)
+            hit, names = np.zeros(len(words), bool), set()
+            if "__hit" in cols:
+                hit |= np.unpackbits(np.frombuffer(cols["__hit"][k], np.uint8), count=len(words)).astype(bool)
+                names.update(cols["__names"][k])
+            for block in blocks:
+                new, found = block.value.scan(words)
+                hit |= new
+                names |= found
             n = int(hit.sum())
             if mode == "documents" and n:
                 continue
@@ -126,13 +147,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: list[str], *, win
                 out[c].append(cols[c][k])
             if mode == "spans" and n:
                 out["text"][-1] = cut(data, hit)
-            if mode == "flag":
-                for c, v in zip(fields, (len(words), n, len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(), n > 0), strict=True):
-                    out[c].append(v)
+            values = (len(words), n, len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(), n > 0) if mode == "flag" else (data, np.packbits(hit).tobytes(), sorted(names)) if mode == "carry" else ()
+            for c, v in zip([*fields, *carried], values, strict=True):
+                out[c].append(v)
         return out
 
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), *(f"{c} {k}" for c, k in fields.items())])
-    return map_slices(docs.select(*[F.col(f"`{c}`") for c in keep], text_bytes().alias("__data")), work, schema)
+    return work
 
 
 def cut(data: bytes, hit: np.ndarray) -> str:
