@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op8_bpe
-from .decontaminate import op6_decontamination
+from .decontaminate import OP6_SQL, op6_decontamination
 from .quality_rules import OP5_SQL, op5_quality_rules
 from .sharding import op2_sharding
 from .simhash import op3_simhash
@@ -34,4 +34,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc_zip": OP4_SQL, "op5_quality_rules": OP5_SQL, "op10_url_filter": OP10_SQL}
+    return {"op4_warc_zip": OP4_SQL, "op5_quality_rules": OP5_SQL, "op6_decontamination": OP6_SQL, "op10_url_filter": OP10_SQL}

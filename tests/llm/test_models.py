@@ -209,12 +209,12 @@ def test_url_models_learn(spark):
 # --- SQL
 
 
-@pytest.mark.parametrize("name", ["op4_warc_zip", "op5_quality_rules", "op10_url_filter"])
+@pytest.mark.parametrize("name", ["op4_warc_zip", "op5_quality_rules", "op6_decontamination", "op10_url_filter"])
 def test_sql(spark, name):
     from addrspark.llm import queries
 
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{Path(SMALL) / t}.parquet'")
     cursor = con.execute(queries.oracle_sql()[name])
     columns = [c[0] for c in cursor.description]
