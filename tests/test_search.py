@@ -90,3 +90,14 @@ def test_areas_omissible_children_and_stream(spark, gazetteer, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert {r["fullname"] for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {"東京都/多摩市/落合/一丁目/15番地", "長野県/北安曇郡/小谷村"}
+
+
+def test_geojson(spark, gazetteer):
+    import json
+
+    from addrspark.operators.search import results_geojson
+
+    found = geocode(gazetteer, spark.createDataFrame([(1, "多摩市落合1-15")], "qid bigint, query string"))
+    one = json.loads(results_geojson(found).first()["geojson"])
+    assert one["geometry"] == {"type": "Point", "coordinates": [139.428, 35.625]}
+    assert one["properties"]["matched"] == "多摩市落合1-15"
