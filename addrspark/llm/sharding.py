@@ -32,6 +32,7 @@ def _leaves(sums: DataFrame, limit: int, bits: int) -> DataFrame:
     """
     above = sums.select("stem", "fine", "bytes", "rows", F.explode(F.sequence(F.lit(0), F.lit(bits))).alias("depth")).withColumn("prefix", F.expr(f"shiftright(fine, {bits} - depth)"))
     held = above.groupBy("stem", "depth", "prefix").agg(F.sum("bytes").alias("bytes"), F.sum("rows").alias("rows")).where((F.col("bytes") <= limit) | (F.col("depth") == bits))
+    held = materialize(held, "held")  # a table of its own, so that the short prefixes, which all buckets share, can be split in the join
     return above.select("stem", "fine", "depth", "prefix").join(held, ["stem", "depth", "prefix"]).groupBy("stem", "fine").agg(F.min(F.struct("depth", "bytes", "rows")).alias("m")).select("stem", "fine", "m.*")
 
 
