@@ -80,6 +80,9 @@ probe("children_list", "SELECT p.id, string_agg(c.name, '/' ORDER BY c.id) AS ch
 probe("child_by_name", "SELECT parent_id, name_index, id FROM nodes WHERE level = 7 AND c % 7 = 3")(
     lambda n: tree.child_by_name(n, n.where("level = 7 AND try_cast(substring(name, 10) AS int) % 7 = 3").select("parent_id", "name_index")).select("parent_id", "name_index", "id")
 )
+probe("child_by_name_all", "SELECT q.parent_id, q.name_index, c.id FROM nodes q JOIN nodes c ON c.parent_id = q.parent_id AND c.name_index = q.name_index")(
+    lambda n: tree.child_by_name(n, n.select("parent_id", "name_index")).select("parent_id", "name_index", "id")
+)
 probe(
     "fullname",
     ", RECURSIVE_UP AS (SELECT 1) SELECT a.id, concat_ws('/', r.name, t.name, k.name, CASE WHEN a.level = 8 THEN a.name END) AS fullname FROM nodes a LEFT JOIN nodes r ON r.level = 1 AND r.r = a.r LEFT JOIN nodes t ON t.level = 3 AND t.n = a.n LEFT JOIN nodes k ON k.level = 7 AND k.c = a.c",
@@ -162,6 +165,16 @@ def _machiaza(n: DataFrame) -> DataFrame:
     return codes.search_by_machiaza(codes.code_index(n), n, wanted)
 
 
+@probe(
+    "machiaza_lookup_all",
+    _CODED + ", b AS (SELECT id, city, lpad(CAST(c % 10000000 AS VARCHAR), 7, '0') AS aza FROM coded WHERE level = 7) SELECT city || aza AS code, id AS node_id FROM b UNION ALL SELECT aza, id FROM b",
+)
+def _machiaza_all(n: DataFrame) -> DataFrame:
+    coded = codes.with_codes(n.where("level <= 7")).where("level = 7")
+    wanted = coded.select(codes.aza_code().alias("code")).unionByName(coded.select(F.col("aza_id").alias("code"))).distinct()
+    return codes.search_by_machiaza(codes.code_index(n), n, wanted)
+
+
 probe("clean_code", "SELECT id, regexp_replace(name, '[^0-9]', '', 'g') AS digits FROM nodes")(lambda n: n.select("id", codes.clean_code("name").alias("digits")))
 probe(
     "local_authority_code",
@@ -187,6 +200,16 @@ def _to_registry(n: DataFrame) -> DataFrame:
     return codes.search_registry(reg, wanted).select("code", "aza_code", F.array_join(F.transform("names", lambda s: s["name"]), "/").alias("names"), "postcode")
 
 
+@probe(
+    "code_to_registry_all",
+    _CODED + ", reg AS (SELECT k.city || lpad(CAST(k.c % 10000000 AS VARCHAR), 7, '0') AS code, k.city, k.pref, k.n, p.name AS r_name, t.name AS n_name, k.name, lpad(CAST(k.c % 1000 * 7 AS VARCHAR), 7, '0') AS postcode FROM coded k JOIN coded t ON t.level = 3 AND t.n = k.n JOIN coded p ON p.level = 1 AND p.r = k.r WHERE k.level = 7) SELECT code, code AS aza_code, r_name || '/' || n_name || '/' || name AS names, postcode FROM reg UNION ALL SELECT DISTINCT city, CASE WHEN n = 0 THEN pref ELSE city END, CASE WHEN n = 0 THEN r_name ELSE r_name || '/' || n_name END, NULL FROM reg UNION ALL SELECT DISTINCT pref, pref, r_name, NULL FROM reg",
+)
+def _to_registry_all(n: DataFrame) -> DataFrame:
+    reg = _registry(n)
+    wanted = reg.select(F.explode(F.array("code", F.substring("code", 1, 5), F.substring("code", 1, 2))).alias("code")).distinct()
+    return codes.search_registry(reg, wanted).select("code", "aza_code", F.array_join(F.transform("names", lambda s: s["name"]), "/").alias("names"), "postcode")
+
+
 probe(
     "code_lower_bound",
     _CODED + ", reg AS (SELECT city || lpad(CAST(c AS VARCHAR), 7, '0') AS code FROM coded WHERE level = 7 AND c % 3 = 0), q AS (SELECT city || lpad(CAST(c AS VARCHAR), 7, '0') AS code FROM coded WHERE level = 7 UNION SELECT '00' UNION SELECT '99') SELECT q.code, (SELECT max(reg.code) FROM reg WHERE reg.code <= q.code) AS bound FROM q",
@@ -270,6 +293,11 @@ def _points(n: DataFrame) -> DataFrame:
     return n.where("level = 7 AND id % 10 = 0").select(F.col("id").alias("qid"), (F.col("x") + 0.0004).alias("x"), (F.col("y") + 0.0003).alias("y"))
 
 
+def _all_points(n: DataFrame) -> DataFrame:
+    """A point beside every node that has coordinates, of all levels."""
+    return n.where(tree.has_coordinates()).select(F.col("id").alias("qid"), (F.col("x") + 0.0004).alias("x"), (F.col("y") + 0.0003).alias("y"))
+
+
 @probe("spatial_items", _ITEMS + "SELECT item, round(x0, 6) AS x0, round(y0, 6) AS y0, round(x1, 6) AS x1, round(y1, 6) AS y1 FROM boxes")
 def _items(n: DataFrame) -> DataFrame:
     from ..operators.reverse import items
@@ -285,11 +313,19 @@ def _knn(n: DataFrame) -> DataFrame:
     return nearest(_points(n), staged(items(n), "items")).select("qid", "item")
 
 
+@probe("knn20_all")
+def _knn_all(n: DataFrame) -> DataFrame:
+    from ..operators.reverse import items, nearest
+    from .staging import staged
+
+    return nearest(_all_points(n), staged(items(n), "items")).select("qid", "item")
+
+
 @probe("reverse_full")
 def _reverse(n: DataFrame) -> DataFrame:
     from ..operators.reverse import reverse_geocode
 
-    return reverse_geocode(n, _points(n), 7)
+    return reverse_geocode(n, _all_points(n), 7)
 
 
 def _corners():
