@@ -1,12 +1,13 @@
 """Standard notation of Japanese address text, as Spark columns and for single strings.
 
-Only the number step leaves the JVM, and only for rows that hold a numeral.
+Only the number step leaves the JVM; Spark would evaluate it for rows without a numeral too, whatever the condition.
 """
 
 from __future__ import annotations
 
 import json
 import re
+from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import Column, SparkSession
@@ -22,6 +23,7 @@ _ASCII = {c: c - 0xFEE0 for c in range(0xFF01, 0xFF5F)}
 _KATAKANA = {c: c + 0x60 for c in range(0x3041, 0x3097)}
 _PREFIX = re.compile("^(?:大字|小字|字)")
 _NUMERAL = "[" + "".join(NUMERIC) + "]"
+_RUN = re.compile(_NUMERAL + "+")
 
 
 def load_variants(spark: SparkSession, path: str) -> dict[str, str]:
@@ -61,17 +63,16 @@ class Standard:
         return F.translate(F.regexp_replace(c, "通リ", "通"), HYPHENS, "-" * len(HYPHENS))
 
     def column(self, text: Column | str) -> Column:
-        plain = self.plain_column(text)
-        return F.when(plain.rlike(_NUMERAL), numbered_udf(plain)).otherwise(plain)
+        return numbered_udf(self.plain_column(text))
 
 
 def numbered(text: str) -> str:
     """Every numeral as its value and a period; a period that follows it already is not doubled."""
     out, at = [], 0
     while at < len(text):
-        value, n = read_number(text[at:]) if text[at] in NUMERIC else (0, 0)
+        value, n = read_number(_RUN.match(text, at)[0]) if text[at] in NUMERIC else (0, 0)
         if n:
-            out.append(f"{value}.")
+            out.append(f"{Decimal(value):f}.")  # int's own digits end at 4,300
             at += n + (text[at + n : at + n + 1] == ".")
         else:
             out.append(text[at])
@@ -86,7 +87,9 @@ def numbered_udf(text: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.StructType([T.StructField("n", T.LongType()), T.StructField("i", T.IntegerType())]))
 def number_udf(text: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([read_number(t or "") for t in text], columns=["n", "i"])
+    """The number at the head of a text; n is null if a bigint does not hold it."""
+    read = [read_number(t or "") for t in text]
+    return pd.DataFrame({"n": pd.array([n if n < 1 << 63 else None for n, _ in read], dtype="Int64"), "i": [i for _, i in read]})
 
 
 # What may be missing from a name or stand in one without need.

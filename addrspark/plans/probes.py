@@ -388,6 +388,43 @@ def _number(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", number_udf(F.substring("source", 4, 9)).alias("r")).select("doc_id", "r.n", F.col("r.i").cast("bigint").alias("i"))
 
 
+def _sql_translate(text: str, pairs: dict[str, str]) -> str:
+    """DuckDB's translate() of text; it keeps the first of equal characters, as Spark's does."""
+    quoted = ["".join(x).replace("'", "''") for x in (pairs.keys(), pairs.values())]
+    return f"translate({text}, '{quoted[0]}', '{quoted[1]}')"
+
+
+def _std_sql() -> str:
+    """plain_column over the whole texts; DuckDB's upper() leaves ß, which is SS in capitals."""
+    from ..functions.normalize import HYPHENS, Standard, _ASCII, _KATAKANA
+
+    c = _sql_translate("regexp_replace(coalesce(text, ''), '^(?:大字|小字|字)', '')", Standard().map)
+    c = "upper(replace(" + _sql_translate(c, {chr(k): chr(v) for k, v in _ASCII.items()}) + ", 'ß', 'SS'))"
+    c = _sql_translate(c, {chr(k): chr(v) for k, v in _KATAKANA.items()})
+    return _sql_translate(f"replace({c}, '通リ', '通')", dict.fromkeys(HYPHENS, "-"))
+
+
+@probe("std_native_text", _DOCS + _std_sql() + " AS std FROM documents", star=False)
+def _std_native_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..functions.normalize import Standard
+
+    return _docs(spark, sf_dir).select("doc_id", Standard().plain_column("text").alias("std"))
+
+
+@probe("std_full_text", star=False)
+def _std_full_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..functions.normalize import Standard
+
+    return _docs(spark, sf_dir).select("doc_id", Standard().column("text").alias("std"))
+
+
+@probe("get_number_text", star=False)
+def _number_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..functions.normalize import number_udf
+
+    return _docs(spark, sf_dir).select("doc_id", number_udf("text").alias("r")).select("doc_id", "r.n", F.col("r.i").cast("bigint").alias("i"))
+
+
 @probe("char_class", "SELECT event_id, CASE WHEN regexp_matches(substr(props, 1 + event_id % 6, 1), '[a-zA-Z]') THEN 2 WHEN regexp_matches(substr(props, 1 + event_id % 6, 1), '[!-~]') THEN 4 ELSE -1 END AS kind FROM events", star=False)
 def _char_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..functions.numbers import char_type_column

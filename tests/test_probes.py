@@ -33,3 +33,31 @@ def test_every_child_and_code_is_asked(spark):
         assert ids(found.where(f"n = {n}"), "node_id") == blocks
     lengths = {r["n"]: r["count"] for r in queries["code_to_registry_all"](spark, SMALL).groupBy(F.length("code").alias("n")).count().collect()}
     assert lengths == {12: len(blocks), 5: len(ids(nodes.where("level = 7"), "parent_id")), 2: 5}
+
+
+TEXTS = [None, "", "12番地と３４号\n二千四十五万 and 7 more", "字Ａｂ―ｃ\nßtraße １２", "9" * 30 + " x", "0" * 3 + "8" * 6000, "abc 12 " * 40_000, "通り１条"]
+
+
+def test_whole_texts(spark, tmp_path):
+    from addrspark.functions.normalize import Standard
+    from addrspark.functions.numbers import read_number
+
+    spark.createDataFrame(list(enumerate(TEXTS)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {name: {r["doc_id"]: r for r in probes.queries()[name](spark, str(tmp_path)).collect()} for name in ("std_native_text", "std_full_text", "get_number_text")}
+    s = Standard()
+    for k, t in enumerate(TEXTS):
+        assert got["std_native_text"][k]["std"] == s.plain(t)
+        assert got["std_full_text"][k]["std"] == s(t)
+    assert [got["std_full_text"][k]["std"] for k in (2, 3, 4)] == ["12.番地ト34.号\n20450000. AND 7. MORE", "AB-C\nSSTRASSE 12.", "9" * 30 + ". X"]
+    assert got["std_full_text"][5]["std"] == "8" * 6000 + "."
+    assert [(got["get_number_text"][k]["n"], got["get_number_text"][k]["i"]) for k in (0, 2, 4)] == [(0, 0), (12, 2), (None, 30)]
+    assert all(got["get_number_text"][k]["i"] == read_number(t or "")[1] for k, t in enumerate(TEXTS))
+
+
+def test_documents_are_read_whole(spark):
+    from addrspark.functions.normalize import Standard
+
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    s = Standard()
+    for name, of in (("std_native_text", s.plain), ("std_full_text", s)):
+        assert {r["doc_id"]: r["std"] for r in probes.queries()[name](spark, SMALL).collect()} == {k: of(t) for k, t in docs.items()}
