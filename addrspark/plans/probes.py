@@ -63,6 +63,11 @@ def _append(n: DataFrame) -> DataFrame:
     return tree.dense_positions(n.where("level <= 3").select("id", "name"), "id", name="pos", first=10).select("name", "pos")
 
 
+@probe("append_positions_all", "SELECT name, row_number() OVER (ORDER BY id) + 9 AS pos FROM nodes")
+def _append_all(n: DataFrame) -> DataFrame:
+    return tree.dense_positions(n.select("id", "name"), "id", name="pos", first=10).select("name", "pos")
+
+
 @probe("update_merge", "SELECT id, CASE WHEN id % 5 = 0 THEN 'renamed' ELSE name END AS name, CASE WHEN id % 10 = 0 THEN 9 ELSE priority END AS priority FROM nodes")
 def _update(n: DataFrame) -> DataFrame:
     from ..sources.store import merge_updates
@@ -77,6 +82,9 @@ probe("parent_join", "SELECT a.id, p.name AS parent_name FROM nodes a LEFT JOIN
 probe("children_list", "SELECT p.id, string_agg(c.name, '/' ORDER BY c.id) AS children FROM nodes p JOIN nodes c ON c.parent_id = p.id WHERE p.level = 3 GROUP BY p.id")(
     lambda n: tree.children(n, n.where("level = 3")).groupBy(F.col("of").alias("id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("id", "name"))), lambda s: s["name"]), "/").alias("children"))
 )
+probe("children_list_all", "SELECT p.id, string_agg(c.name, '/' ORDER BY c.id) AS children FROM nodes p JOIN nodes c ON c.parent_id = p.id GROUP BY p.id")(
+    lambda n: tree.children(n, n).groupBy(F.col("of").alias("id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("id", "name"))), lambda s: s["name"]), "/").alias("children"))
+)
 probe("child_by_name", "SELECT parent_id, name_index, id FROM nodes WHERE level = 7 AND c % 7 = 3")(
     lambda n: tree.child_by_name(n, n.where("level = 7 AND try_cast(substring(name, 10) AS int) % 7 = 3").select("parent_id", "name_index")).select("parent_id", "name_index", "id")
 )
@@ -90,6 +98,9 @@ probe(
 probe("parent_list", "SELECT a.id, string_agg(CAST(p.id AS VARCHAR), ',' ORDER BY p.id) AS path FROM nodes a JOIN nodes p ON p.id <= a.id AND a.id < p.sibling_id WHERE a.level <= 7 GROUP BY a.id")(
     lambda n: n.where("level <= 7").select("id", F.array_join(F.col("path_ids").cast("array<string>"), ",").alias("path"))
 )
+probe("parent_list_all", "SELECT a.id, string_agg(CAST(p.id AS VARCHAR), ',' ORDER BY p.id) AS path FROM nodes a JOIN nodes p ON p.id <= a.id AND a.id < p.sibling_id GROUP BY a.id")(
+    lambda n: n.select("id", F.array_join(F.col("path_ids").cast("array<string>"), ",").alias("path"))
+)
 probe("nodes_by_level", "SELECT a.id, len(list_filter([1, 3, 7, 8], lambda v: v <= a.level)) AS levels, a.level + 1 AS slots FROM nodes a")(
     lambda n: tree.nodes_by_level(n).select("id", F.size(F.filter("levels", lambda x: F.size(x) > 0)).cast("bigint").alias("levels"), F.size("levels").alias("slots"))
 )
@@ -121,10 +132,22 @@ probe("level_name", "SELECT id, CASE level WHEN 1 THEN '都道府県' WHEN 3 THE
 probe("map_links", "SELECT id, printf('https://maps.gsi.go.jp/#%d/%.6f/%.6f/', level + 9, y, x) AS gsi, printf('https://maps.google.com/maps?q=%.6f,%.6f&z=%d', y, x, level + 9) AS google FROM nodes WHERE level = 7")(
     lambda n: n.where("level = 7").select("id", tree.map_links()[0].alias("gsi"), tree.map_links()[1].alias("google"))
 )
+probe("map_links_all", "SELECT id, printf('https://maps.gsi.go.jp/#%d/%.6f/%.6f/', level + 9, y, x) AS gsi, printf('https://maps.google.com/maps?q=%.6f,%.6f&z=%d', y, x, level + 9) AS google FROM nodes")(
+    lambda n: n.select("id", tree.map_links()[0].alias("gsi"), tree.map_links()[1].alias("google"))
+)
 probe("shown_name", "SELECT id, CASE WHEN name = '.' THEN '-' ELSE name END AS shown FROM nodes")(lambda n: n.select("id", tree.shown_name("-").alias("shown")))
 probe("geojson", "SELECT id, 'Feature' AS type, name, level FROM nodes WHERE level <= 3")(
     lambda n: tree.geojson(n.where("level <= 3")).select("id", F.get_json_object("geojson", "$.type").alias("type"), F.get_json_object("geojson", "$.properties.name").alias("name"), F.get_json_object("geojson", "$.properties.level").cast("int").alias("level"))
 )
+probe("geojson_all", "SELECT id, 'Feature' AS type, name, level, round(x, 6) AS x, round(y, 6) AS y FROM nodes")(
+    lambda n: tree.geojson(n).select(
+        "id",
+        F.get_json_object("geojson", "$.type").alias("type"),
+        F.get_json_object("geojson", "$.properties.name").alias("name"),
+        F.get_json_object("geojson", "$.properties.level").cast("int").alias("level"),
+        *[F.round(F.get_json_object("geojson", f"$.geometry.coordinates[{k}]").cast("double"), 6).alias(c) for k, c in enumerate("xy")],
+    )
+)
 probe("dummy_coords", "SELECT a.id, round(CASE WHEN a.x <= 180 THEN a.x ELSE coalesce((SELECT arg_min(k.x, k.id) FROM nodes k WHERE k.parent_id = a.id AND k.x <= 180), a.x) END, 6) AS fx FROM nodes a")(
     lambda n: tree.dummy_coordinates(n).select("id", F.round("fx", 6).alias("fx"))
 )
@@ -339,6 +362,13 @@ def _triangle(n: DataFrame) -> DataFrame:
     return n.where("level = 7").select("id", in_triangle_column(F.col("x"), F.col("y"), *_corners()).alias("inside"))
 
 
+@probe("point_in_triangle_all", ", s AS (SELECT id, (135.9 - 135.2) * (y - 35.1) - (35.2 - 35.1) * (x - 135.2) AS a, (135.5 - 135.9) * (y - 35.2) - (35.7 - 35.2) * (x - 135.9) AS b, (135.2 - 135.5) * (y - 35.7) - (35.1 - 35.7) * (x - 135.5) AS c FROM nodes) SELECT id, (a > 0 AND b > 0 AND c > 0) OR (a < 0 AND b < 0 AND c < 0) AS inside FROM s")
+def _triangle_all(n: DataFrame) -> DataFrame:
+    from ..functions.geometry import in_triangle_column
+
+    return n.select("id", in_triangle_column(F.col("x"), F.col("y"), *_corners()).alias("inside"))
+
+
 @probe("circumcircle", ", p AS (SELECT id, x AS ax, y AS ay, 135.2 - x AS bx, 35.1 - y AS b, 135.9 - x AS cx, 35.2 - y AS c FROM nodes WHERE level = 7), d AS (SELECT *, 2 * (bx * c - b * cx) AS d FROM p), u AS (SELECT id, ax, ay, (c * (bx * bx + b * b) - b * (cx * cx + c * c)) / d AS ux, (bx * (cx * cx + c * c) - cx * (bx * bx + b * b)) / d AS uy FROM d WHERE abs(d) > 0.01) SELECT id, round(ax + ux, 6) AS x, round(ay + uy, 6) AS y, round(ux * ux + uy * uy, 6) AS r2 FROM u")
 def _circle(n: DataFrame) -> DataFrame:
     from ..functions.geometry import circumcircle_columns, cross_column
@@ -349,13 +379,24 @@ def _circle(n: DataFrame) -> DataFrame:
     return n.where("level = 7").where(far).select("id", F.round(x, 6).alias("x"), F.round(y, 6).alias("y"), F.round(r2, 6).alias("r2"))
 
 
+@probe("circumcircle_all", ", p AS (SELECT id, x AS ax, y AS ay, 135.2 - x AS bx, 35.1 - y AS b, 135.9 - x AS cx, 35.2 - y AS c FROM nodes WHERE x BETWEEN -180 AND 180 AND y BETWEEN -90 AND 90), d AS (SELECT *, 2 * (bx * c - b * cx) AS d FROM p), u AS (SELECT id, ax, ay, (c * (bx * bx + b * b) - b * (cx * cx + c * c)) / d AS ux, (bx * (cx * cx + c * c) - cx * (bx * bx + b * b)) / d AS uy FROM d WHERE abs(d) > 0.01) SELECT id, round(ax + ux, 6) AS x, round(ay + uy, 6) AS y, round(ux * ux + uy * uy, 6) AS r2 FROM u")
+def _circle_all(n: DataFrame) -> DataFrame:
+    from ..functions.geometry import circumcircle_columns, cross_column
+
+    b = [F.lit(v) for v in (135.2, 35.1, 135.9, 35.2)]
+    far = F.abs(2 * cross_column(F.col("x"), F.col("y"), *b)) > 0.01
+    x, y, r2 = circumcircle_columns(F.col("x"), F.col("y"), *b)
+    return n.where(tree.has_coordinates()).where(far).select("id", F.round(x, 6).alias("x"), F.round(y, 6).alias("y"), F.round(r2, 6).alias("r2"))
+
+
 @probe("geodesic")
 def _geodesic(n: DataFrame) -> DataFrame:
     from ..functions.geometry import geodesic
     from pyspark.sql import types as T
 
     metres = F.pandas_udf(lambda x, y: x * 0 + geodesic(x, y, 135.5, 35.4), T.DoubleType())
-    return n.where("level = 7").select("id", metres("x", "y").alias("metres"))
+    x, y = (F.when(tree.has_coordinates(), F.col(c)) for c in ("x", "y"))
+    return n.select("id", metres(x, y).alias("metres"))
 
 
 # --- text
@@ -443,7 +484,7 @@ def _match_len(n: DataFrame) -> DataFrame:
 
     s = Standard()
     length = F.pandas_udf(lambda a, b: pd.Series([match_length(x, y) for x, y in zip(a, b, strict=True)], dtype="int64"), T.LongType())
-    return n.where("level = 7").select("id", length(s.plain_column("name"), s.column("name")).alias("n"))
+    return n.select("id", length(s.plain_column("name"), s.column("name")).alias("n"))
 
 
 @probe("geocode_full", "SELECT id AS qid, id AS node_id, length(name) AS tail FROM nodes WHERE level = 7")
@@ -460,6 +501,15 @@ def _geocode(n: DataFrame) -> DataFrame:
     return found.join(up, "node_id").select("qid", "node_id", (F.length("matched") - F.col("head")).cast("bigint").alias("tail"))
 
 
+@probe("geocode_full_all")
+def _geocode_all(n: DataFrame) -> DataFrame:
+    from ..functions.normalize import Standard
+    from ..operators.search import Gazetteer, geocode
+
+    g = Gazetteer(n.withColumn("name_index", Standard().column("name")))
+    return geocode(g, n.select(F.col("id").alias("qid"), F.concat(F.array_join("path_names", ""), F.lit(" and more")).alias("query")))
+
+
 @probe(
     "level_guess",
     "SELECT n_nationkey AS k, CASE WHEN n_nationkey % 7 < 1 THEN 1 WHEN n_nationkey % 7 = 1 AND n_nationkey % 5 = 0 THEN 2 WHEN n_nationkey % 5 = 1 AND n_nationkey % 7 < 3 THEN 3 WHEN n_nationkey % 5 = 1 AND n_nationkey % 7 IN (3, 5) THEN n_nationkey % 7 + 1 WHEN n_nationkey % 5 = 2 AND n_nationkey % 7 = 3 THEN 4 WHEN n_nationkey % 7 < 5 THEN 5 WHEN n_nationkey % 7 = 5 THEN 6 WHEN n_nationkey % 2 = 0 THEN 6 ELSE 7 END AS level FROM nation",

@@ -61,3 +61,14 @@ def test_documents_are_read_whole(spark):
     s = Standard()
     for name, of in (("std_native_text", s.plain), ("std_full_text", s)):
         assert {r["doc_id"]: r["std"] for r in probes.queries()[name](spark, SMALL).collect()} == {k: of(t) for k, t in docs.items()}
+
+
+def test_every_level_is_asked(spark):
+    nodes, queries = star_nodes(spark, SMALL), probes.queries()
+    every, placed = ids(nodes), ids(nodes.where(tree.has_coordinates()))
+    for name in ("geodesic", "match_len", "parent_list_all", "map_links_all", "geojson_all", "point_in_triangle_all"):
+        assert ids(queries[name](spark, SMALL)) == every, name
+    assert ids(queries["geodesic"](spark, SMALL).where("metres is not null and not isnan(metres)")) == placed
+    assert ids(queries["children_list_all"](spark, SMALL)) == ids(nodes.where("parent_id > 0"), "parent_id")
+    assert ids(queries["append_positions_all"](spark, SMALL), "pos") == {*range(10, 10 + len(every))}
+    assert {r[0] for r in queries["circumcircle_all"](spark, SMALL).join(nodes.select("id", "level"), "id").select("level").distinct().collect()} == {7, 8}
