@@ -15,9 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .numbers import HYPHENS, NUMERIC, read_number
+from .variant_table import VARIANTS
 
-# Representative -> variants. The common ones; a full table is a parameter (see load_variants).
-VARIANTS = {"が": "ケヶガ", "っ": "ツッ", "の": "ノ乃之", "竜": "龍", "篭": "籠", "薮": "籔藪", "波": "浪", "沢": "澤", "辺": "邊邉", "斉": "齋齊斎", "崎": "﨑嵜", "浜": "濱", "桧": "檜", "渓": "溪", "国": "國", "広": "廣", "条": "條", "桜": "櫻", "瀬": "瀨", "滝": "瀧", "島": "嶋嶌", "高": "髙", "吉": "𠮷", "鉄": "鐵", "塩": "鹽"}
 PREFIXES = ("字", "大字", "小字")
 _ASCII = {c: c - 0xFEE0 for c in range(0xFF01, 0xFF5F)}
 _KATAKANA = {c: c + 0x60 for c in range(0x3041, 0x3097)}
@@ -104,9 +103,9 @@ def without_middles(name: str) -> set[str]:
     return out
 
 
-def aza_name_column(names: Column) -> Column:
+def aza_name_column(names: Column, standard: Standard | None = None) -> Column:
     """Registry names in one standard string: each without a prefix, and without optional letters inside its body."""
-    standard = Standard()
+    standard = standard or Standard()
 
     def one(x: Column) -> Column:
         s = standard.plain_column(x)

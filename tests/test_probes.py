@@ -72,3 +72,16 @@ def test_every_level_is_asked(spark):
     assert ids(queries["children_list_all"](spark, SMALL)) == ids(nodes.where("parent_id > 0"), "parent_id")
     assert ids(queries["append_positions_all"](spark, SMALL), "pos") == {*range(10, 10 + len(every))}
     assert {r[0] for r in queries["circumcircle_all"](spark, SMALL).join(nodes.select("id", "level"), "id").select("level").distinct().collect()} == {7, 8}
+
+
+def test_whole_variant_table(spark):
+    from addrspark.functions.normalize import VARIANTS, Standard, aza_name_column
+
+    s = Standard()
+    pairs = [(c, rep) for rep, chars in VARIANTS.items() for c in chars]
+    assert len(pairs) == 739 and len(VARIANTS) == 656
+    assert [c for c, rep in pairs if s.map.get(c, c) != rep] == []
+    assert s("亞鰺壓驛") == "亜鯵圧駅"
+    frame = spark.createDataFrame([("亞鰺壓驛",)], "t string")
+    got = frame.select(s.column("t").alias("a"), aza_name_column(F.array("t")).alias("b"), aza_name_column(F.array("t"), Standard({})).alias("c")).first()
+    assert tuple(got) == ("亜鯵圧駅", "亜鯵圧駅", "亞鰺壓驛")
