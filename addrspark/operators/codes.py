@@ -110,18 +110,19 @@ def registry_key(code: str | Column) -> Column:
 def search_registry(registry: DataFrame, codes: DataFrame) -> DataFrame:
     """codes (code) with the first registry row, by code, that the code's digits begin; none gives no row.
 
-    Two digits answer with the prefecture alone and five with the names down to the ward, all other fields empty.
+    Two digits answer with the prefecture alone and five with the names down to the ward, all other fields empty; any
+    other number of digits with the whole row.
     """
-    lengths = (2, 5, 12)
     wanted = codes.select("code", registry_key("code").alias("__key"))
+    lengths = [r[0] for r in wanted.select(F.length("__key")).distinct().collect()]  # one a length
     keyed = None
-    for n in lengths:
+    for n in sorted(x for x in lengths if x) or [12]:
         part = registry.groupBy(F.substring("code", 1, n).alias("__key")).agg(F.min_by(F.struct(*[F.col(c) for c in registry.columns]), "code").alias("r")).where(F.length("__key") == n)
         keyed = part if keyed is None else keyed.unionByName(part)
     hit = wanted.join(keyed, "__key")
     most = F.when(F.length("__key") == 2, 1).when(F.length("__key") == 5, 4).otherwise(99)
     names = F.filter("r.names", lambda x: x["level"] <= most)
-    part = F.length("__key") < 12
+    part = F.length("__key").isin(2, 5)
     return hit.select("code", F.when(part, F.col("__key")).otherwise(F.col("r.code")).alias("aza_code"), names.alias("names"), F.when(~part, F.col("r.aza_class")).alias("aza_class"), F.when(~part, F.col("r.postcode")).alias("postcode"))
 
 

@@ -85,3 +85,19 @@ def test_whole_variant_table(spark):
     frame = spark.createDataFrame([("亞鰺壓驛",)], "t string")
     got = frame.select(s.column("t").alias("a"), aza_name_column(F.array("t")).alias("b"), aza_name_column(F.array("t"), Standard({})).alias("c")).first()
     assert tuple(got) == ("亜鯵圧駅", "亜鯵圧駅", "亞鰺壓驛")
+
+
+def test_registry_by_prefixes_of_any_length(spark):
+    from addrspark.operators import codes
+
+    names = lambda *of: [(level, name) for level, name in of]
+    rows = [("131040023002", names((1, "p"), (3, "c"), (5, "o"), (6, "a")), 2, ["1"]), ("131040023003", names((1, "p"), (3, "c"), (5, "o"), (6, "b")), 2, ["2"])]
+    registry = spark.createDataFrame(rows, "code string, names array<struct<level:int,name:string>>, aza_class int, postcode array<string>")
+    asked = ["131", "131040023", "13104002300", "131040023003", "13104", "13", "1310410023003", "999", "", None]
+    got = {r["code"]: r for r in codes.search_registry(registry, spark.createDataFrame([(c,) for c in asked], "code string")).collect()}
+    first, second = rows[0][0], rows[1][0]
+    assert {c: (r["aza_code"], len(r["names"]), r["postcode"]) for c, r in got.items()} == {
+        "131": (first, 4, ["1"]), "131040023": (first, 4, ["1"]), "13104002300": (first, 4, ["1"]), "131040023003": (second, 4, ["2"]),
+        "13104": ("13104", 2, None), "13": ("13", 1, None), "1310410023003": (second, 4, ["2"]),
+    }
+    assert codes.search_registry(registry, spark.createDataFrame([], "code string")).count() == 0
