@@ -9,15 +9,44 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not root:  # only where nothing is configured, as in tests on one machine
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="gazetteer-"))
-        root = spark.sparkContext.getCheckpointDir()
-    return root.rstrip("/")
+    """spark.checkpoint.dir, with a folder of the application's own in it.
+
+    Where nothing is configured, a temporary folder serves a session on one machine; on a cluster, whose executors would
+    each write to their own disk, that raises. clear_shared deletes the application's folder.
+    """
+    context = spark.sparkContext
+    root = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not root:
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="addrspark-"))
+        root = context.getCheckpointDir()
+    return f"{root.rstrip('/')}/addrspark-{context.applicationId}"
+
+
+def shared_path(spark: SparkSession, tag: str) -> str:
+    return f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
 def staged(df: DataFrame, tag: str) -> DataFrame:
-    """Write df to the shared folder and read it back."""
-    path = f"{shared_folder(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
+    """Write df to the shared folder and read it back: lineage ends here, and a lost executor costs a reread only."""
+    path = shared_path(df.sparkSession, tag)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the files of staged frames that nothing reads any more."""
+    for df in frames:
+        for f in df.inputFiles()[:1]:
+            _delete(df.sparkSession, f.rsplit("/", 1)[0])
+
+
+def clear_shared(spark: SparkSession) -> None:
+    """Delete all that this application has staged; call it when no result is read any more."""
+    _delete(spark, shared_folder(spark))
