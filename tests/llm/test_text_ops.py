@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import public_tokenizers
 import pytest
 import regex
@@ -21,22 +22,33 @@ def docs(spark, texts, ids=None):
     return spark.createDataFrame(rows, "doc_id bigint, text string, source string, n_tokens string")
 
 
+def each_match(enc, text):
+    return [i for m in regex.findall(public_tokenizers.PATTERN, text) for i in enc._encode_single_piece(m)]
+
+
 def test_pieces_change_no_ids():
-    enc, _ = bpe.encoding(RANKS, public_tokenizers.PATTERN)
+    codec = bpe.codec(RANKS, public_tokenizers.PATTERN)
     rng = random.Random(5)
-    for _ in range(60):
-        text = "".join(rng.choice(["ab", " ", "  ", "\n", "\n\n", "é", "1", "'s", "!", ".", "\t", "漢"]) for _ in range(300))
-        parts = bpe.pieces(text, 20)
-        assert "".join(parts) == text
-        assert [i for p in parts for i in enc.encode_ordinary(p)] == enc.encode_ordinary(text)
+    for words in (["ab", " ", "  ", "\n", "\n\n", "é", "1", "'s", "!", ".", "\t", "漢"], [" ", "\n", "\t", "\u3000"], ["漢", "字", "。", "1"], ["x"]):
+        for _ in range(40):
+            text = "".join(rng.choice(words) for _ in range(300))
+            assert codec.encode(text, 20) == each_match(codec.enc, text)
+
+
+@pytest.mark.parametrize("text", [" " * 1_000_000, "\n" * 1_200_000 + "a", "x" * 1_000_000, "漢字。" * 400_000, " \n" * 600_000 + "b", "a b " * 50_000 + " " * 900_000 + "cd " * 50_000, "1" * 1_000_000])
+def test_very_long_runs(text):
+    codec = bpe.codec(RANKS, public_tokenizers.PATTERN)
+    ids = codec.encode(text)
+    assert ids == each_match(codec.enc, text) and codec.enc.decode_bytes(ids) == text.encode()
 
 
 def test_bpe_each_match_and_round_trip(spark):
-    enc, _ = bpe.encoding(RANKS, public_tokenizers.PATTERN)
-    got = {r["doc_id"]: r for r in bpe.bpe_encode(docs(spark, TEXTS), RANKS, public_tokenizers.PATTERN, ["doc_id", "n_tokens"], ids=True).collect()}
-    for k, t in enumerate(TEXTS):
+    codec = bpe.codec(RANKS, public_tokenizers.PATTERN)
+    texts = [*TEXTS, "\u2003" * 1_000_000]
+    got = {r["doc_id"]: r for r in bpe.bpe_encode(docs(spark, texts), RANKS, public_tokenizers.PATTERN, ["doc_id", "n_tokens"], ids=True).collect()}
+    for k, t in enumerate(texts):
         t = t or ""
-        ids = [i for m in regex.findall(public_tokenizers.PATTERN, t) for i in enc.encode_ordinary(m)]
+        ids = each_match(codec.enc, t)
         assert got[k]["token_ids"] == ids and got[k]["n_tokens"] == len(ids)
         assert got[k]["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert got[k]["decoded_sha256"] == hashlib.sha256(t.encode()).hexdigest()
@@ -59,7 +71,7 @@ def plain_hits(text, items, window=10):
     return len(mine), len(hit), sorted(names)
 
 
-@pytest.mark.parametrize("block", [1 << 20, 40])
+@pytest.mark.parametrize("block", [1 << 20, 400])
 def test_decontamination(spark, block):
     rng = random.Random(2)
     word = lambda: rng.choice(["a", "B1", "ç", "dé", "e"])
@@ -81,6 +93,24 @@ def test_decontamination(spark, block):
     assert decontaminate.decontaminate(docs(spark, texts), bench.limit(0), ["doc_id"]).where("contaminated").count() == 0
 
 
+def test_a_block_takes_what_it_says():
+    rng = random.Random(7)
+    words = [("%x" % rng.getrandbits(24)).encode() for _ in range(5000)]
+    items = [(str(k), b" ".join(rng.choice(words) for _ in range(100))) for k in range(2000)]
+    grams = decontaminate.Grams(items)
+    assert grams.size() <= sum(len(t) + 24 * 100 + len(n) + 60 for n, t in items) + (1 << decontaminate.SIEVE_BITS) // 8
+    text = decontaminate.Folded(items[7][1].split()[30:60] + [b"zz"] * 5 + items[9][1].split()[:10])
+    hit, names = grams.scan(text)
+    assert hit.tolist() == [True] * 30 + [False] * 5 + [True] * 10 and names == {"7", "9"}
+
+
+def test_equal_hashes_are_compared(monkeypatch):
+    monkeypatch.setattr(decontaminate.Folded, "windows", lambda self, n: (np.zeros(len(self.starts) - n + 1, np.uint64), self.starts[: len(self.starts) - n + 1], self.stops[n - 1 :]))
+    grams = decontaminate.Grams([("a", b"one two"), ("b", b"two one"), ("c", b"one two")])
+    hit, names = grams.scan(decontaminate.Folded([b"x", b"one", b"two", b"two"]))
+    assert hit.tolist() == [False, True, True, False] and names == {"a", "c"}
+
+
 def plain_fingerprint(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     if not words:
@@ -105,8 +135,8 @@ def plain_groups(fps):
     return [find(k) for k in range(len(fps))]
 
 
-@pytest.mark.parametrize("max_list", [512, 2])
-def test_simhash(spark, max_list):
+@pytest.mark.parametrize(("max_list", "key_bytes"), [(64, 3), (2, 3), (64, 4)])
+def test_simhash(spark, max_list, key_bytes):
     rng = random.Random(3)
     base = [" ".join(rng.choice("abcdefgh") * rng.randint(1, 3) for _ in range(60)) for _ in range(5)]
     texts = [None, "", " \t", "A b", "a B", "one two three four", *base]
@@ -116,7 +146,7 @@ def test_simhash(spark, max_list):
         texts.append(" ".join(w))
     texts.append("Long " * 20000)
     fps = [plain_fingerprint(t) for t in texts]
-    got = {r["doc_id"]: r for r in simhash.simhash_groups(docs(spark, texts), max_list=max_list).collect()}
+    got = {r["doc_id"]: r for r in simhash.simhash_groups(docs(spark, texts), max_list=max_list, key_bytes=key_bytes).collect()}
     assert [got[k]["fingerprint"] for k in range(len(texts))] == [f"{x:016x}" for x in fps]
     assert [got[k]["component_id"] for k in range(len(texts))] == plain_groups(fps)
 
@@ -129,12 +159,24 @@ def test_simhash_links_at_every_distance(spark):
         fps.append(x)
         for d in (1, 2, 3, 4, 5, 6):
             fps.append(x ^ sum(1 << b for b in rng.sample(range(64), d)))
-    signed = [x - (1 << 64) if x >> 63 else x for x in fps]
+        fps.append(x ^ sum(1 << rng.randrange(8 * p, 8 * p + 8) for p in rng.sample(range(8), 4)))  # a bit in each of four bytes
+    signed = [x - (1 << 64) if x >> 63 else x for x in dict.fromkeys(fps)]
     frame = spark.createDataFrame([(x,) for x in signed], "fp bigint")
-    want = {(min(a, b), max(a, b)) for i, a in enumerate(signed) for j, b in enumerate(signed[:i]) if bin(fps[i] ^ fps[j]).count("1") <= 4}
-    assert {(r["a"], r["b"]) for r in simhash.links(frame).collect()} == want
-    roots = lambda n: {(r["v"], r["root"]) for r in simhash.components(simhash.links(frame, n)).collect()}
-    assert roots(512) == roots(1)
+    apart = lambda a, b: bin((a ^ b) & (1 << 64) - 1).count("1")
+    want = {(min(a, b), max(a, b)) for i, a in enumerate(signed) for j, b in enumerate(signed[:i]) if apart(a, b) <= 4}
+    for q in (3, 4):
+        assert {(r["a"], r["b"]) for r in simhash.links(frame, key_bytes=q).collect()} == want
+    dense = simhash.links(frame, 1)
+    assert all(apart(r["a"], r["b"]) <= 4 for r in dense.collect())
+    roots = lambda edges: {(r["v"], r["root"]) for r in simhash.components(edges).collect()}
+    assert roots(simhash.links(frame)) == roots(dense)
+
+
+def test_one_row_of_each_component_stays(spark):
+    d = spark.createDataFrame([(1, "q w e r t"), (1, "z z z z"), (2, "z z z z"), (2, "q w e r t"), (3, "u"), (3, "u"), (None, "u")], "doc_id bigint, `te.xt` string").toDF("doc_id", "TEXT").selectExpr("doc_id", "TEXT", "1 AS `a.b`", "2 AS __id", "3 AS fp")
+    kept = simhash.drop_near_duplicates(d)
+    assert kept.columns == d.columns
+    assert sorted(map(str, (tuple(r) for r in kept.collect()))) == sorted(map(str, [(1, "q w e r t", 1, 2, 3), (1, "z z z z", 1, 2, 3), (3, "u", 1, 2, 3), (None, "u", 1, 2, 3)]))
 
 
 def test_simhash_ties_nulls_and_empty(spark):
