@@ -8,14 +8,18 @@ be taken at ten less than the lowest score, and counts as many tokens as it has
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from .common import map_slices, table
+from .common import Narrow, table, text_of
 
 MARK = "▁"
+BLANK = re.compile(f"[ {MARK}]")
+#: Texts longer than this are parted one part at a time.
+LONG_CHARS = 1 << 20
 UNKNOWN_PENALTY = 10.0
 #: Parts whose counts a worker keeps, and the longest of them.
 CACHE_PARTS, CACHE_CHARS = 300_000, 64
@@ -43,39 +47,51 @@ class Counter:
         for piece, score in pieces:
             self.matches.add_word(piece, (len(piece), score))
         self.matches.make_automaton()
+        self.reach = max((len(p) for p, _ in pieces), default=0) + 1
         self.unknown = min((s for _, s in pieces), default=0.0) - UNKNOWN_PENALTY
         self.known: dict[str, tuple[float, int]] = {}
 
     def part(self, text: str) -> tuple[float, int]:
-        """Best score and number of tokens of one part."""
-        n = len(text)
-        score, count = [0.0] * (n + 1), [0] * (n + 1)
-        ends: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
-        for at, found in self.matches.iter(text):
-            ends[at + 1].append(found)
-        for end in range(1, n + 1):
-            best, start, step = None, -1, 0
-            single = False
-            for length, s in ends[end]:
+        """Best score and number of tokens of one part.
+
+        Matches come in the order of their ends and no piece is longer than the ring of the last ends, so the memory
+        does not grow with the text.
+        """
+        ring = self.reach
+        score, count = [0.0] * ring, [0] * ring
+        matches = iter(self.matches.iter(text))
+        match = next(matches, None)
+        for at, letter in enumerate(text):
+            end = at + 1
+            best, start, step, single = None, -1, 0, False
+            while match is not None and match[0] == at:
+                length, s = match[1]
                 single |= length == 1
-                now = score[end - length] + s
+                now = score[(end - length) % ring] + s
                 if best is None or now > best or now == best and end - length < start:
                     best, start, step = now, end - length, 1
+                match = next(matches, None)
             if not single:
-                now = score[end - 1] + self.unknown
+                now = score[at % ring] + self.unknown
                 if best is None or now > best:
-                    best, start, step = now, end - 1, len(text[end - 1].encode())
-            score[end], count[end] = best, count[start] + step
-        return score[n], count[n]
+                    best, start, step = now, at, len(letter.encode())
+            score[end % ring], count[end % ring] = best, count[start % ring] + step
+        return score[len(text) % ring], count[len(text) % ring]
+
+    def parts(self, text: str) -> Iterator[str]:
+        """What stands between blanks, one after the other; a blank at the head parts nothing."""
+        at = int(text[:1] in (" ", MARK))
+        while at <= len(text):
+            m = BLANK.search(text, at)
+            stop = m.start() if m else len(text)
+            yield text[at:stop]
+            at = stop + 1
 
     def text(self, text: str) -> tuple[float, int]:
         if not text:
             return 0.0, 0
-        parts = text.replace(MARK, " ").split(" ")
-        if not parts[0]:
-            del parts[0]
         score, count, known = 0.0, 0, self.known
-        for p in parts:
+        for p in self.parts(text) if len(text) > LONG_CHARS else text.replace(MARK, " ").removeprefix(" ").split(" "):
             got = known.get(p)
             if got is None:
                 got = self.part(MARK + p)
@@ -96,20 +112,18 @@ def counter(pieces: tuple[tuple[str, float], ...]) -> Counter:
 def count_tokens(docs: DataFrame, pieces: tuple[tuple[str, float], ...], keep: list[str]) -> DataFrame:
     """The keep columns of every row with n_tokens and score of its whole text.
 
-    A null text counts as empty: no tokens, score 0. Repeated rows give repeated rows; an empty table gives an empty
-    one; a result column replaces a kept column of its name.
+    A null text counts as empty: no tokens, score 0. Of ways with equal scores the tokenizer's own stays (above). Repeated
+    rows give repeated rows; an empty table gives an empty one; a result column replaces a kept column of its name.
     """
+    made = {"n_tokens": "bigint", "score": "double"}
     shared = docs.sparkSession.sparkContext.broadcast(pieces)
-    keep = [c for c in keep if c not in ("n_tokens", "score")]
-    kinds = dict(docs.dtypes)
 
-    def work(cols: dict[str, list]) -> dict[str, list]:
+    def work(cols: dict[str, list]):
         count = counter(shared.value).text
-        got = [count(x) for x in cols["__text"]]
-        return {c: cols[c] for c in keep} | {"n_tokens": [n for _, n in got], "score": [s for s, _ in got]}
+        got = [count(x) for x in cols["text"]]
+        return {"n_tokens": [n for _, n in got], "score": [s for s, _ in got]}, None
 
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "n_tokens bigint", "score double"])
-    return map_slices(docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__text")), work, schema)
+    return Narrow(docs, keep, made, text=("text", text_of)).map(work, made)
 
 
 def op9_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
