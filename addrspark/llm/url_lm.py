@@ -1,10 +1,16 @@
 """URL filter: rules first, then the ratio of two character language models.
 
-URLs that a rule allows or blocks train a variable-order Markov model each: counts of three, two and one symbols over a
-fixed alphabet, each order smoothed towards the next lower one. A URL without a rule is judged by the difference of its
-log-likelihoods, divided by its length, against a threshold that is calibrated on rule-decided URLs held out from the
-counts. Everything is DataFrame expressions. The alphabet has 40 symbols, so the ratio of the two smoothed models is a
-table of 64,000 numbers whatever the input's size; it goes into the plan as a constant array.
+URLs that a rule allows or blocks train a variable-order Markov model each, over whole URLs: scheme, host, path, query and
+fragment, letter by letter as they are, whatever the script. A letter's chance after a context of up to CONTEXT letters is
+smoothed towards that after the next shorter context; contexts seen too seldom are passed over, so that the order follows
+the counts. A URL without a rule is judged by the difference of its log-likelihoods, divided by its length, against a
+threshold that is calibrated on rule-decided URLs held out from the counts.
+
+Everything is DataFrame expressions, and all that is gathered from the URLs are tables that grow with them. A letter with
+its context is a window; the counts of all shorter contexts are sums over the distinct windows. Chances are found order by
+order for the distinct windows that are to be judged, in joins whose keys repeat at most as often as there are letters.
+URLs then meet the log ratios by window: the few windows that make up a large share of all places are broadcast, at most
+HOT of them by definition, and the others are joined by shuffle.
 """
 
 from __future__ import annotations
@@ -12,26 +18,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import Narrow, discard, staged, table, text_of
 
 #: Longest first; (rule, host, path, verdict).
 RULES = [("org/", "org", "/", "allow"), ("example.org/es/", "example.org", "/es/", "block"), ("example.org/en/1", "example.org", "/en/1", "block"), ("com/fr/", "com", "/fr/", "allow"), ("com/de/", "com", "/de/", "block")]
-#: Symbol k of the alphabet; 0 starts a text, 1 ends it, 2 is any other character; a digit is always 0.
-SYMBOLS = "abcdefghijklmnopqrstuvwxyz0./-_%=&+:~"
-SIZE = 40
-#: Weight of the next lower order, and of each symbol at the lowest.
-BACK, FLOOR = 4.0, 0.5
+#: The longest context in letters; how often one must be seen to be used; the weight of the next shorter one; and the
+#: chance of a letter that no context tells anything about.
+CONTEXT, LEAST, BACK, UNIFORM = 5, 3, 2.0, 1 / 1024
+#: Stand before and behind every URL.
+START, STOP = "\x02", "\x03"
 #: URLs whose MD5 starts with one of these digits are held out for calibration.
 HELD = ("0", "1", "2")
+#: A window is hot if it makes up more than one in so many of all places.
+HOT = 1000
+#: With models of one kind of URL alone, how many deviations from its mean a score may lie.
+ALONE = 2.0
 
 
-def parsed(df: DataFrame, url: str = "url") -> DataFrame:
-    """df with host and path; both empty if the url is null or has no ://."""
-    u = F.coalesce(F.col(url).cast("string"), F.lit(""))
-    at = F.locate("://", u)
-    rest = F.when(at > 0, F.substr(u, at + 3)).otherwise("")
+def parsed(df: DataFrame) -> DataFrame:
+    """df (url, not null) with host and path; both empty if the url has no ://."""
+    at = F.locate("://", F.col("url"))
+    rest = F.when(at > 0, F.substr("url", at + 3)).otherwise("")
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    return df.drop("host", "path").withColumn("host", F.translate(F.regexp_extract(rest, "^[^/?#]*", 0), upper, upper.lower())).withColumn("path", F.regexp_extract(rest, "^[^/?#]*([^?#]*)", 1))
+    return df.withColumn("host", F.translate(F.regexp_extract(rest, "^[^/?#]*", 0), upper, upper.lower())).withColumn("path", F.regexp_extract(rest, "^[^/?#]*([^?#]*)", 1))
 
 
 def ruled(df: DataFrame, rules: list[tuple[str, str, str, str]] = RULES) -> DataFrame:
@@ -43,108 +52,151 @@ def ruled(df: DataFrame, rules: list[tuple[str, str, str, str]] = RULES) -> Data
     return df.withColumn("rule", name).withColumn("decided", verdict)
 
 
-def symbols() -> Column:
-    """The codes of host and path, two starts before them and an end behind."""
-    text = F.regexp_replace(F.lower(F.concat("host", "path")), "[0-9]", "0")
-    safe = F.regexp_replace(text, "[^a-z0./_%=&+:~-]", "*")
-    # one printable character a code, from "0" on, so that ascii() gives it back
-    coded = F.translate(safe, SYMBOLS + "*", "".join(chr(51 + k) for k in range(len(SYMBOLS))) + chr(50))
-    return F.transform(F.split(F.concat(F.lit("00"), coded, F.lit("1")), ""), lambda x: F.ascii(x) - 48)
+def windows(rows: DataFrame) -> DataFrame:
+    """rows (without url) with w: each letter of the URL and its end, behind the letters of its context."""
+    kept = [c for c in rows.columns if c != "url"]
+    letters = rows.select(*kept, F.split(F.concat(F.lit(START), "url", F.lit(STOP)), "").alias("c"))
+    cut = F.transform(F.sequence(F.lit(2), F.size("c")), lambda i: F.array_join(F.slice("c", F.greatest(F.lit(1), i - CONTEXT), F.least(i, F.lit(CONTEXT + 1))), ""))
+    return letters.select(*kept, F.explode(cut).alias("w"))
 
 
-def grams() -> Column:
-    """The number of each three symbols in turn: one for each symbol of __s after the two starts."""
-    s = F.col("__s")
-    return F.transform(F.slice(s, 3, F.size(s) - 2), lambda x, i: F.get(s, i) * SIZE * SIZE + F.get(s, i + 1) * SIZE + x)
+def _ends(w: str) -> Column:
+    """A window, and the same with ever shorter contexts."""
+    return F.explode(F.transform(F.sequence(F.lit(1), F.length(w)), lambda n: F.right(F.col(w), n))).alias("g")
 
 
-def held_out() -> Column:
-    return F.substring(F.md5(F.concat("host", "path").cast("binary")), 1, 1).isin(*HELD)
+def ratios(counted: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(w, uses, ratio) of the wanted windows: the log of their chance if allowed, less that if blocked.
 
-
-def ratios(rows: DataFrame) -> DataFrame:
-    """(g, ratio) of every three symbols: the log of their smoothed chance if allowed, less that if blocked.
-
-    rows: decided, __g. The counts are over all rows; the result has SIZE ** 3 rows.
+    counted: w, allow, block: how often each window occurs in the URLs of either kind. wanted: w, uses.
+    """
+    seen = counted.select(_ends("w"), "allow", "block").groupBy("g").agg(F.sum("allow").alias("allow"), F.sum("block").alias("block"))
+    seen = staged(seen, "seen")
+    context = F.left(F.col("g"), F.length("g") - 1)
+    contexts = seen.groupBy(context.alias("context")).agg(F.sum("allow").alias("of_allow"), F.sum("block").alias("of_block")).where(F.col("of_allow") + F.col("of_block") >= LEAST)
+    asked = wanted.select(_ends("w")).distinct().select("g", context.alias("context"), F.length("g").alias("n"))
+    # without its context's count a window's own says nothing
+    asked = asked.join(seen, "g", "left").join(contexts, "context", "left").select("g", "n", *[F.when(F.col("of_allow").isNotNull(), F.coalesce(c, F.lit(0))).otherwise(0).alias(c) for c in ("allow", "block", "of_allow", "of_block")])
+    asked = staged(asked, "asked")
+    level, levels = None, []
+    for n in range(1, CONTEXT + 2):
+        now = asked.where(F.col("n") == n)
+        if level is None:
+            now = now.withColumns({"lower_allow": F.lit(UNIFORM), "lower_block": F.lit(UNIFORM)})
+        else:
+            lower = level.select(F.col("g").alias("end"), F.col("p_allow").alias("lower_allow"), F.col("p_block").alias("lower_block"))
+            now = now.join(lower, F.right("g", F.lit(n - 1)) == F.col("end"))
+        level = staged(now.select("g", *[((F.col(k) + BACK * F.col(f"lower_{k}")) / (F.col(f"of_{k}") + BACK)).alias(f"p_{k}") for k in ("allow", "block")]), "level")
+        levels.append(level)
+    found = levels[0]
+    for more in levels[1:]:
+        found = found.unionByName(more)
+    out = staged(wanted.join(found, F.col("w") == F.col("g")).select("w", "uses", (F.log("p_allow") - F.log("p_block")).alias("ratio")), "ratios")
+    discard(seen, asked, *levels)
+    return out
+
+
+def scores(rows: DataFrame, counted: DataFrame) -> DataFrame:
+    """(rid, score) of rows (rid, url): the mean log ratio of a URL's letters."""
+    places = windows(rows.select("rid", "url"))
+    wanted = staged(places.groupBy("w").agg(F.count("*").alias("uses")), "wanted")
+    total = wanted.agg(F.sum("uses")).first()[0] or 0
+    known = ratios(counted, wanted)
+    hot = F.col("uses") * HOT > total
+    met = places.join(F.broadcast(known.where(hot).select("w", "ratio")), "w", "left")  # fewer than HOT rows
+    often = met.where("ratio is not null").select("rid", "ratio")
+    seldom = met.where("ratio is null").select("rid", "w").join(known.where(~hot).select("w", "ratio"), "w").select("rid", "ratio")
+    out = staged(often.unionByName(seldom).groupBy("rid").agg((F.sum("ratio") / F.count("*")).alias("score")), "scores")
+    discard(wanted, known)
+    return out
+
+
+def threshold(found: dict[str, tuple[float, float]]) -> float:
+    """The score from which on a URL is allowed. found: mean and deviation of the calibration URLs of either kind.
+
+    Between the means, nearer to that with the smaller deviation. With one kind alone, ALONE deviations from its mean, so
+    that what is unlike it gets the other verdict; with none, 0, which every URL's score then is.
     """
-    spark = rows.sparkSession
-    n3 = rows.select("decided", F.explode("__g").alias("g")).groupBy("decided", "g").agg(F.count("*").alias("n3"))
-    every = spark.range(SIZE**3).select(F.col("id").cast("int").alias("g"), F.explode(F.array(F.lit("allow"), F.lit("block"))).alias("decided"))
-    full = every.join(n3, ["decided", "g"], "left").select("decided", "g", F.coalesce("n3", F.lit(0)).alias("n3"), (F.col("g") % (SIZE * SIZE)).alias("bc"), F.expr(f"g div {SIZE}").alias("ab"))
-    n2 = full.groupBy("decided", "bc").agg(F.sum("n3").alias("n2")).withColumn("b", F.expr(f"bc div {SIZE}")).withColumn("c", F.col("bc") % SIZE)
-    n1 = n2.groupBy("decided", "c").agg(F.sum("n2").alias("n1"))
-    total = n1.groupBy("decided").agg(F.sum("n1").alias("n"))
-    p1 = n1.join(F.broadcast(total), "decided").select("decided", "c", ((F.col("n1") + FLOOR) / (F.col("n") + FLOOR * SIZE)).alias("p1"))
-    of_b = n2.groupBy("decided", "b").agg(F.sum("n2").alias("nb"))
-    p2 = n2.join(F.broadcast(p1), ["decided", "c"]).join(F.broadcast(of_b), ["decided", "b"]).select("decided", "bc", ((F.col("n2") + BACK * F.col("p1")) / (F.col("nb") + BACK)).alias("p2"))
-    of_ab = full.groupBy("decided", "ab").agg(F.sum("n3").alias("nab"))
-    p3 = full.join(F.broadcast(p2), ["decided", "bc"]).join(F.broadcast(of_ab), ["decided", "ab"]).select("decided", "g", F.log((F.col("n3") + BACK * F.col("p2")) / (F.col("nab") + BACK)).alias("l"))
-    return p3.groupBy("g").agg((F.sum(F.when(F.col("decided") == "allow", F.col("l"))) - F.sum(F.when(F.col("decided") == "block", F.col("l")))).alias("ratio"))
+    if len(found) == 2:
+        (ma, sa), (mb, sb) = found["allow"], found["block"]
+        return (ma * sb + mb * sa) / (sa + sb)
+    if "allow" in found:
+        return found["allow"][0] - ALONE * found["allow"][1]
+    return found["block"][0] + ALONE * found["block"][1] if found else 0.0
 
 
 def filter_urls(pages: DataFrame, keep: list[str], rules: list[tuple[str, str, str, str]] = RULES) -> DataFrame:
-    """The keep columns of every row with host, path, rule, verdict and score.
+    """The keep columns of every row with host, path, rule, verdict and, where no rule fits, score.
 
-    A null url, or one without ://, has empty host and path and is judged by the models. If the rules allow no URL or
-    block none, every other URL has score 0 and is allowed. Repeated rows count each time and give repeated rows; a
-    result column replaces a kept column of its name.
+    A null url, or one without ://, has empty host and path, fits no rule, and is judged by the models as a whole, a null
+    one as the empty text. The models learn from the ruled URLs that are not held out and are calibrated on those that
+    are; a kind of URL of which all are held out, or none, does both with all it has. Of a kind that no rule gives, the
+    model knows nothing, and every letter has the same chance (see threshold). Repeated rows count each time and give
+    repeated rows; an empty table gives an empty one; a result column replaces a kept column of its name.
     """
-    keep = [c for c in keep if c not in ("host", "path", "rule", "verdict", "score")]
-    rows = ruled(parsed(pages.select(*[F.col(f"`{c}`").alias(f"__k{k}") for k, c in enumerate(keep)], F.col("url").alias("__u")), "__u"), rules)
-    rows = rows.withColumn("__s", symbols()).withColumn("__g", grams()).drop("__u", "__s")
-    decided = materialize(rows.where("decided is not null").select("host", "path", "decided", "__g"), "decided")
-    held = F.coalesce(held_out(), F.lit(False))
-    known = {r["g"]: r["ratio"] for r in ratios(decided.where(~held)).collect()}  # SIZE ** 3 rows
-    constant = F.split(F.lit(",".join(repr(known[g]) for g in range(SIZE**3))), ",").cast("array<double>")
-    score = F.aggregate("__g", F.lit(0.0), lambda a, g: a + F.get(constant, g)) / F.size("__g")
-    stats = decided.where(held).select("decided", score.alias("score")).groupBy("decided").agg(F.avg("score").alias("mean"), F.stddev_pop("score").alias("sd"))
-    found = {r["decided"]: (r["mean"], r["sd"] + 1e-9) for r in stats.collect()}
-    if len(found) == 2:
-        (ma, sa), (mb, sb) = found["allow"], found["block"]
-        score, threshold = F.round(score, 9), (ma * sb + mb * sa) / (sa + sb)
-    else:
-        score, threshold = F.lit(0.0), 0.0
-    verdict = F.coalesce(F.col("decided"), F.when(score >= round(threshold, 9), "allow").otherwise("block"))
-    return rows.select(*[F.col(f"__k{k}").alias(c) for k, c in enumerate(keep)], "host", "path", "rule", verdict.alias("verdict"), score.alias("score"))
+    made = ["host", "path", "rule", "verdict", "score"]
+    given = Narrow(pages, keep, made, url=("url", text_of))
+    rows = staged(ruled(parsed(given.df)).withColumn("rid", F.monotonically_increasing_id()), "urls")
+    held = F.substring(F.md5(F.col("url").cast("binary")), 1, 1).isin(*HELD)
+    kinds = {r["decided"]: r for r in rows.where("decided is not null").groupBy("decided").agg(F.count_if(held).alias("held"), F.count_if(~held).alias("rest")).collect()}  # two
+    learn, tune = F.lit(False), F.lit(False)
+    for kind, n in kinds.items():
+        learn = learn | ((F.col("decided") == kind) & (~held if n["rest"] else F.lit(True)))
+        tune = tune | ((F.col("decided") == kind) & (held if n["held"] else F.lit(True)))
+    taught = windows(rows.where(learn).select("decided", "url"))
+    counted = staged(taught.groupBy("w").agg(*[F.count_if(F.col("decided") == k).alias(k) for k in ("allow", "block")]), "counted")
+    scored = scores(rows.where(F.col("decided").isNull() | tune), counted)
+    stats = rows.where(tune).select("rid", "decided").join(scored, "rid").groupBy("decided").agg(F.avg("score").alias("mean"), F.stddev_pop("score").alias("sd"))
+    least = threshold({r["decided"]: (r["mean"], r["sd"] + 1e-9) for r in stats.collect()})
+    discard(counted)
+    score = F.when(F.col("decided").isNull(), F.round("score", 9))
+    verdict = F.coalesce("decided", F.when(score >= round(least, 9), "allow").otherwise("block"))
+    return given.named(rows.join(scored, "rid", "left").select(*given.kept, "host", "path", "rule", verdict, score), *made)
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), ["page_id"]).select("page_id", "host", "path", "rule", "verdict")
 
 
-_ORDER = "^$*" + SYMBOLS
 _CASE = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def _chance(kind: str, lower: str) -> str:
+    return f"({kind} + {BACK} * {lower}) / (of_{kind} + {BACK})"
+
+
+_LEVELS = ",\n".join(
+    [f"l1 AS (SELECT g, {_chance('allow', str(UNIFORM))} AS p_allow, {_chance('block', str(UNIFORM))} AS p_block FROM asked WHERE length(g) = 1)"]
+    + [f"l{n} AS (SELECT a.g, {_chance('allow', 'b.p_allow')} AS p_allow, {_chance('block', 'b.p_block')} AS p_block FROM asked a JOIN l{n - 1} b ON b.g = right(a.g, {n - 1}) WHERE length(a.g) = {n})" for n in range(2, CONTEXT + 2)]
+)
 OP10_SQL = rf"""
 WITH u AS (SELECT row_number() OVER () AS k, page_id, coalesce(url, '') AS u FROM pages),
-q AS (SELECT k, page_id, CASE WHEN strpos(u, '://') > 0 THEN substr(u, strpos(u, '://') + 3) ELSE '' END AS r FROM u),
-p AS (SELECT k, page_id, translate(regexp_extract(r, '^[^/?#]*'), '{_CASE}', '{_CASE.lower()}') AS host, regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM q),
+q AS (SELECT k, page_id, u, CASE WHEN strpos(u, '://') > 0 THEN substr(u, strpos(u, '://') + 3) ELSE '' END AS r FROM u),
+p AS (SELECT k, page_id, u, translate(regexp_extract(r, '^[^/?#]*'), '{_CASE}', '{_CASE.lower()}') AS host, regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM q),
 d AS (SELECT *, CASE
     WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/en/1') THEN 'example.org/en/1'
     WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/es/') THEN 'example.org/es/'
     WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/fr/') THEN 'com/fr/'
     WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/de/') THEN 'com/de/'
     WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/') THEN 'org/' END AS rule FROM p),
-t AS (SELECT *, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS decided,
-      '^^' || regexp_replace(regexp_replace(lower(host || path), '[0-9]', '0', 'g'), '[^a-z0./_%=&+:~-]', '*', 'g') || '$' AS s FROM d),
-c AS (SELECT k, decided, s, host || path AS hp, unnest(range(3, length(s) + 1)) AS i FROM t),
-n AS (SELECT k, decided, hp, strpos('{_ORDER}', substr(s, i - 2, 1)) - 1 AS a, strpos('{_ORDER}', substr(s, i - 1, 1)) - 1 AS b, strpos('{_ORDER}', substr(s, i, 1)) - 1 AS c,
-      substr(md5(hp), 1, 1) IN ('0', '1', '2') AS held FROM c),
-x AS (SELECT decided, a, b, c, count(*) AS n3 FROM n WHERE decided IS NOT NULL AND NOT held GROUP BY ALL),
-x2 AS (SELECT decided, b, c, sum(n3) AS n2 FROM x GROUP BY ALL),
-xb AS (SELECT decided, b, sum(n3) AS nb FROM x GROUP BY ALL),
-xab AS (SELECT decided, a, b, sum(n3) AS nab FROM x GROUP BY ALL),
-x1 AS (SELECT decided, c, sum(n3) AS n1 FROM x GROUP BY ALL),
-x0 AS (SELECT decided, sum(n3) AS n FROM x GROUP BY ALL),
-w AS (SELECT x0.decided, x0.n, a, b, c FROM x0, (SELECT DISTINCT a, b, c FROM n)),
-l AS (SELECT w.a, w.b, w.c, w.decided,
-        ln((coalesce(n3, 0) + {BACK} * ((coalesce(n2, 0) + {BACK} * ((coalesce(n1, 0) + {FLOOR}) / (w.n + {FLOOR} * {SIZE}))) / (coalesce(nb, 0) + {BACK}))) / (coalesce(nab, 0) + {BACK})) AS l
-      FROM w LEFT JOIN x ON x.decided = w.decided AND x.a = w.a AND x.b = w.b AND x.c = w.c
-      LEFT JOIN x2 ON x2.decided = w.decided AND x2.b = w.b AND x2.c = w.c LEFT JOIN x1 ON x1.decided = w.decided AND x1.c = w.c
-      LEFT JOIN xb ON xb.decided = w.decided AND xb.b = w.b LEFT JOIN xab ON xab.decided = w.decided AND xab.a = w.a AND xab.b = w.b),
-r AS (SELECT a, b, c, sum(CASE WHEN decided = 'allow' THEN l ELSE -l END) AS ratio FROM l GROUP BY ALL),
-z AS (SELECT k, any_value(n.decided) AS decided, any_value(held) AS held, sum(ratio) / count(*) AS score FROM n JOIN r ON r.a = n.a AND r.b = n.b AND r.c = n.c GROUP BY k),
-m AS (SELECT decided, avg(score) AS mean, stddev_pop(score) + 1e-9 AS sd FROM z WHERE held AND decided IS NOT NULL GROUP BY decided),
-h AS (SELECT round((g.mean * f.sd + f.mean * g.sd) / (g.sd + f.sd), 9) AS t FROM m g, m f WHERE g.decided = 'allow' AND f.decided = 'block')
+e AS (SELECT *, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS decided, substr(md5(u), 1, 1) IN ('0', '1', '2') AS held FROM d),
+t AS (SELECT *, decided IS NOT NULL AND (NOT held OR bool_and(held) OVER (PARTITION BY decided)) AS learn,
+      decided IS NOT NULL AND (held OR NOT bool_or(held) OVER (PARTITION BY decided)) AS tune FROM e),
+c AS (SELECT k, decided, learn, tune, chr(2) || u || chr(3) AS s, unnest(range(2, length(u) + 3)) AS i FROM t),
+w AS (SELECT k, decided, learn, tune, substr(s, greatest(1, i - {CONTEXT}), least(i, {CONTEXT + 1})) AS w FROM c),
+counted AS (SELECT w, count(*) FILTER (decided = 'allow') AS allow, count(*) FILTER (decided = 'block') AS block FROM w WHERE learn GROUP BY w),
+seen AS (SELECT right(w, n) AS g, sum(allow) AS allow, sum(block) AS block FROM (SELECT *, unnest(range(1, length(w) + 1)) AS n FROM counted) GROUP BY g),
+ctx AS (SELECT left(g, length(g) - 1) AS c, sum(allow) AS of_allow, sum(block) AS of_block FROM seen GROUP BY c HAVING sum(allow) + sum(block) >= {LEAST}),
+ends AS (SELECT DISTINCT right(w, n) AS g FROM (SELECT w, unnest(range(1, length(w) + 1)) AS n FROM (SELECT DISTINCT w FROM w WHERE decided IS NULL OR tune))),
+asked AS (SELECT ends.g, CASE WHEN c IS NULL THEN 0 ELSE coalesce(allow, 0) END AS allow, CASE WHEN c IS NULL THEN 0 ELSE coalesce(block, 0) END AS block,
+      coalesce(of_allow, 0) AS of_allow, coalesce(of_block, 0) AS of_block FROM ends LEFT JOIN seen ON seen.g = ends.g LEFT JOIN ctx ON c = left(ends.g, length(ends.g) - 1)),
+{_LEVELS},
+l AS ({" UNION ALL ".join(f"SELECT * FROM l{n}" for n in range(1, CONTEXT + 2))}),
+z AS (SELECT k, any_value(decided) AS decided, any_value(tune) AS tune, sum(ln(p_allow) - ln(p_block)) / count(*) AS score FROM w JOIN l ON l.g = w.w GROUP BY k),
+m AS (SELECT decided, avg(score) AS mean, stddev_pop(score) + 1e-9 AS sd FROM z WHERE tune GROUP BY decided),
+h AS (SELECT round(CASE WHEN a.mean IS NOT NULL AND b.mean IS NOT NULL THEN (a.mean * b.sd + b.mean * a.sd) / (a.sd + b.sd)
+      ELSE coalesce(a.mean - {ALONE} * a.sd, b.mean + {ALONE} * b.sd, 0) END, 9) AS t
+      FROM (SELECT 1) LEFT JOIN m a ON a.decided = 'allow' LEFT JOIN m b ON b.decided = 'block')
 SELECT page_id, host, path, rule, coalesce(t.decided, CASE WHEN round(z.score, 9) >= (SELECT t FROM h) THEN 'allow' ELSE 'block' END) AS verdict
-FROM t JOIN z ON z.k = t.k
+FROM t LEFT JOIN z ON z.k = t.k
 """
