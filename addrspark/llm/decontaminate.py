@@ -1,89 +1,151 @@
-"""Benchmark decontamination: a broadcast hash set of test n-grams, scanned over every document window."""
+"""Benchmark decontamination: a broadcast hash set of test n-grams, scanned over every document window.
+
+A text is its folded words, joined by one blank. Windows of words are pieces of these bytes, and all of a text are hashed
+at once from sums over its bytes. The benchmark is broadcast as plain arrays: the bytes of its items and, for each of their
+windows, hash, place and item, 24 bytes a window beside the text. A window whose hash is among them is compared byte by
+byte before it counts.
+"""
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_slices, materialize, table, text_bytes
+from .common import Narrow, map_slices, position, staged, table, text_bytes, text_of
 
 WINDOW = 10
-#: Bytes of benchmark text that one broadcast may hold; a larger benchmark is scanned in blocks of this size.
-BLOCK_BYTES = 32 << 20
+#: Bytes that one broadcast block of the benchmark may take, all its arrays counted; a larger benchmark comes in several.
+BLOCK_BYTES = 64 << 20
 #: Blocks that one pass over the documents holds.
 MAX_BLOCKS = 4
+#: Bits of the table that tells most windows apart from all of the benchmark's.
+SIEVE_BITS = 24
 #: A-Z lower-cased; every other ASCII byte but digits and a-z separates words.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
-_MIX = np.uint64(0x9E3779B97F4A7C15)
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_powers = np.ones(1, np.uint64), np.ones(1, np.uint64)
 
 
 def words_of(data: bytes) -> list[bytes]:
     return data.translate(FOLD).split()
 
 
-def _roll(ids: np.ndarray, n: int) -> np.ndarray:
-    """A 64-bit hash of each n consecutive ids."""
-    out = np.zeros(len(ids) - n + 1, np.uint64)
-    for k in range(n):
-        out = (out ^ (out >> np.uint64(29)) ^ ids[k : len(ids) - n + 1 + k]) * _MIX
-    return out
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the base and of its inverse, modulo 2 ** 64; kept per process."""
+    global _powers
+    if len(_powers[0]) < n:
+        size = 1 << (n - 1).bit_length()
+        _powers = tuple(np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(size - 1, x, np.uint64)])) for x in (_BASE, _INVERSE))
+    return _powers
+
+
+class Folded:
+    """The folded words of a text: their bytes joined by blanks, and where each starts and stops."""
+
+    def __init__(self, words: list[bytes]):
+        self.bytes = b" ".join(words)
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        self.stops = np.cumsum(lengths + 1) - 1
+        self.starts = self.stops - lengths
+        up, _ = powers(len(self.bytes) + 1)
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(np.frombuffer(self.bytes, np.uint8) * up[: len(self.bytes)], dtype=np.uint64)])
+
+    def windows(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(hashes, starts, stops) of every n consecutive words."""
+        starts, stops = self.starts[: len(self.starts) - n + 1], self.stops[n - 1 :]
+        h = (self.sums[stops] - self.sums[starts]) * powers(len(self.bytes) + 1)[1][starts]
+        return h ^ (h >> np.uint64(32)), starts, stops
 
 
 class Grams:
-    """The windows of a block of items: for each length, sorted hashes, and the exact words behind each hash."""
+    """The windows of a block of items, by length: arrays sorted by hash, and the items' bytes behind them."""
 
     def __init__(self, items: list[tuple[str, bytes]], window: int = WINDOW):
-        self.vocabulary: dict[bytes, int] = {}
-        self.exact: dict[int, dict[tuple[int, ...], list[int]]] = defaultdict(dict)
+        """items: name and folded words, joined by blanks."""
         self.names = [name for name, _ in items]
+        self.bytes = b"".join(text for _, text in items)
+        parts: dict[int, list[tuple]] = {}
+        at = 0
         for k, (_, text) in enumerate(items):
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)]
-            n = min(window, len(ids))
-            for at in range(len(ids) - n + 1 if n else 0):
-                owners = self.exact[n].setdefault(tuple(ids[at : at + n]), [])
-                if not owners or owners[-1] != k:
-                    owners.append(k)
-        self.hashes = {n: np.unique(_roll(np.array(list(grams), np.uint64).reshape(-1), n)[::n]) for n, grams in self.exact.items()}
-
-    def scan(self, words: list[bytes]) -> tuple[np.ndarray, set[str]]:
+            folded = Folded(text.split())
+            n = min(window, len(folded.starts))
+            if n:
+                h, starts, stops = folded.windows(n)
+                parts.setdefault(n, []).append((h, starts + at, (stops - starts).astype(np.int32), np.full(len(h), k, np.int32)))
+            at += len(text)
+        self.tables = {}
+        for n, some in sorted(parts.items()):
+            h, starts, sizes, owners = (np.concatenate(x) for x in zip(*some, strict=True))
+            order = np.argsort(h, kind="stable")
+            sieve = np.zeros(1 << SIEVE_BITS, bool)
+            sieve[h & np.uint64((1 << SIEVE_BITS) - 1)] = True
+            self.tables[n] = h[order], starts[order], sizes[order], owners[order], np.packbits(sieve)
+
+    def __getstate__(self):
+        return self.names, self.bytes, self.tables
+
+    def __setstate__(self, state):
+        self.names, self.bytes, self.tables = state
+
+    def size(self) -> int:
+        """Bytes held."""
+        return len(self.bytes) + sum(a.nbytes for t in self.tables.values() for a in t) + sum(len(n) + 60 for n in self.names)
+
+    def scan(self, text: Folded) -> tuple[np.ndarray, set[str]]:
         """Which words lie inside an occurrence, and the names of the items that occur."""
-        hit, found = np.zeros(len(words), bool), set()
-        get = self.vocabulary.get
-        ids = np.array([get(w, 0) for w in words], np.uint64)
-        known = np.concatenate([[0], np.cumsum(ids != 0)])
-        for n, hashes in self.hashes.items():
-            if len(words) < n:
+        hit, found = np.zeros(len(text.starts), bool), set()
+        for n, (hashes, starts, sizes, owners, sieve) in self.tables.items():
+            if len(text.starts) < n:
                 continue
-            at = np.flatnonzero(known[n:] - known[:-n] == n)
+            h, first, last = text.windows(n)
+            low = (h & np.uint64((1 << SIEVE_BITS) - 1)).astype(np.int64)
+            at = np.flatnonzero(sieve[low >> 3] >> (7 - (low & 7)).astype(np.uint8) & 1)
             if not len(at):
                 continue
-            rolled = _roll(ids, n)[at]
-            place = np.minimum(np.searchsorted(hashes, rolled), len(hashes) - 1)
-            for s in at[hashes[place] == rolled]:
-                owners = self.exact[n].get(tuple(ids[s : s + n].tolist()))
-                if owners:
-                    hit[s : s + n] = True
-                    found.update(owners)
+            place = np.searchsorted(hashes, h[at])
+            same = place < len(hashes)
+            same[same] = hashes[place[same]] == h[at[same]]
+            for s, p in zip(at[same].tolist(), place[same].tolist(), strict=True):
+                piece = text.bytes[first[s] : last[s]]
+                while p < len(hashes) and hashes[p] == h[s]:
+                    if self.bytes[starts[p] : starts[p] + sizes[p]] == piece:
+                        hit[s : s + n] = True
+                        found.add(int(owners[p]))
+                    p += 1
         return hit, {self.names[k] for k in found}
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int):
-    """The items in blocks of about block_bytes; the driver holds one at a time."""
-    held, size = [], 0
-    for row in benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("name"), text_bytes()).toLocalIterator():
-        held.append((row["name"], bytes(row["text"])))
-        size += len(row["text"])
-        if size >= block_bytes:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
+def _folded_items(benchmark: DataFrame) -> DataFrame:
+    """(name, data, n): the benchmark's items with their n folded words, joined by blanks; wordless ones are left out."""
+    rows = Narrow(benchmark, [], name=("item_id", text_of), text=("text", text_bytes)).df
+
+    def fold(cols: dict[str, list]):
+        words = [words_of(x) for x in cols["text"]]
+        return {"data": [b" ".join(w) for w in words], "n": [len(w) for w in words]}, None
+
+    return map_slices(rows, fold, {"data": "binary", "n": "bigint"}, 1).where("n > 0").distinct()
+
+
+def _blocks(benchmark: DataFrame, window: int, block_bytes: int) -> Iterator[Grams]:
+    """The items in blocks of about block_bytes, arrays and all; the driver holds one at a time.
+
+    Spark folds the items and deals them into blocks by a hash, as many as their bytes and windows ask for.
+    """
+    items = staged(_folded_items(benchmark), "items")
+    need = items.agg(F.sum(F.octet_length("data") + 24 * F.col("n") + F.octet_length("name") + 60)).first()[0] or 0
+    n = -(-need // max(1, block_bytes // 2))  # half as much on average, so that chance does not fill one beyond the bound
+    for k in range(n):
+        rows = items.where(F.pmod(F.xxhash64("name", "data"), F.lit(n)) == k).toArrow()
+        held = sorted(zip(rows["name"].to_pylist(), rows["data"].to_pylist(), strict=True))
+        if held:
+            yield Grams(held, window)
 
 
 def _groups(blocks, size: int):
@@ -105,52 +167,60 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: list[str], *, win
     mode "spans": the input rows; hit words, with the separators between adjacent ones, are cut from text.
 
     Null texts have no words and stay as they are. A null item_id counts as the empty string; items of equal id count
-    once. The benchmark is broadcast in blocks of at most block_bytes (and one item), and a task holds MAX_BLOCKS of
-    them; a larger benchmark takes several passes, between which the rows and their hits so far are a table in the
-    shared folder. Repeated rows give repeated rows; empty tables give empty or unflagged results; a result column
-    replaces a kept column of its name.
+    once. The benchmark is broadcast in blocks of block_bytes at most (or one item), all their arrays counted, and a task
+    holds MAX_BLOCKS of them; a larger benchmark takes several passes, between which the rows and their hits so far are a
+    table in the shared folder. Repeated rows give repeated rows; empty tables give empty or unflagged results; a result
+    column replaces a kept column of its name.
     """
-    made = {"n_words": "bigint", "n_hit": "bigint", "n_items": "bigint", "items_sha256": "string", "contaminated": "boolean"}
-    keep, fields = ([c for c in keep if c not in made], made) if mode == "flag" else (list(docs.columns), {})
-    kinds = dict(docs.dtypes)
-    kept = [f"`{c}` {kinds[c]}" for c in keep]
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], text_bytes().alias("__data"))
-    for group, more in _groups(_blocks(benchmark, block_bytes), MAX_BLOCKS):
-        blocks = [docs.sparkSession.sparkContext.broadcast(Grams(b, window)) for b in group]
+    made = {"n_words": "bigint", "n_hit": "bigint", "n_items": "bigint", "items_sha256": "string", "contaminated": "boolean"} if mode == "flag" else {}
+    given = Narrow(docs, keep if mode == "flag" else docs.columns, made, data=("text", text_bytes))
+    rows, n_kept = given.df, len(given.kept)
+    changed = position(docs, "text") if mode == "spans" else None
+    if changed is not None:  # the text is made anew, behind the others
+        rows = rows.select(*[c for k, c in enumerate(given.kept) if k != changed], F.col(given.kept[changed]).isNull().alias("none"), "data")
+        n_kept -= 1
+    for group, more in _groups(_blocks(benchmark, window, block_bytes), MAX_BLOCKS):
+        blocks = [docs.sparkSession.sparkContext.broadcast(b) for b in group]
         if more:
-            schema = ", ".join([*kept, "__data binary, __hit binary, __names array<string>"])
-            rows = materialize(map_slices(rows, _pass(blocks, keep, {}, "carry"), schema), "hits")
-    schema = ", ".join([*kept, *(f"{c} {k}" for c, k in fields.items())])
-    return map_slices(rows, _pass(blocks, keep, fields, mode), schema)
+            passing = [c for c in rows.columns[n_kept:] if c not in ("hit", "names")]
+            rows = staged(map_slices(rows, _pass(blocks, {}, "carry", passing), {**dict(rows.select(*passing).dtypes), "hit": "binary", "names": "array<string>"}, n_kept), "hits")
+    out = map_slices(rows, _pass(blocks, made, mode), {"text": "string"} if mode == "spans" else made, n_kept)
+    if changed is not None:
+        order = [c for k, c in enumerate(given.kept) if k != changed]
+        out = out.select(*order[:changed], "text", *order[changed:])
+    return given.named(out, *made)
 
 
-def _pass(blocks, keep: list[str], fields: dict[str, str], mode: str):
+def _pass(blocks, made: dict[str, str], mode: str, passing: list[str] | None = None):
     """The work of one pass: the hits of these blocks, with those of earlier ones, and what the mode makes of them."""
 
-    def work(cols: dict[str, list]) -> dict[str, list]:
-        carried = ("__data", "__hit", "__names") if mode == "carry" else ()
-        out = {c: [] for c in [*keep, *fields, *carried]}
-        for k, data in enumerate(cols["__data"]):
-            words = words_of(data)
-            hit, names = np.zeros(len(words), bool), set()
-            if "__hit" in cols:
-                hit |= np.unpackbits(np.frombuffer(cols["__hit"][k], np.uint8), count=len(words)).astype(bool)
-                names.update(cols["__names"][k])
+    def work(cols: dict[str, list]):
+        out: dict[str, list] = {c: [] for c in [*made, *["text"] * (mode == "spans"), *["hit", "names"] * (mode == "carry")]}
+        rows = []
+        for k, data in enumerate(cols["data"]):
+            text = Folded(words_of(data))
+            hit, names = np.zeros(len(text.starts), bool), set()
+            if "hit" in cols:
+                hit |= np.unpackbits(np.frombuffer(cols["hit"][k], np.uint8), count=len(hit)).astype(bool)
+                names.update(cols["names"][k])
             for block in blocks:
-                new, found = block.value.scan(words)
+                new, found = block.value.scan(text)
                 hit |= new
                 names |= found
             n = int(hit.sum())
-            if mode == "documents" and n:
-                continue
-            for c in keep:
-                out[c].append(cols[c][k])
-            if mode == "spans" and n:
-                out["text"][-1] = cut(data, hit)
-            values = (len(words), n, len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(), n > 0) if mode == "flag" else (data, np.packbits(hit).tobytes(), sorted(names)) if mode == "carry" else ()
-            for c, v in zip([*fields, *carried], values, strict=True):
-                out[c].append(v)
-        return out
+            if mode == "documents":
+                rows += [k] * (n == 0)
+            elif mode == "spans":
+                out["text"].append(None if cols["none"][k] else cut(data, hit) if n else data.decode())
+            elif mode == "carry":
+                out["hit"].append(np.packbits(hit).tobytes())
+                out["names"].append(sorted(names))
+            else:
+                for c, v in zip(made, (len(hit), n, len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(), n > 0), strict=True):
+                    out[c].append(v)
+        if mode == "carry":
+            out = {c: cols[c] for c in passing} | out
+        return out, rows if mode == "documents" else None
 
     return work
 
