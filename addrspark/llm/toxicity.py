@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_slices, table
+from .common import Narrow, table, text_of
 
 TOKEN = re.compile(r"[^\W\d_]+|[.!?\n]")
 ENDS = frozenset(".!?\n")
@@ -35,6 +35,8 @@ STEPS, L2 = 60, 0.02
 THRESHOLD = 0.7
 #: Words whose weights a worker keeps.
 CACHE_WORDS = 400_000
+#: With fewer sentences left than this, they are gone through one by one.
+FEW = 8
 
 
 def own_features(word: str) -> list[str]:
@@ -56,37 +58,94 @@ def unlike(rows: list[tuple[str, int]]) -> list[tuple[str, int]]:
     return out
 
 
-def marginal_odds(odds: np.ndarray, inside: np.ndarray, t: np.ndarray) -> np.ndarray:
-    """Odds of state 1 at every position: forward times backward messages, as odds.
+def _ordered(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of the sentences, longest first."""
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], inside.astype(np.int8), [0]])))
+    starts, lengths = edge[::2], edge[1::2] - edge[::2]
+    order = np.argsort(-lengths, kind="stable")
+    return starts[order], lengths[order]
 
-    odds: emission odds. inside: whether a position belongs to a sentence; others part sentences. t: 2 x 2 factors.
+
+def _steps(lengths: np.ndarray) -> np.ndarray:
+    """How many sentences are longer than k, for each k in turn, as long as they are FEW or more."""
+    longer = len(lengths) - np.searchsorted(lengths[::-1], np.arange(lengths.max(initial=0)), side="right")
+    return longer[: np.searchsorted(-longer, -FEW, side="right")]
+
+
+def forward_odds(odds: np.ndarray, inside: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """Odds of state 1 at every position by all that stands before it and itself: the forward messages.
+
+    All sentences take a step at once while there are many; what then is left of the few longest goes one by one.
     """
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], inside.astype(np.int8), [0]])))
-    starts, stops = edge[::2], edge[1::2]
+    starts, lengths = _ordered(inside)
     out = np.zeros(len(odds))
     if not len(starts):
         return out
-    order = np.argsort(starts - stops, kind="stable")
-    starts, stops = starts[order], stops[order]
-    lengths = stops - starts
-    active = len(lengths) - np.searchsorted(lengths[::-1], np.arange(lengths[0]), side="right")
-    at = starts
-    a = odds[at]
-    out[at] = a
-    for k in range(1, lengths[0]):
-        at, a = starts[: active[k]] + k, a[: active[k]]
-        a = odds[at] * (t[0, 1] + t[1, 1] * a) / (t[0, 0] + t[1, 0] * a)
-        out[at] = a
+    (a00, a01), (a10, a11) = t.tolist()
+    a = out[starts] = odds[starts]
+    active = _steps(lengths)
+    for k in range(1, len(active)):
+        a = odds[starts[: active[k]] + k] * (a01 + a11 * a[: active[k]]) / (a00 + a10 * a[: active[k]])
+        out[starts[: active[k]] + k] = a
+    done = max(1, len(active))
+    for start, stop in zip(starts[lengths > done].tolist(), (starts + lengths)[lengths > done].tolist(), strict=True):
+        x, held = float(out[start + done - 1]), []
+        for e in odds[start + done : stop].tolist():
+            x = e * (a01 + a11 * x) / (a00 + a10 * x)
+            held.append(x)
+        out[start + done : stop] = held
+    return out
+
+
+def backward_odds(odds: np.ndarray, inside: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """Odds of state 1 at every position by all that follows it in its sentence: the backward messages."""
+    starts, lengths = _ordered(inside)
+    stops = starts + lengths
+    out = np.ones(len(odds))
+    (a00, a01), (a10, a11) = t.tolist()
     b = np.ones(len(starts))
-    for k in range(1, lengths[0]):
-        n = active[k]
-        at = stops[:n] - k
-        v = odds[at] * b[:n]
-        b = (t[1, 0] + t[1, 1] * v) / (t[0, 0] + t[0, 1] * v)
-        out[at - 1] *= b
+    active = _steps(lengths)
+    for k in range(1, len(active)):
+        at = stops[: active[k]] - k
+        v = odds[at] * b[: active[k]]
+        b = out[at - 1] = (a10 + a11 * v) / (a00 + a01 * v)
+    done = max(1, len(active))
+    for start, stop in zip(starts[lengths > done].tolist(), stops[lengths > done].tolist(), strict=True):
+        y, held = float(out[stop - done]), []
+        for e in odds[start + 1 : stop - done + 1][::-1].tolist():
+            v = e * y
+            y = (a10 + a11 * v) / (a00 + a01 * v)
+            held.append(y)
+        out[start : stop - done] = held[::-1]
     return out
 
 
+def marginal_odds(odds: np.ndarray, inside: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """Odds of state 1 at every position: forward times backward messages, as odds.
+
+    odds: emission odds. inside: whether a position belongs to a sentence; others part sentences. t: 2 x 2 factors.
+    """
+    return forward_odds(odds, inside, t) * backward_odds(odds, inside, t)
+
+
+def likelihood(e: np.ndarray, inside: np.ndarray, y: np.ndarray, theta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gradients of the chain's negative log-likelihood of the states y: by each position's emission, and by theta.
+
+    e: emissions, the log of odds. theta: log of the 2 x 2 factors. The first is the marginal less the state, the second
+    the expected number of each pair of neighbours less that in y.
+    """
+    odds, t = np.exp(np.clip(e, -30, 30)), np.exp(theta)
+    before, after = forward_odds(odds, inside, t), backward_odds(odds, inside, t)
+    marginal = before * after
+    follows = np.flatnonzero(inside[1:] & inside[:-1])
+    pairs = np.array([[np.sum((y[follows] == a) & (y[follows + 1] == b)) for b in (0, 1)] for a in (0, 1)], float)
+    # the share of each of four ways through two neighbours, with all that lies beyond them
+    left, right = before[follows], odds[follows + 1] * after[follows + 1]
+    way = np.stack([t[0, 0] + 0 * left, t[0, 1] * right, t[1, 0] * left, t[1, 1] * left * right])
+    expect = (way / way.sum(axis=0)).sum(axis=1).reshape(2, 2)
+    return np.where(inside, marginal / (1 + marginal) - y, 0.0), expect - pairs
+
+
 class Model:
     """Weights by feature, transition factors, and the two-feature logistic on top; plain data, sent to the workers."""
 
@@ -172,7 +231,7 @@ def fit(rows: list[tuple[str, int]]) -> Model | None:
         return None
     seen = {0: Counter(), 1: Counter()}
     for words, y in tokens:
-        seen[y].update({f for w in {*words} - ENDS for f in own_features(w) })
+        seen[y].update({f for w in {*words} - ENDS for f in own_features(w)})
     least = max(ANCHOR_SHARE * total[1], np.log(ANCHOR_CHANCE) / np.log(total[1] / len(rows)))
     anchors = {f for f, n in seen[1].items() if n >= least and seen[0][f] / total[0] <= ANCHOR_LEAK * n / total[1]}
     if not anchors:
@@ -203,26 +262,15 @@ def fit(rows: list[tuple[str, int]]) -> Model | None:
         y.append(0)
         inside.append(False)
     flat, owner, y, inside = np.array(flat), np.array(owner), np.array(y, float), np.array(inside)
-    follows = np.flatnonzero(inside[1:] & inside[:-1])
     w, theta = np.zeros(len(index)), np.zeros((2, 2))
     w[0] = -4
     m = [np.zeros_like(w), np.zeros_like(theta)]
     v = [np.zeros_like(w), np.zeros_like(theta)]
-    pairs = np.array([[np.sum((y[follows] == a) & (y[follows + 1] == b)) for b in (0, 1)] for a in (0, 1)], float)
     n = max(1.0, y.sum())
     for step in range(1, STEPS + 1):
-        e = np.exp(np.clip(np.bincount(owner, w[flat], len(y)), -30, 30))
-        t = np.exp(theta)
-        odds = marginal_odds(e, inside, t)
-        p = odds / (1 + odds)
-        g = np.bincount(flat, (p - y)[owner], len(w)) / n + L2 * w / n
-        # pair marginals: the share of each of four ways through two neighbours, with all that lies beyond them
-        after = odds / np.maximum(_forward(e, inside, t), 1e-300)
-        before = _forward(e, inside, t)[follows]
-        beyond = e[follows + 1] * after[follows + 1]
-        way = np.stack([t[0, 0] + 0 * before, t[0, 1] * beyond, t[1, 0] * before, t[1, 1] * before * beyond])
-        expect = (way / way.sum(axis=0)).sum(axis=1).reshape(2, 2)
-        for k, (x, grad) in enumerate(((w, g), (theta, (expect - pairs) / n + L2 * theta / n))):
+        by_place, by_pair = likelihood(np.bincount(owner, w[flat], len(y)), inside, y, theta)
+        gradients = np.bincount(flat, by_place[owner], len(w)) / n + L2 * w / n, by_pair / n + L2 * theta / n
+        for k, (x, grad) in enumerate(zip((w, theta), gradients, strict=True)):
             m[k] = 0.9 * m[k] + 0.1 * grad
             v[k] = 0.99 * v[k] + 0.01 * grad**2
             x -= 0.15 * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)
@@ -240,75 +288,58 @@ def fit(rows: list[tuple[str, int]]) -> Model | None:
     return model
 
 
-def _forward(odds: np.ndarray, inside: np.ndarray, t: np.ndarray) -> np.ndarray:
-    """The forward messages alone, as odds."""
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], inside.astype(np.int8), [0]])))
-    starts, lengths = edge[::2], edge[1::2] - edge[::2]
-    order = np.argsort(-lengths, kind="stable")
-    starts, lengths = starts[order], lengths[order]
-    out = np.zeros(len(odds))
-    a = out[starts] = odds[starts]
-    for k in range(1, lengths.max(initial=0)):
-        n = int((lengths > k).sum())
-        a = odds[starts[:n] + k] * (t[0, 1] + t[1, 1] * a[:n]) / (t[0, 0] + t[1, 0] * a[:n])
-        out[starts[:n] + k] = a
-    return out
-
-
 def in_training(key: str = "doc_id"):
     return F.crc32(F.col(key).cast("string")) % 3 != 1
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> list[tuple[str, int]]:
-    """The bounded sample: TRAIN_ROWS of each label, by hash of doc_id, with texts of up to TRAIN_CHARS characters."""
-    fit_on = labels.where(in_training()).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-    sample = [fit_on.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for y, n in TRAIN_ROWS.items()]
-    chosen = F.broadcast(sample[0].unionByName(sample[1]).groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
-    found = docs.select("doc_id", "text").join(chosen, "doc_id").where(F.length("text") <= TRAIN_CHARS).select("doc_id", "text", "toxic")
-    return [(r["text"], r["toxic"]) for r in sorted(found.collect(), key=lambda r: (r["doc_id"], r["text"]))]
+    """The bounded sample: TRAIN_ROWS doc_ids of each label, by hash, and of each the least text of up to TRAIN_CHARS characters.
+
+    docs: doc_id, text. labels: doc_id, toxic. A document with several labels is toxic if one says so, before any is chosen.
+    """
+    known = labels.where(in_training()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    sample = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for y, n in TRAIN_ROWS.items()]
+    chosen = F.broadcast(sample[0].unionByName(sample[1]))  # at most the sum of TRAIN_ROWS
+    found = docs.select("doc_id", "text").join(chosen, "doc_id").where(F.length("text") <= TRAIN_CHARS).groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    return [(r["text"], r["toxic"]) for r in sorted(found.collect(), key=lambda r: r["doc_id"])]
 
 
 def tag_toxicity(docs: DataFrame, labels: DataFrame, keep: list[str], *, with_spans: bool = True, drop: bool = False) -> DataFrame:
     """The keep columns of every row, with score, predicted, n_spans and the spans of its whole text.
 
-    drop: only the rows with predicted 0, and no further columns. Null texts count as empty and get the score of no
-    evidence. Without labels of both kinds, or without any anchor, every score is 0. Labels whose crc32(doc_id) mod 3 is
-    1 are never read; a document with several labels counts as toxic if one says so. Repeated rows give repeated rows;
-    a result column replaces a kept column of its name.
+    spans: code point offsets of runs of tokens that are toxic by the chain's marginals. drop: only the rows with predicted
+    0, and no further columns. Null texts count as empty and get the score of no evidence. Without labels of both kinds, or
+    without any anchor, every score is 0. Labels whose crc32(doc_id) mod 3 is 1 are never read; a document with several
+    labels counts as toxic if one says so. Repeated rows give repeated rows; an empty table gives an empty one; a result
+    column replaces a kept column of its name.
     """
-    model = fit(training_rows(docs, labels))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
     made = {} if drop else {"score": "double", "predicted": "int", "n_spans": "bigint"} | ({"spans": "array<struct<start:int,stop:int>>"} if with_spans else {})
-    keep = [c for c in keep if c not in made]
-    kinds = dict(docs.dtypes)
+    known = Narrow(labels, [], doc_id=("doc_id", lambda c: c), toxic=("toxic", lambda c: c)).df
+    texts = Narrow(docs, [], doc_id=("doc_id", lambda c: c), text=("text", text_of)).df
+    shared = docs.sparkSession.sparkContext.broadcast(fit(training_rows(texts, known)))
     mine: list[Tagger] = []
 
-    def work(cols: dict[str, list]) -> dict[str, list]:
+    def work(cols: dict[str, list]):
         if not mine and shared.value is not None:
             mine.append(shared.value.tagger())
-        out = {c: [] for c in [*keep, *made]}
-        texts = cols["__text"]
+        out, rows = {c: [] for c in made}, []
+        texts = cols["text"]
         for at in range(0, len(texts), 128):
             some = texts[at : at + 128]
             for k, p in enumerate(mine[0].marginals(some) if mine else [np.zeros(1)] * len(some), at):
                 score = mine[0].score(p) if mine else 0.0
-                if drop and score >= THRESHOLD:
+                if drop:
+                    rows += [k] * int(score < THRESHOLD)
                     continue
-                for c in keep:
-                    out[c].append(cols[c][k])
-                if not drop:
-                    found = spans(texts[k], p) if p.max() >= 0.5 else []
-                    out["score"].append(float(score))
-                    out["predicted"].append(int(score >= THRESHOLD))
-                    out["n_spans"].append(len(found))
-                    if with_spans:
-                        out["spans"].append([{"start": a, "stop": b} for a, b in found])
-        return out
+                found = spans(texts[k], p) if p.max() >= 0.5 else []
+                got = {"score": float(score), "predicted": int(score >= THRESHOLD), "n_spans": len(found), "spans": [{"start": a, "stop": b} for a, b in found]}
+                for c in made:
+                    out[c].append(got[c])
+        return out, rows if drop else None
 
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), *(f"{c} {k}" for c, k in made.items())])
-    return map_slices(docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__text")), work, schema)
+    return Narrow(docs, keep, made, text=("text", text_of)).map(work, made)
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tagged = tag_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ["doc_id"], with_spans=False)
-    return tagged.select("doc_id", F.coalesce(~in_training(), F.lit(False)).alias("held_out"), "score", "predicted", "n_spans")
+    tagged = tag_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ["doc_id"])
+    return tagged.select("doc_id", F.coalesce(~in_training(), F.lit(False)).alias("held_out"), "score", "predicted", "n_spans", "spans")
