@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import Narrow, staged, table, text_of
 
 #: Bits of the hash that one histogram looks at: at most 2 ** 14 buckets of it go through one task or a broadcast.
 FINE_BITS = 14
@@ -32,8 +32,13 @@ def _leaves(sums: DataFrame, limit: int, bits: int) -> DataFrame:
     """
     above = sums.select("stem", "fine", "bytes", "rows", F.explode(F.sequence(F.lit(0), F.lit(bits))).alias("depth")).withColumn("prefix", F.expr(f"shiftright(fine, {bits} - depth)"))
     held = above.groupBy("stem", "depth", "prefix").agg(F.sum("bytes").alias("bytes"), F.sum("rows").alias("rows")).where((F.col("bytes") <= limit) | (F.col("depth") == bits))
-    held = materialize(held, "held")  # a table of its own, so that the short prefixes, which all buckets share, can be split in the join
-    return above.select("stem", "fine", "depth", "prefix").join(held, ["stem", "depth", "prefix"]).groupBy("stem", "fine").agg(F.min(F.struct("depth", "bytes", "rows")).alias("m")).select("stem", "fine", "m.*")
+    held = staged(held, "held")  # a table of its own, so that the short prefixes, which all buckets share, can be split in the join
+    return above.select("stem", "fine", "depth", "prefix").join(held.hint("merge"), ["stem", "depth", "prefix"]).groupBy("stem", "fine").agg(F.min(F.struct("depth", "bytes", "rows")).alias("m")).select("stem", "fine", "m.*")
+
+
+def _bounded(level: DataFrame, first: int) -> DataFrame:
+    """A level of the directory, for a join: the first has at most 2 ** FINE_BITS rows and is broadcast, others are not."""
+    return F.broadcast(level) if first == 0 else level.hint("merge")
 
 
 def directory(rows: DataFrame, limit: int, bits: int = FINE_BITS) -> DataFrame:
@@ -45,19 +50,19 @@ def directory(rows: DataFrame, limit: int, bits: int = FINE_BITS) -> DataFrame:
     found, left, first = None, rows.select("h", "n", F.lit("").alias("stem")), 0
     while first < HASH_BITS:
         n = min(bits, HASH_BITS - first)
-        sums = materialize(left.groupBy("stem", _bits(F.col("h"), first, n).alias("fine")).agg(F.sum("n").alias("bytes"), F.count("*").alias("rows")), "sums")
-        leaves = materialize(_leaves(sums, limit, n), "leaves")
+        sums = staged(left.groupBy("stem", _bits(F.col("h"), first, n).alias("fine")).agg(F.sum("n").alias("bytes"), F.count("*").alias("rows")), "sums")
+        leaves = staged(_leaves(sums, limit, n), "leaves")
         named = F.concat("stem", F.substr(F.lpad(F.conv(F.col("fine").cast("string"), 10, 2), n, "0"), F.lit(1), F.col("depth")))
         over = (F.col("bytes") > limit) & F.lit(first + n < HASH_BITS)
         part = leaves.where(~over).select(F.lit(first).alias("first"), "fine", "stem", named.alias("shard"), (F.col("depth") + first).alias("local_depth"), F.col("bytes").alias("shard_bytes"), F.col("rows").alias("shard_rows"))
         found = part if found is None else found.unionByName(part)
-        more = leaves.where(over).select(F.col("stem").alias("__stem"), F.col("fine").alias("__fine"), named.alias("__next"))
+        more = leaves.where(over).select(F.col("stem").alias("of"), F.col("fine").alias("f"), named.alias("next"))
         if more.isEmpty():
             break
-        here = left.withColumn("__f", _bits(F.col("h"), first, n))
-        left = here.join(more, (F.col("stem") == F.col("__stem")) & (F.col("__f") == F.col("__fine"))).select("h", "n", F.col("__next").alias("stem"))
+        here = left.withColumn("b", _bits(F.col("h"), first, n))
+        left = here.join(_bounded(more, first), (F.col("stem") == F.col("of")) & (F.col("b") == F.col("f"))).select("h", "n", F.col("next").alias("stem"))
         first += n
-    return materialize(found, "directory")
+    return staged(found, "directory")
 
 
 def assign_shards(docs: DataFrame, keep: list[str], *, limit: int = SHARD_BYTES, bits: int = FINE_BITS) -> DataFrame:
@@ -69,18 +74,21 @@ def assign_shards(docs: DataFrame, keep: list[str], *, limit: int = SHARD_BYTES,
     column of its name.
     """
     made = ["shard", "local_depth", "shard_bytes", "shard_rows", "fits"]
-    keep = [c for c in keep if c not in made]
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.xxhash64("doc_id", "text").alias("__h"), F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)).cast("bigint").alias("__n"))
-    led = directory(rows.select(F.col("__h").alias("h"), F.col("__n").alias("n")), limit, bits)
+    given = Narrow(docs, keep, made, id=("doc_id", lambda c: c), text=("text", lambda c: c))
+    rows = given.df.select(*given.kept, F.xxhash64("id", "text").alias("h"), F.octet_length(text_of(F.col("text"))).cast("bigint").alias("n"))
+    led = directory(rows.select("h", "n"), limit, bits)
     out, firsts = None, [r["first"] for r in led.select("first").distinct().collect()]  # at most HASH_BITS / bits
     for first in sorted(firsts):
         n = min(bits, HASH_BITS - first)
-        level = led.where(F.col("first") == first).select(F.col("fine").alias("__f"), F.col("stem").alias("__stem"), *made[:-1])
-        stem = F.substr(F.lpad(F.conv(F.hex("__h"), 16, 2), HASH_BITS, "0"), F.lit(1), F.lit(first))
-        keyed = rows.withColumn("__k", _bits(F.col("__h"), first, n)).withColumn("__s", stem)
-        part = keyed.join(level, (F.col("__k") == F.col("__f")) & (F.col("__s") == F.col("__stem"))).select(*keep, *made[:-1], (F.col("shard_bytes") <= limit).alias("fits"))
+        level = led.where(F.col("first") == first).select(F.col("fine").alias("f"), F.col("stem").alias("of"), *made[:-1])
+        stem = F.substr(F.lpad(F.conv(F.hex("h"), 16, 2), HASH_BITS, "0"), F.lit(1), F.lit(first))
+        keyed = rows.withColumn("b", _bits(F.col("h"), first, n)).withColumn("stem", stem)
+        part = keyed.join(_bounded(level, first), (F.col("b") == F.col("f")) & (F.col("stem") == F.col("of"))).select(*given.kept, *made[:-1], (F.col("shard_bytes") <= limit).alias("fits"))
         out = part if out is None else out.unionByName(part)
-    return out if out is not None else rows.select(*keep, F.lit("").alias("shard"), F.lit(0).alias("local_depth"), F.lit(0).cast("bigint").alias("shard_bytes"), F.lit(0).cast("bigint").alias("shard_rows"), F.lit(True).alias("fits"))
+    if out is None:
+        none = {"shard": F.lit(""), "local_depth": F.lit(0), "shard_bytes": F.lit(0).cast("bigint"), "shard_rows": F.lit(0).cast("bigint"), "fits": F.lit(True)}
+        out = rows.select(*given.kept, *[v.alias(k) for k, v in none.items()])
+    return given.named(out, *made)
 
 
 def write_shards(docs: DataFrame, path: str, *, limit: int = SHARD_BYTES) -> None:
