@@ -8,14 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op8_bpe
 from .decontaminate import OP6_SQL, op6_decontamination
-from .quality_rules import OP5_SQL, op5_quality_rules
+from .quality_rules import ABLATIONS_SQL, OP5_SQL, op5_quality_rules, quality_ablations
 from .sharding import op2_sharding
 from .simhash import op3_simhash
 from .toxicity import op1_toxicity
 from .token_count import op9_token_count
 from .url_lm import OP10_SQL, op10_url_filter
 from .warc_zip import OP4_SQL, op4_warc_zip
-from .weak_labels import op7_weak_labels
+from .weak_labels import op7_weak_labels, weak_label_accuracies
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -30,8 +30,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_bpe": op8_bpe,
         "op9_token_count": op9_token_count,
         "op10_url_filter": op10_url_filter,
+        "quality_ablations": quality_ablations,
+        "weak_label_accuracies": weak_label_accuracies,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc_zip": OP4_SQL, "op5_quality_rules": OP5_SQL, "op6_decontamination": OP6_SQL, "op10_url_filter": OP10_SQL}
+    return {"op4_warc_zip": OP4_SQL, "op5_quality_rules": OP5_SQL, "op6_decontamination": OP6_SQL, "op10_url_filter": OP10_SQL, "quality_ablations": ABLATIONS_SQL}

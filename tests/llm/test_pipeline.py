@@ -15,7 +15,7 @@ def test_stages(spark):
     at = {"start": docs}
     for name, stage in corpus_pipeline.STAGES:
         before = docs
-        docs = corpus_pipeline.materialize(stage(spark, docs, SMALL), name)
+        docs = corpus_pipeline.staged(stage(spark, docs, SMALL), name)
         at[name] = docs
         if name != names[-1]:
             assert docs.columns == before.columns and docs.exceptAll(before).isEmpty()
@@ -26,3 +26,19 @@ def test_stages(spark):
     clean = decontaminate.decontaminate(at["simhash_near_dedup"], spark.read.parquet(f"{SMALL}/benchmark.parquet"), ["doc_id"]).where("not contaminated")
     assert ids(at["benchmark_decontamination"]) == ids(clean) == ids(at["byte_bpe"])
     assert at["byte_bpe"].where("size(token_ids) <> n_tokens").isEmpty()
+
+
+def test_odd_input(spark):
+    """Nulls, empty and long texts, repeated rows, clashing names and empty tables, in each stage."""
+    clean = spark.read.parquet(f"{SMALL}/documents.parquet").where("length(text) > 900").limit(5)
+    odd = clean.unionByName(clean.selectExpr("doc_id", "CASE doc_id % 3 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE repeat(' \n', 300000) END AS text", "lang", "source", "n_chars"))
+    odd = odd.unionByName(odd).unionByName(odd.withColumn("doc_id", F.lit(None).cast("bigint")))
+    odd = odd.selectExpr("*", "1 AS `a.b`", "2 AS __id", "3 AS N_TOKENS", "4 AS fp", "5 AS words")
+    for docs in (odd, odd.limit(0)):
+        n = docs.count()
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            got = stage(spark, docs, SMALL)
+            assert got.columns == docs.columns and got.count() <= n and got.exceptAll(docs).isEmpty(), name
+            if name == "simhash_near_dedup" and n:
+                assert got.where("doc_id is not null").count() == got.where("doc_id is not null").distinct().count() < got.count()
+        assert corpus_pipeline.STAGES[-1][1](spark, docs, SMALL).count() == n
