@@ -2,7 +2,10 @@
 
 Nearest neighbours are found by a grid: points and items meet by cell in an equi-join, first with small cells; points
 whose twentieth neighbour is not certain yet go on with cells four times as wide. A cell's side is the distance within
-which the three by three cells around a point are complete.
+which the three by three cells around a point are complete. Only points with few enough items in these cells take part;
+the others, in dense places or far from everything, descend a pyramid of cells with the number and the bounds of the items
+in each: from the numbers follows how far the neighbours can be at most, and cells beyond that are left aside. So no point
+meets more items than a bound, but for those that tie in one place.
 """
 
 from __future__ import annotations
@@ -14,12 +17,30 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import geodesic, surrounding
-from ..plans.staging import staged
+from ..plans.staging import discard, staged
 from .tree import has_coordinates, is_leaf
 
 NEAREST, WARD, AZA, BLOCK = 20, 4, 6, 7
-#: Side of the smallest cells in degrees, how much wider the next ones are, and how many steps cover the globe.
-CELL, WIDER, STEPS = 0.001, 4, 10
+#: Side of the smallest cells of the grid in degrees, how much wider the next ones are, and how many steps are taken.
+CELL, WIDER, STEPS = 0.001, 4, 3
+#: Items in the cells around a point with which it still takes part in the grid.
+CROWD = 4096
+#: Side of the pyramid's smallest cells, how much wider each next level is, and how many levels cover the globe.
+FINE, FACTOR, LEVELS = 0.00025, 8, 8
+
+
+def block_boxes(nodes: DataFrame) -> DataFrame:
+    """(item, x0, y0, x1, y1): each block with parts, as the box of its own point and those of all nodes below."""
+    blocks = nodes.where((F.col("level") == BLOCK) & ~is_leaf()).select(F.col("id").alias("item"))
+    inside = nodes.where(has_coordinates()).select(F.explode("path_ids").alias("item"), "x", "y").join(blocks, "item")
+    return inside.groupBy("item").agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"))
+
+
+def distinct_points(nodes: DataFrame, some: DataFrame) -> DataFrame:
+    """(item, ward, x, y): of some nodes the first of equal points under one ward; ward is the lowest node down to that level."""
+    wards = nodes.where(F.col("level") <= WARD).select(F.col("id").alias("ward"))
+    ward = some.select("id", F.explode("path_ids").alias("ward")).join(wards, "ward").groupBy("id").agg(F.max("ward").alias("ward"))
+    return some.join(ward, "id", "left").groupBy("ward", "x", "y").agg(F.min("id").alias("item"))
 
 
 def items(nodes: DataFrame) -> DataFrame:
@@ -28,15 +49,10 @@ def items(nodes: DataFrame) -> DataFrame:
     A block with parts is the box of its own point and those of all nodes below; any other leaf is its point, the first
     of equal points under one ward. Only nodes below the ward level count.
     """
-    valid = nodes.where(has_coordinates())
-    blocks = nodes.where((F.col("level") == BLOCK) & ~is_leaf()).select(F.col("id").alias("item"))
-    inside = valid.select(F.explode("path_ids").alias("item"), "id", "x", "y").join(blocks, "item")
-    boxes = inside.groupBy("item").agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"))
-    covered = inside.select("id").distinct()
-    single = valid.where((F.col("level") > WARD) & is_leaf()).join(covered, "id", "left_anti")
-    wards = nodes.where(F.col("level") <= WARD).select(F.col("id").alias("ward"))
-    ward = single.select("id", F.explode("path_ids").alias("ward")).join(wards, "ward").groupBy("id").agg(F.max("ward").alias("ward"))
-    points = single.join(ward, "id", "left").groupBy("ward", "x", "y").agg(F.min("id").alias("item"))
+    boxes = block_boxes(nodes)
+    leaves = nodes.where(has_coordinates() & (F.col("level") > WARD) & is_leaf())
+    covered = leaves.select("id", F.explode("path_ids").alias("item")).join(boxes.select("item"), "item").select("id")
+    points = distinct_points(nodes, leaves.join(covered.distinct(), "id", "left_anti"))
     return boxes.unionByName(points.select("item", F.col("x").alias("x0"), F.col("y").alias("y0"), F.col("x").alias("x1"), F.col("y").alias("y1")))
 
 
@@ -51,25 +67,73 @@ def box_distance() -> Column:
     return dx * dx + dy * dy
 
 
+def _around(points: DataFrame, side: float) -> DataFrame:
+    """points with each of the three by three cells around them as cx, cy."""
+    return points.select("*", F.explode(_cells(F.col("x") - side, F.col("x") + side, side)).alias("cx")).select("*", F.explode(_cells(F.col("y") - side, F.col("y") + side, side)).alias("cy"))
+
+
+def pyramid(boxes: DataFrame) -> list[DataFrame]:
+    """For each level from the finest: cx, cy, px, py (the cell above), n and the bounds of the n items whose middle is in it."""
+    cell = lambda a, b: F.floor((F.col(a) + F.col(b)) / 2 / FINE)
+    bounds = [F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")]
+    above = [F.floor(F.col("cx") / FACTOR).alias("px"), F.floor(F.col("cy") / FACTOR).alias("py")]
+    levels = [staged(boxes.groupBy(cell("x0", "x1").alias("cx"), cell("y0", "y1").alias("cy")).agg(F.count("*").alias("n"), *bounds).select("*", *above), "cells")]
+    for _ in range(LEVELS - 1):
+        up = levels[-1].groupBy(F.col("px").alias("cx"), F.col("py").alias("cy")).agg(F.sum("n").alias("n"), *bounds)
+        levels.append(staged(up.select("*", *above), "cells"))
+    return levels
+
+
+def descended(points: DataFrame, boxes: DataFrame, k: int) -> DataFrame:
+    """nearest of points by way of the pyramid.
+
+    At each level a point meets the cells below those it has kept. The k nearest items are no farther than the far ends of
+    cells that hold k items together; cells that begin beyond that are dropped. A point keeps a few cells for each of its k.
+    """
+    levels = pyramid(boxes)
+    kept, far = points, lambda c: F.greatest(F.abs(F.col(c) - F.col(f"{c}0")), F.abs(F.col(c) - F.col(f"{c}1")))
+    for n, cells in enumerate(reversed(levels)):
+        if n == 0:  # the top has four cells at most: two by two cover the globe
+            tops = cells.withColumn("at", F.lit(0)).drop("px", "py")
+            met = points.withColumn("at", F.lit(0)).join(F.broadcast(tops), "at").drop("at")
+        else:
+            met = kept.join(cells, ["px", "py"]).drop("px", "py")
+        met = met.withColumns({"least": box_distance(), "most": far("x") * far("x") + far("y") * far("y")})
+        whole = F.sum("n").over(Window.partitionBy("qid").orderBy("most"))
+        met = met.withColumn("reach", F.when(whole >= k, F.col("most"))).withColumn("reach", F.min("reach").over(Window.partitionBy("qid")))
+        met = met.where(F.col("reach").isNull() | (F.col("least") <= F.col("reach")))
+        kept = staged(met.select("qid", "x", "y", F.col("cx").alias("px"), F.col("cy").alias("py")), "kept")
+    placed = boxes.select("*", F.floor((F.col("x0") + F.col("x1")) / 2 / FINE).alias("px"), F.floor((F.col("y0") + F.col("y1")) / 2 / FINE).alias("py"))
+    near = kept.join(placed, ["px", "py"]).select("qid", "x", "y", "item", box_distance().alias("d2"))
+    near = near.withColumn("r", F.rank().over(Window.partitionBy("qid").orderBy("d2"))).where(F.col("r") <= k).drop("r")
+    near = staged(near, "near")
+    discard(*levels, kept)
+    return near
+
+
 def nearest(points: DataFrame, boxes: DataFrame, k: int = NEAREST) -> DataFrame:
     """(qid, x, y, item, d2): the k nearest items of every point, with all that tie with the last."""
-    left, out = staged(points.select("qid", "x", "y").where("x is not null and y is not null"), "points"), None
+    left, out, late = staged(points.select("qid", "x", "y").where("x is not null and y is not null"), "points"), None, None
     side = CELL
-    for step in range(STEPS):
+    for _ in range(STEPS):
         grid = boxes.select("*", F.explode(_cells(F.col("x0"), F.col("x1"), side)).alias("cx")).select("*", F.explode(_cells(F.col("y0"), F.col("y1"), side)).alias("cy"))
-        around = left.select("*", F.explode(_cells(F.col("x") - side, F.col("x") + side, side)).alias("cx")).select("*", F.explode(_cells(F.col("y") - side, F.col("y") + side, side)).alias("cy"))
-        met = around.join(grid, ["cx", "cy"]).select("qid", "x", "y", "item", box_distance().alias("d2")).distinct()
-        last = step == STEPS - 1
-        if not last:
-            met = met.where(F.col("d2") <= side * side)
-        ranked = met.withColumn("r", F.rank().over(Window.partitionBy("qid").orderBy("d2"))).where(F.col("r") <= k)
-        sure = staged(ranked if last else ranked.withColumn("n", F.count("*").over(Window.partitionBy("qid"))).where(F.col("n") >= k).drop("n"), "near")
+        held = grid.groupBy("cx", "cy").agg(F.count("*").alias("n"))
+        around = _around(left, side)
+        crowd = staged(around.join(held, ["cx", "cy"]).groupBy("qid").agg(F.sum("n").alias("n")), "crowd")
+        crowded = left.join(crowd.where(F.col("n") > CROWD).select("qid"), "qid", "left_semi")
+        late = crowded if late is None else late.unionByName(crowded)
+        fit = crowd.where(F.col("n").between(k, CROWD)).select("qid")
+        met = around.join(fit, "qid", "left_semi").join(grid, ["cx", "cy"]).select("qid", "x", "y", "item", box_distance().alias("d2")).distinct()
+        ranked = met.where(F.col("d2") <= side * side).withColumn("r", F.rank().over(Window.partitionBy("qid").orderBy("d2"))).where(F.col("r") <= k)
+        sure = staged(ranked.withColumn("n", F.count("*").over(Window.partitionBy("qid"))).where(F.col("n") >= k).drop("n", "r"), "near")
         out = sure if out is None else out.unionByName(sure)
-        left = staged(left.join(sure.select("qid").distinct(), "qid", "left_anti"), "points")
+        done = sure.select("qid").union(crowd.where(F.col("n") > CROWD).select("qid")).distinct()
+        left = staged(left.join(done, "qid", "left_anti"), "points")
         if left.isEmpty():
             break
         side *= WIDER
-    return out.drop("r")
+    rest = staged(left.unionByName(late), "points")
+    return out if rest.isEmpty() else out.unionByName(descended(rest, boxes, k))
 
 
 def _leaves(nodes: DataFrame, near: DataFrame) -> DataFrame:
