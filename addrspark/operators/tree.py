@@ -101,6 +101,11 @@ def descendants(nodes: DataFrame) -> DataFrame:
     return nodes.select(F.explode("path_ids").alias("ancestor_id"), "id")
 
 
+def without_children(nodes: DataFrame) -> DataFrame:
+    """The nodes that are no other's parent."""
+    return nodes.join(nodes.select(F.col("parent_id").alias("id")).distinct(), "id", "left_anti")
+
+
 def subtree(nodes: DataFrame, node_id: int) -> DataFrame:
     return nodes.where(F.array_contains("path_ids", F.lit(node_id).cast("bigint")))
 

@@ -15,16 +15,14 @@ _queries: dict[str, Query] = {}
 _sql: dict[str, str] = {}
 
 
-def probe(name: str, sql: str | None = None, star: bool = True):
-    """Register a query under name; sql follows the star gazetteer's WITH unless star is false."""
+def probe(names: str, sql: str | None = None, star: bool = True):
+    """Register a query under its names; sql follows the star gazetteer's WITH unless star is false."""
 
     def register(f):
-        if star:
-            _queries[name] = lambda spark, sf_dir: f(star_nodes(spark, sf_dir))
-        else:
-            _queries[name] = f
-        if sql is not None:
-            _sql[name] = STAR_SQL + sql if star else sql
+        for name in names.split():
+            _queries[name] = (lambda spark, sf_dir: f(star_nodes(spark, sf_dir))) if star else f
+            if sql is not None:
+                _sql[name] = STAR_SQL + sql if star else sql
         return f
 
     return register
@@ -58,12 +56,7 @@ probe("filtered_scan_params", "SELECT id, name FROM nodes WHERE level <= 7 AND n
 probe("strided_slice", "SELECT id, name FROM nodes WHERE id >= 10 AND id < 500 AND (id - 10) % 7 = 0")(lambda n: n.where("id >= 10 AND id < 500 AND (id - 10) % 7 = 0").select("id", "name"))
 
 
-@probe("append_positions", "SELECT name, row_number() OVER (ORDER BY id) + 9 AS pos FROM nodes WHERE level <= 3")
-def _append(n: DataFrame) -> DataFrame:
-    return tree.dense_positions(n.where("level <= 3").select("id", "name"), "id", name="pos", first=10).select("name", "pos")
-
-
-@probe("append_positions_all", "SELECT name, row_number() OVER (ORDER BY id) + 9 AS pos FROM nodes")
+@probe("append_positions append_positions_all", "SELECT name, row_number() OVER (ORDER BY id) + 9 AS pos FROM nodes")
 def _append_all(n: DataFrame) -> DataFrame:
     return tree.dense_positions(n.select("id", "name"), "id", name="pos", first=10).select("name", "pos")
 
@@ -79,27 +72,18 @@ def _update(n: DataFrame) -> DataFrame:
 # --- joins along the tree
 
 probe("parent_join", "SELECT a.id, p.name AS parent_name FROM nodes a LEFT JOIN nodes p ON p.id = a.parent_id")(lambda n: tree.parents(n).select("id", F.col("p_name").alias("parent_name")))
-probe("children_list", "SELECT p.id, string_agg(c.name, '/' ORDER BY c.id) AS children FROM nodes p JOIN nodes c ON c.parent_id = p.id WHERE p.level = 3 GROUP BY p.id")(
-    lambda n: tree.children(n, n.where("level = 3")).groupBy(F.col("of").alias("id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("id", "name"))), lambda s: s["name"]), "/").alias("children"))
-)
-probe("children_list_all", "SELECT p.id, string_agg(c.name, '/' ORDER BY c.id) AS children FROM nodes p JOIN nodes c ON c.parent_id = p.id GROUP BY p.id")(
+probe("children_list children_list_all", "SELECT p.id, string_agg(c.name, '/' ORDER BY c.id) AS children FROM nodes p JOIN nodes c ON c.parent_id = p.id GROUP BY p.id")(
     lambda n: tree.children(n, n).groupBy(F.col("of").alias("id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("id", "name"))), lambda s: s["name"]), "/").alias("children"))
 )
-probe("child_by_name", "SELECT parent_id, name_index, id FROM nodes WHERE level = 7 AND c % 7 = 3")(
-    lambda n: tree.child_by_name(n, n.where("level = 7 AND try_cast(substring(name, 10) AS int) % 7 = 3").select("parent_id", "name_index")).select("parent_id", "name_index", "id")
-)
-probe("child_by_name_all", "SELECT q.parent_id, q.name_index, c.id FROM nodes q JOIN nodes c ON c.parent_id = q.parent_id AND c.name_index = q.name_index")(
+probe("child_by_name child_by_name_all", "SELECT q.parent_id, q.name_index, c.id FROM nodes q JOIN nodes c ON c.parent_id = q.parent_id AND c.name_index = q.name_index")(
     lambda n: tree.child_by_name(n, n.select("parent_id", "name_index")).select("parent_id", "name_index", "id")
 )
 probe(
     "fullname",
     ", RECURSIVE_UP AS (SELECT 1) SELECT a.id, concat_ws('/', r.name, t.name, k.name, CASE WHEN a.level = 8 THEN a.name END) AS fullname FROM nodes a LEFT JOIN nodes r ON r.level = 1 AND r.r = a.r LEFT JOIN nodes t ON t.level = 3 AND t.n = a.n LEFT JOIN nodes k ON k.level = 7 AND k.c = a.c",
 )(lambda n: n.select("id", tree.fullname("/").alias("fullname")))
-probe("parent_list", "SELECT a.id, string_agg(CAST(p.id AS VARCHAR), ',' ORDER BY p.id) AS path FROM nodes a JOIN nodes p ON p.id <= a.id AND a.id < p.sibling_id WHERE a.level <= 7 GROUP BY a.id")(
-    lambda n: n.where("level <= 7").select("id", F.array_join(F.col("path_ids").cast("array<string>"), ",").alias("path"))
-)
-probe("parent_list_all", "SELECT a.id, string_agg(CAST(p.id AS VARCHAR), ',' ORDER BY p.id) AS path FROM nodes a JOIN nodes p ON p.id <= a.id AND a.id < p.sibling_id GROUP BY a.id")(
-    lambda n: n.select("id", F.array_join(F.col("path_ids").cast("array<string>"), ",").alias("path"))
+probe("parent_list parent_list_all", "SELECT a.id, string_agg(CAST(p.id AS VARCHAR), ',' ORDER BY p.id) AS path FROM nodes a JOIN nodes p ON p.id <= a.id AND a.id < p.sibling_id GROUP BY a.id")(
+    lambda n: tree.descendants(n).groupBy("id").agg(F.array_join(F.sort_array(F.collect_list("ancestor_id")).cast("array<string>"), ",").alias("path"))
 )
 probe("nodes_by_level", "SELECT a.id, len(list_filter([1, 3, 7, 8], lambda v: v <= a.level)) AS levels, a.level + 1 AS slots FROM nodes a")(
     lambda n: tree.nodes_by_level(n).select("id", F.size(F.filter("levels", lambda x: F.size(x) > 0)).cast("bigint").alias("levels"), F.size("levels").alias("slots"))
@@ -119,8 +103,8 @@ def _by_tree(n: DataFrame) -> DataFrame:
 
 @probe("rollup_by_level", "SELECT p.level, p.id, count(*) AS n, min(d.x) AS min_x FROM nodes p JOIN nodes d ON p.id <= d.id AND d.id < p.sibling_id WHERE p.level <= 3 AND d.level = 8 GROUP BY p.level, p.id")
 def _rollup(n: DataFrame) -> DataFrame:
-    pairs = n.where("level = 8").select(F.explode("path_ids").alias("pid"), "x").groupBy("pid").agg(F.count("*").alias("n"), F.min("x").alias("min_x"))
-    return pairs.join(n.where("level <= 3").select("id", "level"), F.col("pid") == F.col("id")).select("level", "id", "n", "min_x")
+    pairs = tree.descendants(n).join(n.where("level = 8").select("id", "x"), "id").groupBy("ancestor_id").agg(F.count("*").alias("n"), F.min("x").alias("min_x"))
+    return pairs.join(n.where("level <= 3").select("id", "level"), F.col("ancestor_id") == F.col("id")).select("level", "id", "n", "min_x")
 
 
 # --- projections and predicates
@@ -129,17 +113,11 @@ probe("valid_coords", "SELECT id, x BETWEEN -180 AND 180 AND y BETWEEN -90 AND 9
 probe("level_name", "SELECT id, CASE level WHEN 1 THEN '都道府県' WHEN 3 THEN '市町村・特別区' WHEN 7 THEN '街区・道路・地番' WHEN 8 THEN '建物・枝番' ELSE '不明' END AS level_name FROM nodes")(
     lambda n: n.select("id", tree.level_name().alias("level_name"))
 )
-probe("map_links", "SELECT id, printf('https://maps.gsi.go.jp/#%d/%.6f/%.6f/', level + 9, y, x) AS gsi, printf('https://maps.google.com/maps?q=%.6f,%.6f&z=%d', y, x, level + 9) AS google FROM nodes WHERE level = 7")(
-    lambda n: n.where("level = 7").select("id", tree.map_links()[0].alias("gsi"), tree.map_links()[1].alias("google"))
-)
-probe("map_links_all", "SELECT id, printf('https://maps.gsi.go.jp/#%d/%.6f/%.6f/', level + 9, y, x) AS gsi, printf('https://maps.google.com/maps?q=%.6f,%.6f&z=%d', y, x, level + 9) AS google FROM nodes")(
+probe("map_links map_links_all", "SELECT id, printf('https://maps.gsi.go.jp/#%d/%.6f/%.6f/', level + 9, y, x) AS gsi, printf('https://maps.google.com/maps?q=%.6f,%.6f&z=%d', y, x, level + 9) AS google FROM nodes")(
     lambda n: n.select("id", tree.map_links()[0].alias("gsi"), tree.map_links()[1].alias("google"))
 )
 probe("shown_name", "SELECT id, CASE WHEN name = '.' THEN '-' ELSE name END AS shown FROM nodes")(lambda n: n.select("id", tree.shown_name("-").alias("shown")))
-probe("geojson", "SELECT id, 'Feature' AS type, name, level FROM nodes WHERE level <= 3")(
-    lambda n: tree.geojson(n.where("level <= 3")).select("id", F.get_json_object("geojson", "$.type").alias("type"), F.get_json_object("geojson", "$.properties.name").alias("name"), F.get_json_object("geojson", "$.properties.level").cast("int").alias("level"))
-)
-probe("geojson_all", "SELECT id, 'Feature' AS type, name, level, round(x, 6) AS x, round(y, 6) AS y FROM nodes")(
+probe("geojson geojson_all", "SELECT id, 'Feature' AS type, name, level, round(x, 6) AS x, round(y, 6) AS y FROM nodes")(
     lambda n: tree.geojson(n).select(
         "id",
         F.get_json_object("geojson", "$.type").alias("type"),
@@ -176,20 +154,10 @@ def _wanted(n: DataFrame, *values: str) -> DataFrame:
 probe("postcode_lookup", "SELECT v AS code, id AS node_id FROM nodes JOIN (VALUES ('0000070'), ('0100500')) t(v) ON note LIKE '%postcode:' || v")(lambda n: codes.search_by_code(codes.code_index(n), _wanted(n, "0000070", "0100500", "123"), "postcode"))
 probe("pref_lookup", "SELECT v AS code, id AS node_id FROM nodes JOIN (VALUES ('01'), ('020000')) t(v) ON note LIKE '%jisx0401:' || substr(v, 1, 2)")(lambda n: codes.search_by_code(codes.code_index(n), _wanted(n, "01", "020000", "9"), "prefcode"))
 probe("city_lookup", "SELECT v AS code, id AS node_id FROM nodes JOIN (VALUES ('01005'), ('010105')) t(v) ON note LIKE 'jisx0402:' || substr(v, 1, 5) || '%'")(lambda n: codes.search_by_code(codes.code_index(n), _wanted(n, "01005", "010105", "9"), "citycode"))
-probe(
-    "machiaza_lookup",
-    _CODED + "SELECT v AS code, id AS node_id FROM coded JOIN (SELECT city || aza AS v, city AS cc, aza FROM (SELECT city, lpad(CAST(c AS VARCHAR), 7, '0') AS aza FROM coded WHERE level = 7 AND c % 50 = 0) UNION ALL SELECT lpad(CAST(c AS VARCHAR), 7, '0'), NULL, lpad(CAST(c AS VARCHAR), 7, '0') FROM coded WHERE level = 7 AND c % 50 = 1) q ON level = 7 AND lpad(CAST(c AS VARCHAR), 7, '0') = q.aza AND (q.cc IS NULL OR city = q.cc)",
-)(lambda n: _machiaza(n))
-
-
-def _machiaza(n: DataFrame) -> DataFrame:
-    coded = codes.with_codes(n.where("level <= 7")).where("level = 7")
-    wanted = coded.where("try_cast(aza_id AS int) % 50 = 0").select(codes.aza_code().alias("code")).unionByName(coded.where("try_cast(aza_id AS int) % 50 = 1").select(F.col("aza_id").alias("code")))
-    return codes.search_by_machiaza(codes.code_index(n), n, wanted)
 
 
 @probe(
-    "machiaza_lookup_all",
+    "machiaza_lookup machiaza_lookup_all",
     _CODED + ", b AS (SELECT id, city, lpad(CAST(c % 10000000 AS VARCHAR), 7, '0') AS aza FROM coded WHERE level = 7) SELECT city || aza AS code, id AS node_id FROM b UNION ALL SELECT aza, id FROM b",
 )
 def _machiaza_all(n: DataFrame) -> DataFrame:
@@ -211,20 +179,8 @@ def _registry(n: DataFrame) -> DataFrame:
     return coded.select(codes.aza_code().alias("code"), names.alias("names"), F.lit(3).alias("aza_class"), "postcode")
 
 
-probe(
-    "code_to_registry",
-    _CODED + ", reg AS (SELECT city || lpad(CAST(c AS VARCHAR), 7, '0') AS code, r, n, name, lpad(CAST(c % 1000 * 7 AS VARCHAR), 7, '0') AS postcode FROM coded WHERE level = 7) SELECT reg.code, reg.code AS aza_code, (SELECT name FROM coded d WHERE d.level = 1 AND d.r = reg.r) || '/' || (SELECT name FROM coded d WHERE d.level = 3 AND d.n = reg.n) || '/' || reg.name AS names, postcode FROM reg WHERE code LIKE '%5' UNION ALL SELECT DISTINCT substr(code, 1, 5), substr(code, 1, 5), (SELECT name FROM coded d WHERE d.level = 1 AND d.r = reg.r) || '/' || (SELECT name FROM coded d WHERE d.level = 3 AND d.n = reg.n), NULL FROM reg WHERE n % 5 = 2 AND n > 0",
-)(lambda n: _to_registry(n))
-
-
-def _to_registry(n: DataFrame) -> DataFrame:
-    reg = _registry(n)
-    wanted = reg.where("code LIKE '%5'").select("code").unionByName(reg.where("try_cast(substring(code, 3, 3) AS int) % 5 = 2").select(F.substring("code", 1, 5).alias("code")).distinct())
-    return codes.search_registry(reg, wanted).select("code", "aza_code", F.array_join(F.transform("names", lambda s: s["name"]), "/").alias("names"), "postcode")
-
-
 @probe(
-    "code_to_registry_all",
+    "code_to_registry code_to_registry_all",
     _CODED + ", reg AS (SELECT k.city || lpad(CAST(k.c % 10000000 AS VARCHAR), 7, '0') AS code, k.city, k.pref, k.n, p.name AS r_name, t.name AS n_name, k.name, lpad(CAST(k.c % 1000 * 7 AS VARCHAR), 7, '0') AS postcode FROM coded k JOIN coded t ON t.level = 3 AND t.n = k.n JOIN coded p ON p.level = 1 AND p.r = k.r WHERE k.level = 7) SELECT code, code AS aza_code, r_name || '/' || n_name || '/' || name AS names, postcode FROM reg UNION ALL SELECT DISTINCT city, CASE WHEN n = 0 THEN pref ELSE city END, CASE WHEN n = 0 THEN r_name ELSE r_name || '/' || n_name END, NULL FROM reg UNION ALL SELECT DISTINCT pref, pref, r_name, NULL FROM reg",
 )
 def _to_registry_all(n: DataFrame) -> DataFrame:
@@ -264,56 +220,69 @@ def _prefixes(n: DataFrame) -> DataFrame:
 
 probe("common_prefixes", _QUERIES + "SELECT qid, key, node_id FROM q JOIN keys ON starts_with(text, key)")(lambda n: _prefixes(n).select("qid", "key", "node_id"))
 probe("predict_prefixes", _QUERIES + "SELECT v AS prefix, key, node_id FROM keys JOIN (VALUES ('NATION_1'), ('A'), ('ZZ')) t(v) ON starts_with(key, v)")(lambda n: _predict(n))
-probe("longest_match_best", _QUERIES + "SELECT qid, key, node_id FROM q JOIN keys ON starts_with(text, key) QUALIFY length(key) = max(length(key)) OVER (PARTITION BY qid)")(
-    lambda n: _prefixes(n).withColumn("m", F.max(F.length("key")).over(Window.partitionBy("qid"))).where(F.length("key") == F.col("m")).select("qid", "key", "node_id")
-)
-probe("matched_groups", _QUERIES + "SELECT qid, key, string_agg(CAST(node_id AS VARCHAR), ',' ORDER BY node_id) AS nodes FROM q JOIN keys ON starts_with(text, key) GROUP BY qid, key")(
-    lambda n: _prefixes(n).groupBy("qid", "key").agg(F.array_join(F.sort_array(F.collect_list("node_id")).cast("array<string>"), ",").alias("nodes"))
-)
-probe("drop_ancestors", _QUERIES + ", hits AS (SELECT DISTINCT qid, node_id FROM q JOIN keys ON starts_with(text, key)) SELECT h.qid, h.node_id FROM hits h WHERE NOT EXISTS (SELECT 1 FROM hits d JOIN nodes k ON k.id = d.node_id WHERE d.qid = h.qid AND k.parent_id = h.node_id)")(lambda n: _drop_ancestors(n))
+@probe("longest_match_best", _QUERIES + "SELECT qid, key, node_id FROM q JOIN keys ON starts_with(text, key) QUALIFY length(key) = max(length(key)) OVER (PARTITION BY qid)")
+def _longest(n: DataFrame) -> DataFrame:
+    from ..operators.search import longest
 
+    return longest(_prefixes(n), F.length("key")).select("qid", "key", "node_id")
 
-def _predict(n: DataFrame) -> DataFrame:
-    from ..operators.index import predict_prefixes
 
-    return predict_prefixes(_keys(n), n.sparkSession.createDataFrame([("NATION_1",), ("A",), ("ZZ",)], "prefix string"))
+@probe("matched_groups", _QUERIES + "SELECT qid, key AS matched, string_agg(CAST(node_id AS VARCHAR), ',' ORDER BY node_id) AS nodes FROM q JOIN keys ON starts_with(text, key) GROUP BY qid, key")
+def _groups(n: DataFrame) -> DataFrame:
+    from ..operators.search import grouped
+
+    found = grouped(_prefixes(n).withColumnRenamed("key", "matched"), ["node_id"])
+    return found.select("qid", "matched", F.array_join(F.transform("candidates", lambda c: c["node_id"].cast("string")), ",").alias("nodes"))
 
 
+@probe("drop_ancestors", _QUERIES + ", hits AS (SELECT DISTINCT qid, node_id FROM q JOIN keys ON starts_with(text, key)) SELECT h.qid, h.node_id FROM hits h WHERE NOT EXISTS (SELECT 1 FROM hits d JOIN nodes k ON k.id = d.node_id WHERE d.qid = h.qid AND k.parent_id = h.node_id)")
 def _drop_ancestors(n: DataFrame) -> DataFrame:
+    from ..operators.search import without_ancestors
+
     hits = _prefixes(n).select("qid", "node_id").distinct()
-    on_path = hits.join(n.select(F.col("id").alias("node_id"), "path_ids"), "node_id").select("qid", F.explode(F.slice("path_ids", 1, F.size("path_ids") - 1)).alias("node_id")).distinct()
-    return hits.join(on_path, ["qid", "node_id"], "left_anti")
+    return without_ancestors(hits.join(n.select(F.col("id").alias("node_id"), "path_ids"), "node_id")).select("qid", "node_id")
+
+
+def _predict(n: DataFrame) -> DataFrame:
+    from ..operators.index import predict_prefixes
+
+    return predict_prefixes(_keys(n), n.sparkSession.createDataFrame([("NATION_1",), ("A",), ("ZZ",)], "prefix string"))
 
 
 # --- sets, dimension joins, distinct coordinates
 
-probe("anti_join", "SELECT id FROM nodes WHERE level = 7 AND sibling_id = id + 1")(lambda n: n.where("level = 7").select("id").join(n.where("level = 8").select(F.col("parent_id").alias("id")), "id", "left_anti"))
+probe("anti_join", "SELECT id FROM nodes WHERE sibling_id = id + 1")(lambda n: tree.without_children(n).select("id"))
 probe("union_dedup", "SELECT id FROM nodes WHERE level = 3 UNION SELECT parent_id FROM nodes WHERE level = 7")(lambda n: n.where("level = 3").select("id").union(n.where("level = 7").select("parent_id")).distinct())
-probe("except_ids", "SELECT id FROM nodes WHERE level = 7 EXCEPT SELECT parent_id FROM nodes WHERE level = 8")(lambda n: n.where("level = 7").select("id").exceptAll(n.where("level = 8").select(F.col("parent_id").alias("id")).distinct()))
-probe("dataset_join", "SELECT id, t.title FROM nodes JOIN (VALUES (1, 'areas'), (3, 'parcels'), (7, 'houses')) t(did, title) ON did = priority")(
-    lambda n: n.join(F.broadcast(n.sparkSession.createDataFrame([(1, "areas"), (3, "parcels"), (7, "houses")], "did int, title string")), F.col("priority") == F.col("did")).select("id", "title")
-)
-probe("distinct_coords", "SELECT arg_min(id, id) AS id, n, round(x, 6) AS x, round(y, 6) AS y FROM nodes WHERE level >= 7 GROUP BY n, x, y")(lambda n: _distinct(n))
-probe("block_bbox", "SELECT parent_id AS block_id, round(min(x), 6) AS x0, round(min(y), 6) AS y0, round(max(x), 6) AS x1, round(max(y), 6) AS y1 FROM nodes WHERE level = 8 GROUP BY parent_id")(
-    lambda n: n.where("level = 8").where(tree.has_coordinates()).groupBy(F.col("parent_id").alias("block_id")).agg(*[F.round(f(c), 6).alias(f"{c}{k}") for k, f in ((0, F.min), (1, F.max)) for c in ("x", "y")])
-)
+probe("except_ids", "SELECT id FROM nodes EXCEPT SELECT parent_id FROM nodes")(lambda n: n.select("id").subtract(n.select(F.col("parent_id").alias("id"))))
+
+
+@probe("dataset_join", "SELECT id, t.title FROM nodes LEFT JOIN (VALUES (1, 'areas'), (3, 'parcels')) t(did, title) ON did = priority")
+def _datasets(n: DataFrame) -> DataFrame:
+    from ..sources.registry import datasets, with_dataset
 
+    return with_dataset(n, datasets(n.sparkSession, [(1, "areas", "http://a/"), (3, "parcels", "http://p/")])).select("id", "title")
 
+
+@probe("distinct_coords", "SELECT min(id) AS id, n, round(x, 6) AS x, round(y, 6) AS y FROM nodes WHERE level >= 7 GROUP BY n, x, y")
 def _distinct(n: DataFrame) -> DataFrame:
-    first = n.where("level >= 7").groupBy(F.get("path_ids", F.lit(1)).alias("ward"), "x", "y").agg(F.min("id").alias("id"))
+    from ..operators.reverse import distinct_points
+
     number = n.where("level = 3").select(F.col("id").alias("ward"), F.substring("name", 8, 9).cast("int").alias("n"))
-    return first.join(number, "ward").select("id", "n", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+    return distinct_points(n, n.where("level >= 7")).join(number, "ward").select(F.col("item").alias("id"), "n", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+@probe("block_bbox", "SELECT k.id AS block_id, round(least(min(d.x), k.x), 6) AS x0, round(least(min(d.y), k.y), 6) AS y0, round(greatest(max(d.x), k.x), 6) AS x1, round(greatest(max(d.y), k.y), 6) AS y1 FROM nodes k JOIN nodes d ON d.parent_id = k.id WHERE k.level = 7 GROUP BY k.id, k.x, k.y")
+def _boxes(n: DataFrame) -> DataFrame:
+    from ..operators.reverse import block_boxes
+
+    return block_boxes(n).select(F.col("item").alias("block_id"), *[F.round(c, 6).alias(c) for c in ("x0", "y0", "x1", "y1")])
 
 
 # --- space
 
 _ITEMS = """, boxes AS (SELECT k.id AS item, least(min(d.x), k.x) AS x0, least(min(d.y), k.y) AS y0, greatest(max(d.x), k.x) AS x1, greatest(max(d.y), k.y) AS y1 FROM nodes k JOIN nodes d ON d.parent_id = k.id WHERE k.level = 7 GROUP BY k.id, k.x, k.y
   UNION ALL SELECT min(id), x, y, x, y FROM nodes WHERE level = 7 AND sibling_id = id + 1 GROUP BY n, x, y),
-pts AS (SELECT id AS qid, x + 0.0004 AS x, y + 0.0003 AS y FROM nodes WHERE level = 7 AND id % 10 = 0) """
-
-
-def _points(n: DataFrame) -> DataFrame:
-    return n.where("level = 7 AND id % 10 = 0").select(F.col("id").alias("qid"), (F.col("x") + 0.0004).alias("x"), (F.col("y") + 0.0003).alias("y"))
+pts AS (SELECT id AS qid, x + 0.0004 AS x, y + 0.0003 AS y FROM nodes WHERE x <= 180) """
 
 
 def _all_points(n: DataFrame) -> DataFrame:
@@ -328,15 +297,7 @@ def _items(n: DataFrame) -> DataFrame:
     return items(n).select("item", *[F.round(c, 6).alias(c) for c in ("x0", "y0", "x1", "y1")])
 
 
-@probe("knn20", _ITEMS + ", d AS (SELECT qid, item, greatest(x0 - x, 0.0, x - x1) AS dx, greatest(y0 - y, 0.0, y - y1) AS dy FROM pts CROSS JOIN boxes), e AS (SELECT qid, item, dx * dx + dy * dy AS d2 FROM d) SELECT qid, item FROM (SELECT qid, item, rank() OVER (PARTITION BY qid ORDER BY d2) AS k FROM e) WHERE k <= 20")
-def _knn(n: DataFrame) -> DataFrame:
-    from ..operators.reverse import items, nearest
-    from .staging import staged
-
-    return nearest(_points(n), staged(items(n), "items")).select("qid", "item")
-
-
-@probe("knn20_all")
+@probe("knn20 knn20_all", _ITEMS + ", d AS (SELECT qid, item, greatest(x0 - x, 0.0, x - x1) AS dx, greatest(y0 - y, 0.0, y - y1) AS dy FROM pts CROSS JOIN boxes), e AS (SELECT qid, item, dx * dx + dy * dy AS d2 FROM d) SELECT qid, item FROM (SELECT qid, item, rank() OVER (PARTITION BY qid ORDER BY d2) AS k FROM e) WHERE k <= 20")
 def _knn_all(n: DataFrame) -> DataFrame:
     from ..operators.reverse import items, nearest
     from .staging import staged
@@ -355,31 +316,14 @@ def _corners():
     return [F.lit(v) for v in (135.2, 35.1, 135.9, 35.2, 135.5, 35.7)]
 
 
-@probe("point_in_triangle", ", s AS (SELECT id, (135.9 - 135.2) * (y - 35.1) - (35.2 - 35.1) * (x - 135.2) AS a, (135.5 - 135.9) * (y - 35.2) - (35.7 - 35.2) * (x - 135.9) AS b, (135.2 - 135.5) * (y - 35.7) - (35.1 - 35.7) * (x - 135.5) AS c FROM nodes WHERE level = 7) SELECT id, (a > 0 AND b > 0 AND c > 0) OR (a < 0 AND b < 0 AND c < 0) AS inside FROM s")
-def _triangle(n: DataFrame) -> DataFrame:
-    from ..functions.geometry import in_triangle_column
-
-    return n.where("level = 7").select("id", in_triangle_column(F.col("x"), F.col("y"), *_corners()).alias("inside"))
-
-
-@probe("point_in_triangle_all", ", s AS (SELECT id, (135.9 - 135.2) * (y - 35.1) - (35.2 - 35.1) * (x - 135.2) AS a, (135.5 - 135.9) * (y - 35.2) - (35.7 - 35.2) * (x - 135.9) AS b, (135.2 - 135.5) * (y - 35.7) - (35.1 - 35.7) * (x - 135.5) AS c FROM nodes) SELECT id, (a > 0 AND b > 0 AND c > 0) OR (a < 0 AND b < 0 AND c < 0) AS inside FROM s")
+@probe("point_in_triangle point_in_triangle_all", ", s AS (SELECT id, (135.9 - 135.2) * (y - 35.1) - (35.2 - 35.1) * (x - 135.2) AS a, (135.5 - 135.9) * (y - 35.2) - (35.7 - 35.2) * (x - 135.9) AS b, (135.2 - 135.5) * (y - 35.7) - (35.1 - 35.7) * (x - 135.5) AS c FROM nodes) SELECT id, (a > 0 AND b > 0 AND c > 0) OR (a < 0 AND b < 0 AND c < 0) AS inside FROM s")
 def _triangle_all(n: DataFrame) -> DataFrame:
     from ..functions.geometry import in_triangle_column
 
     return n.select("id", in_triangle_column(F.col("x"), F.col("y"), *_corners()).alias("inside"))
 
 
-@probe("circumcircle", ", p AS (SELECT id, x AS ax, y AS ay, 135.2 - x AS bx, 35.1 - y AS b, 135.9 - x AS cx, 35.2 - y AS c FROM nodes WHERE level = 7), d AS (SELECT *, 2 * (bx * c - b * cx) AS d FROM p), u AS (SELECT id, ax, ay, (c * (bx * bx + b * b) - b * (cx * cx + c * c)) / d AS ux, (bx * (cx * cx + c * c) - cx * (bx * bx + b * b)) / d AS uy FROM d WHERE abs(d) > 0.01) SELECT id, round(ax + ux, 6) AS x, round(ay + uy, 6) AS y, round(ux * ux + uy * uy, 6) AS r2 FROM u")
-def _circle(n: DataFrame) -> DataFrame:
-    from ..functions.geometry import circumcircle_columns, cross_column
-
-    b = [F.lit(v) for v in (135.2, 35.1, 135.9, 35.2)]
-    far = F.abs(2 * cross_column(F.col("x"), F.col("y"), *b)) > 0.01
-    x, y, r2 = circumcircle_columns(F.col("x"), F.col("y"), *b)
-    return n.where("level = 7").where(far).select("id", F.round(x, 6).alias("x"), F.round(y, 6).alias("y"), F.round(r2, 6).alias("r2"))
-
-
-@probe("circumcircle_all", ", p AS (SELECT id, x AS ax, y AS ay, 135.2 - x AS bx, 35.1 - y AS b, 135.9 - x AS cx, 35.2 - y AS c FROM nodes WHERE x BETWEEN -180 AND 180 AND y BETWEEN -90 AND 90), d AS (SELECT *, 2 * (bx * c - b * cx) AS d FROM p), u AS (SELECT id, ax, ay, (c * (bx * bx + b * b) - b * (cx * cx + c * c)) / d AS ux, (bx * (cx * cx + c * c) - cx * (bx * bx + b * b)) / d AS uy FROM d WHERE abs(d) > 0.01) SELECT id, round(ax + ux, 6) AS x, round(ay + uy, 6) AS y, round(ux * ux + uy * uy, 6) AS r2 FROM u")
+@probe("circumcircle circumcircle_all", ", p AS (SELECT id, x AS ax, y AS ay, 135.2 - x AS bx, 35.1 - y AS b, 135.9 - x AS cx, 35.2 - y AS c FROM nodes WHERE x BETWEEN -180 AND 180 AND y BETWEEN -90 AND 90), d AS (SELECT *, 2 * (bx * c - b * cx) AS d FROM p), u AS (SELECT id, ax, ay, (c * (bx * bx + b * b) - b * (cx * cx + c * c)) / d AS ux, (bx * (cx * cx + c * c) - cx * (bx * bx + b * b)) / d AS uy FROM d WHERE abs(d) > 0.01) SELECT id, round(ax + ux, 6) AS x, round(ay + uy, 6) AS y, round(ux * ux + uy * uy, 6) AS r2 FROM u")
 def _circle_all(n: DataFrame) -> DataFrame:
     from ..functions.geometry import circumcircle_columns, cross_column
 
@@ -389,14 +333,33 @@ def _circle_all(n: DataFrame) -> DataFrame:
     return n.where(tree.has_coordinates()).where(far).select("id", F.round(x, 6).alias("x"), F.round(y, 6).alias("y"), F.round(r2, 6).alias("r2"))
 
 
-@probe("geodesic")
+def _geodesic_sql(lon: float, lat: float, rounds: int = 8) -> str:
+    """Vincenty's inverse formula between every node and one point, each round of it a table of its own."""
+    f, a = "(1 / 298.257223563)", "6378137.0"
+    of = "(SELECT *, sqrt(pow(c2 * sin(lam), 2) + pow(c1 * s2 - s1 * c2 * cos(lam), 2)) AS sin_s, s1 * s2 + c1 * c2 * cos(lam) AS cos_s FROM {})"
+    of = f"(SELECT *, CASE WHEN sin_s > 0 THEN c1 * c2 * sin(lam) / sin_s ELSE 0 END AS sin_a, atan2(sin_s, cos_s) AS sigma FROM {of})"
+    of = f"(SELECT *, 1 - sin_a * sin_a AS cos2 FROM {of})"
+    of = f"(SELECT *, CASE WHEN cos2 > 0 THEN cos_s - 2 * s1 * s2 / cos2 ELSE 0 END AS mid, {f} / 16 * cos2 * (4 + {f} * (4 - 3 * cos2)) AS c FROM {of})"
+    out = f", u AS (SELECT id, radians({lon}) - radians(x) AS gap, atan((1 - {f}) * tan(radians(y))) AS u1, atan((1 - {f}) * tan(radians({lat}))) AS u2 FROM nodes WHERE x BETWEEN -180 AND 180)"
+    out += ", g0 AS (SELECT id, gap, sin(u1) AS s1, cos(u1) AS c1, sin(u2) AS s2, cos(u2) AS c2, gap AS lam FROM u)"
+    for k in range(rounds):
+        out += f", g{k + 1} AS (SELECT id, gap, s1, c1, s2, c2, gap + (1 - c) * {f} * sin_a * (sigma + c * sin_s * (mid + c * cos_s * (2 * mid * mid - 1))) AS lam FROM {of.format(f'g{k}')})"
+    b = f"({a} * (1 - {f}))"
+    k2 = f"(SELECT *, cos2 * ({a} * {a} - {b} * {b}) / ({b} * {b}) AS k FROM {of.format(f'g{rounds}')})"
+    ab = f"(SELECT *, 1 + k / 16384 * (4096 + k * (-768 + k * (320 - 175 * k))) AS ba, k / 1024 * (256 + k * (-128 + k * (74 - 47 * k))) AS bb FROM {k2})"
+    delta = f"(SELECT *, bb * sin_s * (mid + bb / 4 * (cos_s * (2 * mid * mid - 1) - bb / 6 * mid * (4 * sin_s * sin_s - 3) * (4 * mid * mid - 3))) AS d FROM {ab})"
+    return out + f" SELECT n.id, round({b} * ba * (sigma - d), 3) AS metres FROM nodes n LEFT JOIN {delta} m ON m.id = n.id"
+
+
+@probe("geodesic", _geodesic_sql(135.5, 35.4))
 def _geodesic(n: DataFrame) -> DataFrame:
-    from ..functions.geometry import geodesic
     from pyspark.sql import types as T
 
+    from ..functions.geometry import geodesic
+
     metres = F.pandas_udf(lambda x, y: x * 0 + geodesic(x, y, 135.5, 35.4), T.DoubleType())
     x, y = (F.when(tree.has_coordinates(), F.col(c)) for c in ("x", "y"))
-    return n.select("id", metres(x, y).alias("metres"))
+    return n.select("id", F.round(metres(x, y), 3).alias("metres"))
 
 
 # --- text
@@ -408,13 +371,6 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-@probe("std_native", _DOCS + "upper(source) || '-' || upper(lang) AS std FROM documents", star=False)
-def _std_native(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..functions.normalize import Standard
-
-    return _docs(spark, sf_dir).select("doc_id", Standard().plain_column(F.concat("source", F.lit("―"), "lang")).alias("std"))
-
-
 @probe("std_full", _DOCS + "upper(regexp_replace(source, '([0-9]+)', '\\1.')) || '-' || upper(lang) AS std FROM documents", star=False)
 def _std_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..functions.normalize import Standard
@@ -445,7 +401,7 @@ def _std_sql() -> str:
     return _sql_translate(f"replace({c}, '通リ', '通')", dict.fromkeys(HYPHENS, "-"))
 
 
-@probe("std_native_text", _DOCS + _std_sql() + " AS std FROM documents", star=False)
+@probe("std_native std_native_text", _DOCS + _std_sql() + " AS std FROM documents", star=False)
 def _std_native_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..functions.normalize import Standard
 
@@ -474,7 +430,7 @@ def _char_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", char_type_column(one).alias("kind"))
 
 
-@probe("match_len")
+@probe("match_len", "SELECT id, length(name) AS n FROM nodes")
 def _match_len(n: DataFrame) -> DataFrame:
     import pandas as pd
     from pyspark.sql import types as T
@@ -487,27 +443,17 @@ def _match_len(n: DataFrame) -> DataFrame:
     return n.select("id", length(s.plain_column("name"), s.column("name")).alias("n"))
 
 
-@probe("geocode_full", "SELECT id AS qid, id AS node_id, length(name) AS tail FROM nodes WHERE level = 7")
+@probe("geocode_full geocode_full_all", "SELECT id AS qid, id AS node_id, length(name) + CASE WHEN level = 8 THEN 1 ELSE 0 END AS tail FROM nodes WHERE level > 1")
 def _geocode(n: DataFrame) -> DataFrame:
-    from ..functions.normalize import Standard
-    from ..operators.search import Gazetteer, geocode
-
-    s = Standard()
-    top = n.where("level <= 7")
-    g = Gazetteer(top.withColumn("name_index", s.column("name")))
-    queries = top.where("level = 7").select(F.col("id").alias("qid"), F.concat(F.array_join("path_names", ""), F.lit(" and more")).alias("query"))
-    found = geocode(g, queries)
-    up = top.select(F.col("id").alias("node_id"), F.length(F.array_join(F.slice("path_names", 1, F.size("path_names") - 1), "")).alias("head"))
-    return found.join(up, "node_id").select("qid", "node_id", (F.length("matched") - F.col("head")).cast("bigint").alias("tail"))
-
-
-@probe("geocode_full_all")
-def _geocode_all(n: DataFrame) -> DataFrame:
+    """Every node asked for by its own path; those of the first level have no coordinates, nor have their first children."""
     from ..functions.normalize import Standard
     from ..operators.search import Gazetteer, geocode
 
     g = Gazetteer(n.withColumn("name_index", Standard().column("name")))
-    return geocode(g, n.select(F.col("id").alias("qid"), F.concat(F.array_join("path_names", ""), F.lit(" and more")).alias("query")))
+    head = F.array_join(F.slice("path_names", 1, F.size("path_names") - 1), "")
+    queries = n.select(F.col("id").alias("qid"), F.concat(head, F.when(F.col("level") == 8, "-").otherwise(""), "name", F.lit(" and more")).alias("query"))
+    up = n.select(F.col("id").alias("node_id"), F.length(head).alias("head"))
+    return geocode(g, queries).join(up, "node_id").select("qid", "node_id", (F.length("matched") - F.col("head")).cast("bigint").alias("tail"))
 
 
 @probe(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators.tree import NO_COORDINATE, build_tree
 from .staging import staged
 
-_made: dict[tuple[int, str], DataFrame] = {}
+_made: dict[tuple[str, str], DataFrame] = {}
 
 
 def star_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,7 +38,7 @@ def star_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def star_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nodes without the root; built once a session and folder, and kept as a table in the shared folder."""
-    key = (id(spark.sparkContext), sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _made:
         _made[key] = staged(build_tree(star_rows(spark, sf_dir)), "star")
     return _made[key]
