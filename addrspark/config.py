@@ -6,6 +6,7 @@ import os
 from collections.abc import Mapping
 from dataclasses import fields, replace
 
+from .errors import AddressError
 from .functions.matching import Settings
 
 #: Words for each value of a switch. auto leaves the decision to the registry.
@@ -13,7 +14,7 @@ WORDS = {True: ("on", "enable", "true", "yes"), False: ("off", "disable", "false
 PREFIX = "ADDRSPARK_OPT_"
 
 
-class SettingError(ValueError):
+class SettingError(AddressError, ValueError):
     """A value that a setting cannot have."""
 
 

@@ -91,16 +91,8 @@ def number_udf(text: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"n": pd.array([n if n < 1 << 63 else None for n, _ in read], dtype="Int64"), "i": [i for _, i in read]})
 
 
-# What may be missing from a name or stand in one without need.
-MIDDLE = ("ケ", "ヶ", "ガ", "ツ", "ッ", "ノ", "大字", "小字", "字")
-
-
-def without_middles(name: str) -> set[str]:
-    """All notations of name that lack any of the optional strings throughout."""
-    out = {name}
-    for s in MIDDLE:
-        out |= {x.replace(s, "") for x in out}
-    return out
+# What may be missing from a name or stand in one without need, throughout; in this order.
+MIDDLE = ("大字", "小字", "字", "ケ", "ヶ", "ガ", "ツ", "ッ", "ノ")
 
 
 def aza_name_column(names: Column, standard: Standard | None = None) -> Column:

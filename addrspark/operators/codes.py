@@ -73,6 +73,25 @@ def aza_code() -> Column:
     return F.when((F.col("city_code") != "") & (F.col("aza_id") != ""), F.concat("city_code", "aza_id")).otherwise("")
 
 
+def with_area_names(nodes: DataFrame) -> DataFrame:
+    """nodes with pref_name and city_name: those of the nearest prefecture, and city or ward, on the path; empty if none."""
+    high = nodes.where(F.col("level").isin(1, 3, 4)).select(F.col("id").alias("ancestor_id"), F.col("level").alias("l"), F.col("name").alias("n"))
+    on_path = nodes.select("id", F.explode("path_ids").alias("ancestor_id")).join(high, "ancestor_id")
+    pick = lambda cond: F.max_by(F.when(cond, F.col("n")), F.when(cond, F.col("ancestor_id")))
+    names = on_path.groupBy("id").agg(pick(F.col("l") == 1).alias("p"), pick(F.col("l") > 1).alias("c"))
+    return nodes.join(names, "id", "left").select(*nodes.columns, F.coalesce("p", F.lit("")).alias("pref_name"), F.coalesce("c", F.lit("")).alias("city_name"))
+
+
+def aza_names(nodes: DataFrame, registry: DataFrame) -> DataFrame:
+    """(id, names): the registry's names down to each node of with_codes; nodes that it does not hold are left out.
+
+    The code of the small area counts from the area level on, else the city's from the city level on, else the prefecture's.
+    """
+    small, city = F.when(F.col("level") >= 5, aza_code()).otherwise(""), F.when(F.col("level") >= 3, F.col("city_code")).otherwise("")
+    of = nodes.select("id", F.coalesce(F.nullif(small, F.lit("")), F.nullif(city, F.lit("")), F.col("pref_code")).alias("code")).where("code <> ''")
+    return of.join(search_registry(registry, of.select("code").distinct()).select("code", "names"), "code").select("id", "names")
+
+
 #: Length of a code -> (category, first digits of the code that count), by kind of search.
 KINDS = {"postcode": {7: ("postcode", 7)}, "prefcode": {2: ("jisx0401", 2), 6: ("jisx0401", 2)}, "citycode": {5: ("jisx0402", 5), 6: ("jisx0402", 5)}}
 

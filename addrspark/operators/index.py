@@ -9,10 +9,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: What an element of each level may lose at its end; and what may be missing anywhere.
-POSTFIX = {3: "[市区町村]$", 4: "区$", 5: r"(?<=[0-9]\.)(町|条|線|丁|丁目|区|番|号|番丁|番町)$"}
+from ..functions.matching import POSTFIXES
+from ..functions.normalize import MIDDLE
+
 COUNTY, LAST_LEVEL = 2, 5
-OPTIONAL = ("大字", "小字", "字", "ケ", "ヶ", "ガ", "ツ", "ッ", "ノ")
+
+
+def without_postfix(key: Column, level: int) -> Column:
+    """key without what an element of that level may lose at its end."""
+    head, _, tail = POSTFIXES[level].partition("(")
+    return F.regexp_replace(key, f"({head})({tail}", "$1")
 
 
 def _steps(nodes: DataFrame) -> DataFrame:
@@ -36,11 +42,11 @@ def notation_index(nodes: DataFrame, *, variants: bool = False, postfixes: bool
     keys = run.select("id", "level", F.explode(F.array_distinct(F.array(key(body), key(F.filter(body, lambda s: s["l"] != COUNTY))))).alias("key"))
     if postfixes:
         short = F.col("key")
-        for level, pattern in POSTFIX.items():
-            short = F.when(F.col("level") == level, F.regexp_replace("key", pattern, "")).otherwise(short)
+        for level in (x for x in POSTFIXES if x <= LAST_LEVEL):
+            short = F.when(F.col("level") == level, without_postfix(F.col("key"), level)).otherwise(short)
         keys = keys.select("id", "level", F.explode(F.array_distinct(F.array(F.col("key"), short))).alias("key"))
     if variants:
-        for s in OPTIONAL:
+        for s in MIDDLE:
             keys = keys.select("id", "level", F.explode(F.array_distinct(F.array(F.col("key"), F.replace("key", F.lit(s), F.lit(""))))).alias("key"))
     return keys.where("key not in ('', '.')").select("key", F.col("id").alias("node_id"), "level").distinct()
 
@@ -58,10 +64,10 @@ def common_prefixes(texts: DataFrame, keys: DataFrame, text: str = "text", longe
 
 
 def predict_prefixes(keys: DataFrame, wanted: DataFrame) -> DataFrame:
-    """wanted (prefix) with the keys that start with it: one equality join for each length that occurs."""
-    lengths = [r[0] for r in wanted.select(F.length("prefix")).distinct().collect()]
-    out = None
+    """wanted (prefix) with the keys that start with it: one equality join for each length that occurs. Empty prefixes find nothing."""
+    lengths = [r[0] for r in wanted.select(F.length("prefix")).distinct().collect()]  # one a length
+    out = wanted.where("false").join(keys, F.lit(False)).select("prefix", "key", "node_id")
     for n in sorted(x for x in lengths if x):
         part = wanted.where(F.length("prefix") == n).join(keys.withColumn("prefix", F.substring("key", 1, n)).where(F.length("prefix") == n), "prefix")
-        out = part if out is None else out.unionByName(part)
-    return out.select("prefix", "key", "node_id")
+        out = out.unionByName(part.select("prefix", "key", "node_id"))
+    return out

@@ -23,8 +23,8 @@ from .tree import has_coordinates, is_leaf
 NEAREST, WARD, AZA, BLOCK = 20, 4, 6, 7
 #: Side of the smallest cells of the grid in degrees, how much wider the next ones are, and how many steps are taken.
 CELL, WIDER, STEPS = 0.001, 4, 3
-#: Items in the cells around a point with which it still takes part in the grid.
-CROWD = 4096
+#: Items in the cells around a point with which it still takes part in the grid; and the widest item in it, in its cells.
+CROWD, WIDEST = 4096, 16
 #: Side of the pyramid's smallest cells, how much wider each next level is, and how many levels cover the globe.
 FINE, FACTOR, LEVELS = 0.00025, 8, 8
 
@@ -112,11 +112,17 @@ def descended(points: DataFrame, boxes: DataFrame, k: int) -> DataFrame:
 
 
 def nearest(points: DataFrame, boxes: DataFrame, k: int = NEAREST) -> DataFrame:
-    """(qid, x, y, item, d2): the k nearest items of every point, with all that tie with the last."""
-    left, out, late = staged(points.select("qid", "x", "y").where("x is not null and y is not null"), "points"), None, None
+    """(qid, x, y, item, d2): the k nearest items of every point, with all that tie with the last.
+
+    Boxes that are too wide for the grid's cells are found by way of the pyramid, for all points.
+    """
+    given = staged(points.select("qid", "x", "y").where("x is not null and y is not null"), "points")
+    wide = (F.col("x1") - F.col("x0") > WIDEST * CELL) | (F.col("y1") - F.col("y0") > WIDEST * CELL)
+    small, large = boxes.where(~wide), boxes.where(wide)
+    left, out, late = given, None, None
     side = CELL
     for _ in range(STEPS):
-        grid = boxes.select("*", F.explode(_cells(F.col("x0"), F.col("x1"), side)).alias("cx")).select("*", F.explode(_cells(F.col("y0"), F.col("y1"), side)).alias("cy"))
+        grid = small.select("*", F.explode(_cells(F.col("x0"), F.col("x1"), side)).alias("cx")).select("*", F.explode(_cells(F.col("y0"), F.col("y1"), side)).alias("cy"))
         held = grid.groupBy("cx", "cy").agg(F.count("*").alias("n"))
         around = _around(left, side)
         crowd = staged(around.join(held, ["cx", "cy"]).groupBy("qid").agg(F.sum("n").alias("n")), "crowd")
@@ -132,6 +138,10 @@ def nearest(points: DataFrame, boxes: DataFrame, k: int = NEAREST) -> DataFrame:
         if left.isEmpty():
             break
         side *= WIDER
+    if not large.isEmpty():
+        known = given.join(out.select("qid").distinct(), "qid", "left_semi")
+        both = out.unionByName(descended(staged(known, "points"), staged(large, "large"), k))
+        out = both.withColumn("r", F.rank().over(Window.partitionBy("qid").orderBy("d2"))).where(F.col("r") <= k).drop("r")
     rest = staged(left.unionByName(late), "points")
     return out if rest.isEmpty() else out.unionByName(descended(rest, boxes, k))
 

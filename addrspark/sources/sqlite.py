@@ -24,6 +24,12 @@ def _quoted(name: str) -> str:
     return '"' + name.replace('"', '""') + '"'
 
 
+def tables(path: str) -> list[str]:
+    """The names of a file's tables."""
+    with closing(_connect(path)) as c:
+        return [name for (name,) in c.execute("SELECT name FROM sqlite_master WHERE type = 'table' ORDER BY name")]
+
+
 class Rows(InputPartition):
     def __init__(self, first: int, last: int):
         super().__init__((first, last))
@@ -33,6 +39,7 @@ class Rows(InputPartition):
 class SqliteReader(DataSourceReader):
     def __init__(self, schema: StructType, options):
         self.names, self.options = schema.fieldNames(), options
+        self.truths = [k for k, f in enumerate(schema.fields) if isinstance(f.dataType, BooleanType)]
 
     def partitions(self) -> list[Rows]:
         with closing(_connect(self.options["path"])) as c:
@@ -46,7 +53,9 @@ class SqliteReader(DataSourceReader):
     def read(self, partition: Rows) -> Iterator[tuple]:
         columns = ", ".join(map(_quoted, self.names))
         with closing(_connect(self.options["path"])) as c:
-            yield from c.execute(f"SELECT {columns} FROM {_quoted(self.options['table'])} WHERE rowid BETWEEN ? AND ?", (partition.first, partition.last))
+            for row in c.execute(f"SELECT {columns} FROM {_quoted(self.options['table'])} WHERE rowid BETWEEN ? AND ?", (partition.first, partition.last)):
+                # SQLite has numbers for truth values
+                yield tuple(v if v is None or k not in self.truths else bool(v) for k, v in enumerate(row)) if self.truths else row
 
 
 class SqliteSource(DataSource):
