@@ -21,6 +21,8 @@ BLANK = re.compile(f"[ {MARK}]")
 #: Texts longer than this are parted one part at a time.
 LONG_CHARS = 1 << 20
 UNKNOWN_PENALTY = 10.0
+#: So many scores beside those that pieces reach back to are kept at most.
+KEPT_ENDS = 1 << 12
 #: Parts whose counts a worker keeps, and the longest of them.
 CACHE_PARTS, CACHE_CHARS = 300_000, 64
 #: Vocabulary entries that may be sent to every worker.
@@ -54,29 +56,31 @@ class Counter:
     def part(self, text: str) -> tuple[float, int]:
         """Best score and number of tokens of one part.
 
-        Matches come in the order of their ends and no piece is longer than the ring of the last ends, so the memory
-        does not grow with the text.
+        Matches come in the order of their ends and reach back no farther than the longest piece, so of the scores only
+        the last are kept, and the memory does not grow with the text.
         """
-        ring = self.reach
-        score, count = [0.0] * ring, [0] * ring
+        score, count, unknown = [0.0], [0], self.unknown
         matches = iter(self.matches.iter(text))
         match = next(matches, None)
         for at, letter in enumerate(text):
-            end = at + 1
-            best, start, step, single = None, -1, 0, False
+            k = len(score)
+            best, size, step, single = None, 0, 0, False
             while match is not None and match[0] == at:
                 length, s = match[1]
                 single |= length == 1
-                now = score[(end - length) % ring] + s
-                if best is None or now > best or now == best and end - length < start:
-                    best, start, step = now, end - length, 1
+                now = score[k - length] + s
+                if best is None or now > best or now == best and length > size:
+                    best, size, step = now, length, 1
                 match = next(matches, None)
             if not single:
-                now = score[at % ring] + self.unknown
+                now = score[k - 1] + unknown
                 if best is None or now > best:
-                    best, start, step = now, at, len(letter.encode())
-            score[end % ring], count[end % ring] = best, count[start % ring] + step
-        return score[len(text) % ring], count[len(text) % ring]
+                    best, size, step = now, 1, len(letter.encode())
+            score.append(best)
+            count.append(count[k - size] + step)
+            if k >= KEPT_ENDS + self.reach:
+                del score[:KEPT_ENDS], count[:KEPT_ENDS]
+        return score[-1], count[-1]
 
     def parts(self, text: str) -> Iterator[str]:
         """What stands between blanks, one after the other; a blank at the head parts nothing."""
