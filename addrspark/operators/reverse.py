@@ -91,13 +91,12 @@ def descended(points: DataFrame, boxes: DataFrame, k: int) -> DataFrame:
     cells that hold k items together; cells that begin beyond that are dropped. A point keeps a few cells for each of its k.
     """
     levels = pyramid(boxes)
-    kept, far = points, lambda c: F.greatest(F.abs(F.col(c) - F.col(f"{c}0")), F.abs(F.col(c) - F.col(f"{c}1")))
-    for n, cells in enumerate(reversed(levels)):
-        if n == 0:  # the top has four cells at most: two by two cover the globe
-            tops = cells.withColumn("at", F.lit(0)).drop("px", "py")
-            met = points.withColumn("at", F.lit(0)).join(F.broadcast(tops), "at").drop("at")
-        else:
-            met = kept.join(cells, ["px", "py"]).drop("px", "py")
+    far = lambda c: F.greatest(F.abs(F.col(c) - F.col(f"{c}0")), F.abs(F.col(c) - F.col(f"{c}1")))
+    # two by two cells above the top ones cover the globe
+    both = F.explode(F.array(F.lit(-1), F.lit(0)).cast("array<bigint>"))
+    kept = points.select("qid", "x", "y", both.alias("px")).select("*", both.alias("py"))
+    for cells in reversed(levels):
+        met = kept.join(cells, ["px", "py"]).drop("px", "py")
         met = met.withColumns({"least": box_distance(), "most": far("x") * far("x") + far("y") * far("y")})
         whole = F.sum("n").over(Window.partitionBy("qid").orderBy("most"))
         met = met.withColumn("reach", F.when(whole >= k, F.col("most"))).withColumn("reach", F.min("reach").over(Window.partitionBy("qid")))
