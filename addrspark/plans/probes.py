@@ -136,6 +136,17 @@ probe("area_predicate", _CODED + "SELECT id, CASE WHEN city = '01005' THEN 1 WHE
     lambda n: codes.with_codes(n).select("id", codes.inside("01005", "01005").alias("by_city"), codes.inside("02", "02").alias("by_pref"), codes.inside("NATION_3", "NATION_3").alias("by_name"))
 )
 
+_UP = " FROM nodes a JOIN nodes p ON p.level = 1 AND p.r = a.r LEFT JOIN nodes t ON t.level = 3 AND t.n = a.n LEFT JOIN nodes k ON k.level = 7 AND k.c = a.c"
+probe("area_names", "SELECT a.id, p.name AS pref_name, coalesce(t.name, '') AS city_name" + _UP)(lambda n: codes.with_area_names(n).select("id", "pref_name", "city_name"))
+
+
+@probe("aza_names", "SELECT a.id, concat_ws('/', p.name, CASE WHEN a.level > 3 OR a.n > 0 THEN t.name END, k.name) AS names" + _UP)
+def _aza_names(n: DataFrame) -> DataFrame:
+    """The registry's names; the code of the first city of a region stands for the region."""
+    found = codes.aza_names(codes.with_codes(n), _registry(n))
+    return found.select("id", F.array_join(F.transform("names", lambda s: s["name"]), "/").alias("names"))
+
+
 # --- notes and codes
 
 probe("notes_split", "SELECT id, split_part(p, ':', 1) AS k, split_part(p, ':', 2) AS v FROM (SELECT id, unnest(string_split(note, '/')) AS p FROM nodes WHERE note <> '')")(
