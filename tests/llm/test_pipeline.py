@@ -33,11 +33,11 @@ def test_odd_input(spark):
     clean = spark.read.parquet(f"{SMALL}/documents.parquet").where("length(text) > 900").limit(5)
     odd = clean.unionByName(clean.selectExpr("doc_id", "CASE doc_id % 3 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE repeat(' \n', 300000) END AS text", "lang", "source", "n_chars"))
     odd = odd.unionByName(odd).unionByName(odd.withColumn("doc_id", F.lit(None).cast("bigint")))
-    odd = odd.selectExpr("*", "1 AS `a.b`", "2 AS __id", "3 AS N_TOKENS", "4 AS fp", "5 AS words")
+    odd = corpus_pipeline.staged(odd.selectExpr("*", "1 AS `a.b`", "2 AS __id", "3 AS N_TOKENS", "4 AS fp", "5 AS words"), "odd")
     for docs in (odd, odd.limit(0)):
         n = docs.count()
         for name, stage in corpus_pipeline.STAGES[:-1]:
-            got = stage(spark, docs, SMALL)
+            got = corpus_pipeline.staged(stage(spark, docs, SMALL), name)
             assert got.columns == docs.columns and got.count() <= n and got.exceptAll(docs).isEmpty(), name
             if name == "simhash_near_dedup" and n:
                 assert got.where("doc_id is not null").count() == got.where("doc_id is not null").distinct().count() < got.count()
