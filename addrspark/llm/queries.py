@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op8_bpe
 from .decontaminate import OP6_SQL, op6_decontamination
+from .merkle import OP12_SQL, op12_merkle
 from .quality_rules import ABLATIONS_SQL, OP5_SQL, op5_quality_rules, quality_ablations
 from .sharding import op2_sharding
 from .simhash import op3_simhash
@@ -30,10 +31,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_bpe": op8_bpe,
         "op9_token_count": op9_token_count,
         "op10_url_filter": op10_url_filter,
+        "op12_merkle": op12_merkle,
         "quality_ablations": quality_ablations,
         "weak_label_accuracies": weak_label_accuracies,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc_zip": OP4_SQL, "op5_quality_rules": OP5_SQL, "op6_decontamination": OP6_SQL, "op10_url_filter": OP10_SQL, "quality_ablations": ABLATIONS_SQL}
+    return {"op4_warc_zip": OP4_SQL, "op5_quality_rules": OP5_SQL, "op6_decontamination": OP6_SQL, "op10_url_filter": OP10_SQL, "op12_merkle": OP12_SQL, "quality_ablations": ABLATIONS_SQL}
