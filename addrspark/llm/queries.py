@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import op8_bpe
 from .decontaminate import OP6_SQL, op6_decontamination
 from .merkle import OP12_SQL, op12_merkle
+from .phrases import OP13_SQL, op13_phrases
 from .quality_rules import ABLATIONS_SQL, OP5_SQL, op5_quality_rules, quality_ablations
 from .sharding import op2_sharding
 from .simhash import op3_simhash
@@ -32,10 +33,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_token_count": op9_token_count,
         "op10_url_filter": op10_url_filter,
         "op12_merkle": op12_merkle,
+        "op13_phrases": op13_phrases,
         "quality_ablations": quality_ablations,
         "weak_label_accuracies": weak_label_accuracies,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc_zip": OP4_SQL, "op5_quality_rules": OP5_SQL, "op6_decontamination": OP6_SQL, "op10_url_filter": OP10_SQL, "op12_merkle": OP12_SQL, "quality_ablations": ABLATIONS_SQL}
+    return {"op4_warc_zip": OP4_SQL, "op5_quality_rules": OP5_SQL, "op6_decontamination": OP6_SQL, "op10_url_filter": OP10_SQL, "op12_merkle": OP12_SQL, "op13_phrases": OP13_SQL, "quality_ablations": ABLATIONS_SQL}
