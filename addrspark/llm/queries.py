@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op8_bpe
 from .decontaminate import OP6_SQL, op6_decontamination
+from .lsh_forest import op11_lsh_forest
 from .merkle import OP12_SQL, op12_merkle
 from .phrases import OP13_SQL, op13_phrases
 from .quality_rules import ABLATIONS_SQL, OP5_SQL, op5_quality_rules, quality_ablations
@@ -32,6 +33,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_bpe": op8_bpe,
         "op9_token_count": op9_token_count,
         "op10_url_filter": op10_url_filter,
+        "op11_lsh_forest": op11_lsh_forest,
         "op12_merkle": op12_merkle,
         "op13_phrases": op13_phrases,
         "quality_ablations": quality_ablations,
