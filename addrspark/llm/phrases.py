@@ -6,9 +6,10 @@ bitmap, of the places of its last word, is shifted by one position and met with
 same blocks: AND gives the bitmaps of the phrases one word longer, popcount how often they occur in the shard. So phrases
 grow depth-first, a batch of them at a time, and their popcounts are summed over shards.
 
-Counting goes through the shards twice, for pairs and for longer phrases. What has been counted prunes what comes next: a
-sieve, a bitmap of bounded size that says which words, then which pairs, may be frequent anywhere. It never says no wrongly,
-and all sums are compared with the threshold after it, so results don't depend on its size.
+Counting goes through the shards twice. The popcounts of pairs are first summed by hash alone, and then those of all phrases
+by their words. What has been counted prunes what comes next: a sieve, a bitmap of bounded size that says which words, then
+which pairs, may be frequent anywhere. It never says no wrongly, and the sums by words are compared with the threshold after
+it, so results depend on neither its size nor on hashes.
 """
 
 from __future__ import annotations
@@ -142,23 +143,26 @@ class Sieve:
         return (self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
 
-def sieve(frequent: DataFrame, bounds: tuple[int, int] = SIEVE_BITS) -> Sieve:
-    """Of (lang, phrase) rows with one or two words; Spark makes the words of the bitmap, of which the driver gets as many as it has at most."""
-    n = min(bounds[1], max(bounds[0], 1 << (16 * frequent.count()).bit_length()))
+def hashed(words: DataFrame) -> DataFrame:
+    """(h) of (lang, phrase) rows of one word each."""
 
-    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            by: dict[str, list[list[bytes]]] = defaultdict(list)
-            for lang, phrase in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                by[lang].append(phrase.encode().split(b" "))
-            for lang, split in by.items():
-                h = word_hashes(lang, [w[0] for w in split])
-                two = np.flatnonzero([len(w) == 2 for w in split])
-                h[two] = pair_hashes(h[two], word_hashes(lang, [split[k][1] for k in two]))
-                at = h & np.uint64(n - 1)
-                yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(5)).astype(np.int64)), pa.array((np.int64(1) << (at & np.uint64(31)).astype(np.int64)))], names=["slot", "bit"])
-
-    made = frequent.select("lang", "phrase").mapInArrow(slots, "slot bigint, bit bigint").groupBy("slot").agg(F.bit_or("bit").alias("bits")).toArrow()
+            by: dict[str, list[bytes]] = defaultdict(list)
+            for lang, word in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                by[lang].append(word.encode())
+            for lang, some in by.items():
+                yield pa.RecordBatch.from_arrays([pa.array(word_hashes(lang, some).view(np.int64))], names=["h"])
+
+    return words.select("lang", "phrase").mapInArrow(hashes, "h bigint")
+
+
+def sieve(frequent: DataFrame, bounds: tuple[int, int] = SIEVE_BITS) -> Sieve:
+    """Of hashes (h); Spark makes the words of the bitmap, of which the driver gets as many as it has at most."""
+    n = min(bounds[1], max(bounds[0], 1 << (16 * frequent.count()).bit_length()))
+    at = F.col("h").bitwiseAND(F.lit(n - 1))
+    bit = F.expr("shiftleft(1L, int(h & 31))")
+    made = frequent.groupBy(F.shiftright(at, 5).alias("slot")).agg(F.bit_or(bit).alias("bits")).toArrow()
     out = np.zeros(n // 32, "<u4")
     out[made["slot"].to_numpy()] = made["bits"].to_numpy().astype(np.uint32)
     return Sieve(out.view(np.uint8))
@@ -177,7 +181,7 @@ class Vertical:
         before = np.concatenate([[0], total[ends[:-1] - 1]])
         block = total - np.repeat(before, sizes)
         word = np.repeat(np.arange(v), sizes)
-        self.h = word_hashes(lang, words)
+        self.lang, self.h = lang, word_hashes(lang, words)
         may = np.ones(v, bool) if known is None else known.has(self.h)
         keep = np.flatnonzero(may[word])
         #: Entries by word, where phrases begin.
@@ -228,34 +232,43 @@ class Vertical:
                     yield from self.grow(longer, child, where, bits, longest, pairs)
 
 
-def _phrase_rows(batches: Iterator[pa.RecordBatch], lengths: tuple[int, int], words: Sieve, pairs: Sieve | None) -> Iterator[pa.RecordBatch]:
+def _pair_rows(batches: Iterator[pa.RecordBatch], words: Sieve) -> Iterator[pa.RecordBatch]:
+    """How often the pairs of a shard's words occur, by hash."""
+    for each, _ in _verticals(batches, words):
+        for pairs, n in each.grow(np.arange(each.v)[:, None], *each.by_word, 2, None):
+            yield pa.RecordBatch.from_arrays([pa.array(pair_hashes(each.h[pairs[:, 0]], each.h[pairs[:, 1]]).view(np.int64)), pa.array(n)], names=["h", "n"])
+
+
+def _phrase_rows(batches: Iterator[pa.RecordBatch], longest: int, words: Sieve, pairs: Sieve) -> Iterator[pa.RecordBatch]:
+    """How often the phrases of a shard occur all of whose pairs the sieve lets through."""
+    for each, names in _verticals(batches, words):
+        for phrases, n in each.grow(np.arange(each.v)[:, None], *each.by_word, longest, pairs):
+            text = pc.binary_join_element_wise(*[names.take(pa.array(c)) for c in phrases.T], " ")
+            yield pa.RecordBatch.from_arrays([pa.array([each.lang] * len(n)), text, pa.array(n)], names=["lang", "phrase", "n"])
+
+
+def _verticals(batches: Iterator[pa.RecordBatch], words: Sieve) -> Iterator[tuple[Vertical, pa.Array]]:
     for batch in batches:
         for k in range(batch.num_rows):
-            lang, bitmaps = batch.column(0)[k].as_py(), batch.column(2)[k].as_py()
             names = batch.column(1)[k].values
-            each = Vertical(lang, names.cast(pa.binary()).to_pylist(), bitmaps, words)
-            word, block, mask = each.by_word
-            for phrases, n in each.grow(np.arange(each.v)[:, None], word, block, mask, lengths[1], pairs):
-                if phrases.shape[1] >= lengths[0]:
-                    text = pc.binary_join_element_wise(*[names.take(pa.array(c)) for c in phrases.T], " ")
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n)), text, pa.array(n)], names=["lang", "phrase", "n"])
+            yield Vertical(batch.column(0)[k].as_py(), names.cast(pa.binary()).to_pylist(), batch.column(2)[k].as_py(), words), names
 
 
-def counted(rows: DataFrame, least: int) -> DataFrame:
-    """(lang, phrase, n) of popcounts summed over shards, where they reach least."""
-    return rows.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+def counted(rows: DataFrame, least: int, *by: str) -> DataFrame:
+    """(by, n) of popcounts summed over shards, where they reach least."""
+    return rows.groupBy(*by).agg(F.sum("n").alias("n")).where(F.col("n") >= least)
 
 
 def frequent_phrases(made: DataFrame, least: int = LEAST, longest: int = LONGEST, bounds: tuple[int, int] = SIEVE_BITS) -> DataFrame:
     """(lang, phrase, n) of all words and phrases of up to longest words, two or more, in the shards made that occur least times."""
     context = made.sparkSession.sparkContext
-    words = staged(counted(made.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("e")).select("lang", F.col("e.words").alias("phrase"), F.col("e.counts").alias("n")), least), "words")
+    words = staged(counted(made.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("e")).select("lang", F.col("e.words").alias("phrase"), F.col("e.counts").alias("n")), least, "lang", "phrase"), "words")
     narrow = made.select("lang", "words", "bitmaps")
-    one = context.broadcast(sieve(words, bounds))
-    pairs = staged(counted(narrow.mapInArrow(lambda b: _phrase_rows(b, (2, 2), one.value, None), "lang string, phrase string, n bigint"), least), "pairs")
+    one = context.broadcast(sieve(hashed(words), bounds))
+    pairs = staged(counted(narrow.mapInArrow(lambda b: _pair_rows(b, one.value), "h bigint, n bigint"), least, "h").select("h"), "pairs")
     two = context.broadcast(sieve(pairs, bounds))
-    more = counted(narrow.mapInArrow(lambda b: _phrase_rows(b, (3, longest), one.value, two.value), "lang string, phrase string, n bigint"), least)
-    out = staged(words.unionByName(pairs).unionByName(more), "frequent")
+    more = counted(narrow.mapInArrow(lambda b: _phrase_rows(b, longest, one.value, two.value), "lang string, phrase string, n bigint"), least, "lang", "phrase")
+    out = staged(words.unionByName(more), "frequent")
     discard(words, pairs)
     return out
 
