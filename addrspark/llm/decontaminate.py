@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Narrow, map_slices, position, staged, table, text_bytes, text_of
+from .common import Narrow, discard, map_slices, position, shared_path, staged, table, text_bytes, text_of
 
 WINDOW = 10
 #: Bytes that one broadcast block of the benchmark may take, all its arrays counted; a larger benchmark comes in several.
@@ -25,6 +25,7 @@ BLOCK_BYTES = 64 << 20
 MAX_BLOCKS = 4
 #: Bits of the table that tells most windows apart from all of the benchmark's.
 SIEVE_BITS = 24
+SIEVE_BYTES = 1 << SIEVE_BITS - 3
 #: A-Z lower-cased; every other ASCII byte but digits and a-z separates words.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
@@ -65,7 +66,10 @@ class Folded:
 
 
 class Grams:
-    """The windows of a block of items, by length: arrays sorted by hash, and the items' bytes behind them."""
+    """The distinct windows of a block of items, by length: arrays sorted by hash, and the items' bytes behind them.
+
+    A window is kept once, with the number of the set of items that it occurs in; sets that are equal are kept once too.
+    """
 
     def __init__(self, items: list[tuple[str, bytes]], window: int = WINDOW):
         """items: name and folded words, joined by blanks."""
@@ -81,27 +85,50 @@ class Grams:
                 parts.setdefault(n, []).append((h, starts + at, (stops - starts).astype(np.int32), np.full(len(h), k, np.int32)))
             at += len(text)
         self.tables = {}
+        sets: dict[bytes, int] = {}
         for n, some in sorted(parts.items()):
             h, starts, sizes, owners = (np.concatenate(x) for x in zip(*some, strict=True))
-            order = np.argsort(h, kind="stable")
+            kept, numbers = self._distinct(h, starts, sizes, owners, sets)
             sieve = np.zeros(1 << SIEVE_BITS, bool)
-            sieve[h & np.uint64((1 << SIEVE_BITS) - 1)] = True
-            self.tables[n] = h[order], starts[order], sizes[order], owners[order], np.packbits(sieve)
+            sieve[h[kept] & np.uint64((1 << SIEVE_BITS) - 1)] = True
+            self.tables[n] = h[kept], starts[kept], sizes[kept], numbers, np.packbits(sieve)
+        self.owners = [np.frombuffer(o, np.int32) for o in sets]
+
+    def _distinct(self, h: np.ndarray, starts: np.ndarray, sizes: np.ndarray, owners: np.ndarray, sets: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+        """Of windows that are equal the first, by hash, and for each the number in sets of the items that it occurs in."""
+        order = np.lexsort((owners, h))
+        runs = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]]))
+        sizes_of = np.diff(np.append(runs, len(order)))
+        alone = order[runs[sizes_of == 1]]
+        single = np.unique(owners[alone])
+        number = np.fromiter((sets.setdefault(k.tobytes(), len(sets)) for k in single), np.int32, len(single))
+        kept, numbers = [], []
+        for a, n in zip(runs[sizes_of > 1].tolist(), sizes_of[sizes_of > 1].tolist(), strict=True):
+            by: dict[bytes, list[int]] = {}
+            for k in order[a : a + n].tolist():
+                by.setdefault(self.bytes[starts[k] : starts[k] + sizes[k]], []).append(k)
+            for some in by.values():
+                kept.append(some[0])
+                numbers.append(sets.setdefault(np.unique(owners[some]).tobytes(), len(sets)))
+        kept = np.concatenate([alone, np.array(kept, np.int64)])
+        numbers = np.concatenate([number[np.searchsorted(single, owners[alone])], np.array(numbers, np.int32)])
+        again = np.argsort(h[kept], kind="stable")
+        return kept[again], numbers[again]
 
     def __getstate__(self):
-        return self.names, self.bytes, self.tables
+        return self.names, self.bytes, self.tables, self.owners
 
     def __setstate__(self, state):
-        self.names, self.bytes, self.tables = state
+        self.names, self.bytes, self.tables, self.owners = state
 
     def size(self) -> int:
         """Bytes held."""
-        return len(self.bytes) + sum(a.nbytes for t in self.tables.values() for a in t) + sum(len(n) + 60 for n in self.names)
+        return len(self.bytes) + sum(a.nbytes for t in self.tables.values() for a in t) + sum(len(n) + 60 for n in self.names) + sum(o.nbytes + 100 for o in self.owners)
 
     def scan(self, text: Folded) -> tuple[np.ndarray, set[str]]:
         """Which words lie inside an occurrence, and the names of the items that occur."""
-        hit, found = np.zeros(len(text.starts), bool), set()
-        for n, (hashes, starts, sizes, owners, sieve) in self.tables.items():
+        edges, found = np.zeros(len(text.starts) + 1, np.int64), set()
+        for n, (hashes, starts, sizes, numbers, sieve) in self.tables.items():
             if len(text.starts) < n:
                 continue
             h, first, last = text.windows(n)
@@ -112,14 +139,18 @@ class Grams:
             place = np.searchsorted(hashes, h[at])
             same = place < len(hashes)
             same[same] = hashes[place[same]] == h[at[same]]
+            hits = []
             for s, p in zip(at[same].tolist(), place[same].tolist(), strict=True):
                 piece = text.bytes[first[s] : last[s]]
-                while p < len(hashes) and hashes[p] == h[s]:
+                while p < len(hashes) and hashes[p] == h[s]:  # more than one only if different windows have one hash
                     if self.bytes[starts[p] : starts[p] + sizes[p]] == piece:
-                        hit[s : s + n] = True
-                        found.add(int(owners[p]))
+                        hits.append(s)
+                        found.add(int(numbers[p]))
+                        break
                     p += 1
-        return hit, {self.names[k] for k in found}
+            np.add.at(edges, hits, 1)
+            np.subtract.at(edges, np.array(hits, np.int64) + n, 1)
+        return np.cumsum(edges[:-1]) > 0, {self.names[k] for number in found for k in self.owners[number]}
 
 
 def _folded_items(benchmark: DataFrame) -> DataFrame:
@@ -134,18 +165,27 @@ def _folded_items(benchmark: DataFrame) -> DataFrame:
 
 
 def _blocks(benchmark: DataFrame, window: int, block_bytes: int) -> Iterator[Grams]:
-    """The items in blocks of about block_bytes, arrays and all; the driver holds one at a time.
+    """The items in blocks of at most block_bytes, arrays and all, or of one item; the driver holds one at a time.
 
-    Spark folds the items and deals them into blocks by a hash, as many as their bytes and windows ask for.
+    Spark folds the items and deals them by a hash into folders, as many as their bytes and windows ask for, of which each
+    is read once. What a block really takes is seen before it is given away: one that is too large is halved.
     """
     items = staged(_folded_items(benchmark), "items")
     need = items.agg(F.sum(F.octet_length("data") + 24 * F.col("n") + F.octet_length("name") + 60)).first()[0] or 0
-    n = -(-need // max(1, block_bytes // 2))  # half as much on average, so that chance does not fill one beyond the bound
+    n = -(-need // max(1, block_bytes // 2))
+    path = shared_path(items.sparkSession, "blocks")
+    items.withColumn("block", F.pmod(F.xxhash64("name", "data"), F.lit(max(1, n)))).repartition("block").write.partitionBy("block").parquet(path)
+    dealt = items.sparkSession.read.schema("name string, data binary, block bigint").parquet(path)
     for k in range(n):
-        rows = items.where(F.pmod(F.xxhash64("name", "data"), F.lit(n)) == k).toArrow()
-        held = sorted(zip(rows["name"].to_pylist(), rows["data"].to_pylist(), strict=True))
-        if held:
-            yield Grams(held, window)
+        rows = dealt.where(F.col("block") == k).select("name", "data").toArrow()
+        waiting = [sorted(zip(rows["name"].to_pylist(), rows["data"].to_pylist(), strict=True))]
+        while waiting:
+            held = waiting.pop()
+            block = Grams(held, window)
+            if block.size() > block_bytes + SIEVE_BYTES * len(block.tables) and len(held) > 1:
+                waiting += [held[: len(held) // 2], held[len(held) // 2 :]]
+            elif held:
+                yield block
 
 
 def _groups(blocks, size: int):
@@ -167,10 +207,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: list[str], *, win
     mode "spans": the input rows; hit words, with the separators between adjacent ones, are cut from text.
 
     Null texts have no words and stay as they are. A null item_id counts as the empty string; items of equal id count
-    once. The benchmark is broadcast in blocks of block_bytes at most (or one item), all their arrays counted, and a task
-    holds MAX_BLOCKS of them; a larger benchmark takes several passes, between which the rows and their hits so far are a
-    table in the shared folder. Repeated rows give repeated rows; empty tables give empty or unflagged results; a result
-    column replaces a kept column of its name.
+    once. The benchmark is broadcast in blocks of block_bytes at most (or one item), all their arrays but a sieve of fixed
+    size counted, and a task holds MAX_BLOCKS of them; a larger benchmark takes several passes, over a table of the rows
+    that is written once: each pass writes its hits alone. A window that repeats in a text or in items is compared once for
+    each place in the text. Repeated rows give repeated rows; empty tables give empty or unflagged results; a result column
+    replaces a kept column of its name.
     """
     made = {"n_words": "bigint", "n_hit": "bigint", "n_items": "bigint", "items_sha256": "string", "contaminated": "boolean"} if mode == "flag" else {}
     given = Narrow(docs, keep if mode == "flag" else docs.columns, made, data=("text", text_bytes))
@@ -179,11 +220,21 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: list[str], *, win
     if changed is not None:  # the text is made anew, behind the others
         rows = rows.select(*[c for k, c in enumerate(given.kept) if k != changed], F.col(given.kept[changed]).isNull().alias("none"), "data")
         n_kept -= 1
+    passes = []
     for group, more in _groups(_blocks(benchmark, window, block_bytes), MAX_BLOCKS):
         blocks = [docs.sparkSession.sparkContext.broadcast(b) for b in group]
+        if more and not passes:
+            rows = staged(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
         if more:
-            passing = [c for c in rows.columns[n_kept:] if c not in ("hit", "names")]
-            rows = staged(map_slices(rows, _pass(blocks, {}, "carry", passing), {**dict(rows.select(*passing).dtypes), "hit": "binary", "names": "array<string>"}, n_kept), "hits")
+            passes.append(staged(map_slices(rows.select("row", "data"), _pass(blocks, {}, "hits"), {"hit": "binary", "names": "array<string>"}, 1), "hits"))
+    if passes:
+        hits = passes[0]
+        for some in passes[1:]:
+            hits = hits.unionByName(some)
+        # one row for each pass at most
+        hits = staged(hits.groupBy(F.col("row").alias("at")).agg(F.collect_list("hit").alias("hit"), F.array_distinct(F.flatten(F.collect_list("names"))).alias("names")), "hits")
+        rows = rows.join(hits, F.col("row") == F.col("at"), "left").drop("row", "at")
+        discard(*passes)
     out = map_slices(rows, _pass(blocks, made, mode), {"text": "string"} if mode == "spans" else made, n_kept)
     if changed is not None:
         order = [c for k, c in enumerate(given.kept) if k != changed]
@@ -191,18 +242,21 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: list[str], *, win
     return given.named(out, *made)
 
 
-def _pass(blocks, made: dict[str, str], mode: str, passing: list[str] | None = None):
-    """The work of one pass: the hits of these blocks, with those of earlier ones, and what the mode makes of them."""
+def _pass(blocks, made: dict[str, str], mode: str):
+    """The work of one pass: the hits of these blocks, with those of earlier ones, and what the mode makes of them.
+
+    Mode "hits" is that of a pass that others follow: the rows with hits, and these.
+    """
 
     def work(cols: dict[str, list]):
-        out: dict[str, list] = {c: [] for c in [*made, *["text"] * (mode == "spans"), *["hit", "names"] * (mode == "carry")]}
+        out: dict[str, list] = {c: [] for c in [*made, *["text"] * (mode == "spans"), *["hit", "names"] * (mode == "hits")]}
         rows = []
         for k, data in enumerate(cols["data"]):
             text = Folded(words_of(data))
             hit, names = np.zeros(len(text.starts), bool), set()
-            if "hit" in cols:
-                hit |= np.unpackbits(np.frombuffer(cols["hit"][k], np.uint8), count=len(hit)).astype(bool)
-                names.update(cols["names"][k])
+            for bits in (cols["hit"][k] or ()) if "hit" in cols else ():
+                hit |= np.unpackbits(np.frombuffer(bits, np.uint8), count=len(hit)).astype(bool)
+            names.update((cols["names"][k] or ()) if "names" in cols else ())
             for block in blocks:
                 new, found = block.value.scan(text)
                 hit |= new
@@ -212,15 +266,15 @@ def _pass(blocks, made: dict[str, str], mode: str, passing: list[str] | None = N
                 rows += [k] * (n == 0)
             elif mode == "spans":
                 out["text"].append(None if cols["none"][k] else cut(data, hit) if n else data.decode())
-            elif mode == "carry":
-                out["hit"].append(np.packbits(hit).tobytes())
-                out["names"].append(sorted(names))
+            elif mode == "hits":
+                if n:
+                    rows.append(k)
+                    out["hit"].append(np.packbits(hit).tobytes())
+                    out["names"].append(sorted(names))
             else:
                 for c, v in zip(made, (len(hit), n, len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(), n > 0), strict=True):
                     out[c].append(v)
-        if mode == "carry":
-            out = {c: cols[c] for c in passing} | out
-        return out, rows if mode == "documents" else None
+        return out, rows if mode in ("documents", "hits") else None
 
     return work
 

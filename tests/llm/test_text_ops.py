@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import public_tokenizers
@@ -104,6 +105,25 @@ def test_a_block_takes_what_it_says():
     assert hit.tolist() == [True] * 30 + [False] * 5 + [True] * 10 and names == {"7", "9"}
 
 
+def test_repeats_take_no_squares():
+    same = b" ".join([b"ab"] * 200_000)
+    began = time.time()
+    grams = decontaminate.Grams([("x", same)])
+    hit, names = grams.scan(decontaminate.Folded(same.split()))
+    assert hit.all() and names == {"x"} and len(grams.tables[10][0]) == 1
+    shared = b" ".join(b"w%d" % k for k in range(10))
+    many = decontaminate.Grams([(str(k), shared) for k in range(100_000)])
+    hit, names = many.scan(decontaminate.Folded(shared.split() * 50))
+    assert hit.all() and len(names) == 100_000 and len(many.owners) == 1
+    assert time.time() - began < 30
+
+
+def test_a_block_beyond_its_bound_is_halved(spark):
+    items = [(k, " ".join(f"w{k}x{j}" for j in range(200))) for k in range(40)]
+    sizes = [b.size() - sum(t[4].nbytes for t in b.tables.values()) for b in decontaminate._blocks(spark.createDataFrame(items, "item_id bigint, text string"), 10, 30_000)]
+    assert max(sizes) <= 30_000 and len(sizes) >= 40 * 200 * 24 // 30_000
+
+
 def test_equal_hashes_are_compared(monkeypatch):
     monkeypatch.setattr(decontaminate.Folded, "windows", lambda self, n: (np.zeros(len(self.starts) - n + 1, np.uint64), self.starts[: len(self.starts) - n + 1], self.stops[n - 1 :]))
     grams = decontaminate.Grams([("a", b"one two"), ("b", b"two one"), ("c", b"one two")])
