@@ -59,7 +59,9 @@ def run(spark: SparkSession, given: argparse.Namespace):
         folder = given.folder or session.locate("w")
         if os.path.exists(os.path.join(folder, "nodes")) and not given.yes and not input("Replace the installed dictionary? (y/N) ").lower().startswith("y"):
             return None
-        return {"nodes": dictionary.install(spark, given.path, f"{folder}/nodes")} if given.path.endswith((".db", ".sqlite")) else dictionary.install_archive(spark, given.path, folder)
+        made = {"nodes": dictionary.install(spark, given.path, f"{folder}/nodes")} if given.path.endswith((".db", ".sqlite")) else dictionary.install_archive(spark, given.path, folder)
+        session.Local(spark, folder).prepare()
+        return made
     if given.command == "uninstall-dictionary":
         folder = given.folder or session.locate()
         if folder:

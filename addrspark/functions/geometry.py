@@ -122,3 +122,50 @@ def circumcircle_columns(ax, ay, bx, by, cx, cy) -> tuple[Column, Column, Column
     x1, y1, x2, y2 = bx - ax, by - ay, cx - ax, cy - ay
     ux, uy = ok(y2 * (x1 * x1 + y1 * y1) - y1 * (x2 * x2 + y2 * y2)), ok(x1 * (x2 * x2 + y2 * y2) - x2 * (x1 * x1 + y1 * y1))
     return ax + ux, ay + uy, ux * ux + uy * uy
+
+
+#: Rounds of the inverse formula as a column: points that are not nearly opposite each other settle in fewer.
+ROUNDS = 12
+
+
+def geodesic_column(lon1, lat1, lon2, lat2) -> Column:
+    """geodesic of four columns (or numbers), without leaving the JVM; null where one is null.
+
+    It makes ROUNDS rounds where geodesic goes on until nothing changes: for points nearly opposite each other take that.
+    """
+    f = 1 / INVERSE_F
+    b = A * (1 - f)
+    lon1, lat1, lon2, lat2 = (F.radians(c if isinstance(c, Column) else F.lit(float(c))) for c in (lon1, lat1, lon2, lat2))
+    u1, u2 = F.atan((1 - f) * F.tan(lat1)), F.atan((1 - f) * F.tan(lat2))
+    start = F.struct(F.sin(u1).alias("s1"), F.cos(u1).alias("c1"), F.sin(u2).alias("s2"), F.cos(u2).alias("c2"), (lon2 - lon1).alias("gap"))
+
+    def let(value: Column, body) -> Column:
+        """body of a value that is computed once: a lambda's variable holds it."""
+        return F.transform(F.array(value), body)[0]
+
+    def terms(p: Column, lam: Column, body) -> Column:
+        """body of the terms of a round: sin_s, cos_s, sin_a, cos2 and mid."""
+        sides = F.struct(F.hypot(p["c2"] * F.sin(lam), p["c1"] * p["s2"] - p["s1"] * p["c2"] * F.cos(lam)).alias("sin_s"), (p["s1"] * p["s2"] + p["c1"] * p["c2"] * F.cos(lam)).alias("cos_s"))
+        azimuth = lambda t: F.when(t["sin_s"] > 0, p["c1"] * p["c2"] * F.sin(lam) / t["sin_s"]).otherwise(0.0)
+        middle = lambda t, cos2: F.when(cos2 > 0, t["cos_s"] - 2 * p["s1"] * p["s2"] / cos2).otherwise(0.0)
+        return let(sides, lambda t: let(azimuth(t), lambda sin_a: let(1 - sin_a * sin_a, lambda cos2: let(middle(t, cos2), lambda mid: body(t["sin_s"], t["cos_s"], sin_a, cos2, mid)))))
+
+    def once(p: Column, lam: Column) -> Column:
+        def step(sin_s: Column, cos_s: Column, sin_a: Column, cos2: Column, mid: Column) -> Column:
+            c = f / 16 * cos2 * (4 + f * (4 - 3 * cos2))
+            return let(c, lambda c: p["gap"] + (1 - c) * f * sin_a * (F.atan2(sin_s, cos_s) + c * sin_s * (mid + c * cos_s * (2 * mid * mid - 1))))
+
+        return terms(p, lam, step)
+
+    def metres(p: Column, lam: Column) -> Column:
+        def last(sin_s: Column, cos_s: Column, _: Column, cos2: Column, mid: Column) -> Column:
+            k = cos2 * (A**2 - b**2) / b**2
+            big_a = 1 + k / 16384 * (4096 + k * (-768 + k * (320 - 175 * k)))
+            big_b = k / 1024 * (256 + k * (-128 + k * (74 - 47 * k)))
+            delta = let(big_b, lambda b2: b2 * sin_s * (mid + b2 / 4 * (cos_s * (2 * mid * mid - 1) - b2 / 6 * mid * (4 * sin_s * sin_s - 3) * (4 * mid * mid - 3))))
+            return F.when(sin_s > 0, b * big_a * (F.atan2(sin_s, cos_s) - delta)).otherwise(0.0)
+
+        return let(lam, lambda lam: terms(p, lam, last))
+
+    settled = let(start, lambda p: metres(p, F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), p["gap"], lambda lam, _: once(p, lam))))
+    return F.when(lon1.isNotNull() & lat1.isNotNull() & lon2.isNotNull() & lat2.isNotNull(), settled)

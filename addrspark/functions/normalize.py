@@ -5,6 +5,7 @@ Only the number step leaves the JVM; Spark would evaluate it for rows without a
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 from decimal import Decimal
@@ -14,7 +15,7 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .numbers import HYPHENS, NUMERIC, read_number
+from .numbers import HYPHENS, NUMERIC, plain_number, read_number
 from .variant_table import VARIANTS
 
 PREFIXES = ("字", "大字", "小字")
@@ -42,6 +43,10 @@ class Standard:
         self.map = variant_map(VARIANTS if variants is None else variants)
         self._table = str.maketrans(self.map)
 
+    def digest(self) -> str:
+        """Tells tables apart that were made with other variants."""
+        return hashlib.sha256(json.dumps(self.map, sort_keys=True).encode()).hexdigest()
+
     def plain(self, text: str | None) -> str:
         """All steps before numbers, hyphens included."""
         if not text:
@@ -69,9 +74,9 @@ def numbered(text: str) -> str:
     """Every numeral as its value and a period; a period that follows it already is not doubled."""
     out, at = [], 0
     while at < len(text):
-        value, n = read_number(_RUN.match(text, at)[0]) if text[at] in NUMERIC else (0, 0)
+        value, n = plain_number(text, at) or (read_number(_RUN.match(text, at)[0]) if text[at] in NUMERIC else (0, 0))
         if n:
-            out.append(f"{Decimal(value):f}.")  # int's own digits end at 4,300
+            out.append(f"{value}." if isinstance(value, str) else f"{Decimal(value):f}.")  # int's own digits end at 4,300
             at += n + (text[at + n : at + n + 1] == ".")
         else:
             out.append(text[at])
@@ -105,9 +110,3 @@ def aza_name_column(names: Column, standard: Standard | None = None) -> Column:
         return F.when(F.length(s) < 3, s).otherwise(F.concat(F.substring(s, 1, 1), body, F.right(s, F.lit(1))))
 
     return F.array_join(F.transform(names, one), "")
-
-
-def register(spark: SparkSession) -> None:
-    """The scalar functions for SQL."""
-    spark.udf.register("address_numbered", numbered_udf)
-    spark.udf.register("address_number", number_udf)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 # The digits in three scripts, and the units.
 ASCII_DIGITS = "0123456789"
 WIDE_DIGITS = "０１２３４５６７８９"
@@ -40,6 +42,17 @@ def read_number(text: str, expected: int = 0) -> tuple[int, int]:
     return done + held, len(text)
 
 
+#: ASCII and full-width digits that no unit follows: their number is their text, however long it is.
+_PLAIN = re.compile(rf"[{ASCII_DIGITS}{WIDE_DIGITS}]+(?![{''.join(UNITS)}{ASCII_DIGITS}{WIDE_DIGITS}])")
+_TO_ASCII = str.maketrans(WIDE_DIGITS, ASCII_DIGITS)
+
+
+def plain_number(text: str, at: int = 0) -> tuple[str, int] | None:
+    """(value without leading zeros, characters read) of a run of digits at at, or None if it is none or a unit follows."""
+    m = _PLAIN.match(text, at)
+    return m and (m[0].translate(_TO_ASCII).lstrip("0") or "0", len(m[0]))
+
+
 def char_type(c: str) -> int:
     """0 hiragana, 1 katakana, 2 Latin letter, 4 other ASCII, 5 number, 6 kanji, -1 anything else."""
     if "ぁ" <= c <= "ゖ":

@@ -7,16 +7,18 @@ from pyspark.sql import functions as F
 
 #: Keys of notes that no index holds.
 UNINDEXED = ("ref", "geoshape_city_id")
+#: Patterns of notes: what parts two of them, the key and the value of one, and an escaped character.
+NOTE_END, NOTE_KEY, NOTE_VALUE, ESCAPED = r"(?<!\\)/", r"^((?:[^:\\]|\\.)*)", r"^(?:[^:\\]|\\.)*:(.*)$", r"\\([/:\\])"
 
 
 def notes_of(note: str = "note") -> Column:
     """The notes as an array of (k, v); / parts them and the first : of each parts key and value, unless escaped."""
-    parts = F.filter(F.split(F.coalesce(F.col(note), F.lit("")), r"(?<!\\)/"), lambda x: x != "")
+    parts = F.filter(F.split(F.coalesce(F.col(note), F.lit("")), NOTE_END), lambda x: x != "")
 
     def plain(x: Column) -> Column:
-        return F.regexp_replace(x, r"\\([/:\\])", "$1")
+        return F.regexp_replace(x, ESCAPED, "$1")
 
-    return F.transform(parts, lambda x: F.struct(plain(F.regexp_extract(x, r"^((?:[^:\\]|\\.)*)", 1)).alias("k"), plain(F.regexp_extract(x, r"^(?:[^:\\]|\\.)*:(.*)$", 1)).alias("v")))
+    return F.transform(parts, lambda x: F.struct(plain(F.regexp_extract(x, NOTE_KEY, 1)).alias("k"), plain(F.regexp_extract(x, NOTE_VALUE, 1)).alias("v")))
 
 
 def joined_notes(notes: str = "notes") -> Column:

@@ -6,6 +6,8 @@ county; keys of elements with an optional postfix exist without it, and those wi
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +23,22 @@ def without_postfix(key: Column, level: int) -> Column:
     return F.regexp_replace(key, f"({head})({tail}", "$1")
 
 
+def optional_variants(text: Column, optional: tuple[str, ...] = MIDDLE) -> Column:
+    """The text and all that it can become without some of the optional strings, as a distinct array; null has none.
+
+    Strings are left out throughout or not at all, one after another in the given order: at most a power of two of their
+    number, in practice of those that the text holds.
+    """
+    made = F.when(text.isNotNull(), F.array(text)).otherwise(F.array().cast("array<string>"))
+
+    def without(s: str) -> Callable[[Column], Column]:
+        return lambda x: F.array(x, F.replace(x, F.lit(s), F.lit("")))
+
+    for s in optional:
+        made = F.array_distinct(F.flatten(F.transform(made, without(s))))
+    return made
+
+
 def _steps(nodes: DataFrame) -> DataFrame:
     on_path = nodes.select("id", "level", F.posexplode("path_ids").alias("at", "ancestor_id"))
     named = nodes.select(F.col("id").alias("ancestor_id"), F.col("name_index").alias("n"), F.col("level").alias("l"))
@@ -46,8 +64,7 @@ def notation_index(nodes: DataFrame, *, variants: bool = False, postfixes: bool
             short = F.when(F.col("level") == level, without_postfix(F.col("key"), level)).otherwise(short)
         keys = keys.select("id", "level", F.explode(F.array_distinct(F.array(F.col("key"), short))).alias("key"))
     if variants:
-        for s in MIDDLE:
-            keys = keys.select("id", "level", F.explode(F.array_distinct(F.array(F.col("key"), F.replace("key", F.lit(s), F.lit(""))))).alias("key"))
+        keys = keys.select("id", "level", F.explode(optional_variants(F.col("key"))).alias("key"))
     return keys.where("key not in ('', '.')").select("key", F.col("id").alias("node_id"), "level").distinct()
 
 

@@ -11,12 +11,16 @@ meets more items than a bound, but for those that tie in one place.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import geodesic, surrounding
+from ..functions.rows import map_rows
 from ..plans.staging import discard, staged
 from .tree import has_coordinates, is_leaf
 
@@ -24,9 +28,11 @@ NEAREST, WARD, AZA, BLOCK = 20, 4, 6, 7
 #: Side of the smallest cells of the grid in degrees, how much wider the next ones are, and how many steps are taken.
 CELL, WIDER, STEPS = 0.001, 4, 3
 #: Items in the cells around a point with which it still takes part in the grid; and the widest item in it, in its cells.
-CROWD, WIDEST = 4096, 16
+CROWD, WIDEST = 512, 16
 #: Side of the pyramid's smallest cells, how much wider each next level is, and how many levels cover the globe.
 FINE, FACTOR, LEVELS = 0.00025, 8, 8
+#: Side in degrees of the places whose points get their leaves together, and how many points one task takes of a place.
+PLACE, PLACE_POINTS = 0.016, 1000
 
 
 def block_boxes(nodes: DataFrame) -> DataFrame:
@@ -110,12 +116,26 @@ def descended(points: DataFrame, boxes: DataFrame, k: int) -> DataFrame:
     return near
 
 
+def numbered_points(points: DataFrame) -> DataFrame:
+    """(qid, x, y, asked) of the points with coordinates: each has a number of its own as qid; what it had is asked."""
+    return staged(points.select(F.col("qid").alias("asked"), "x", "y").where("x is not null and y is not null").select(F.monotonically_increasing_id().alias("qid"), "x", "y", "asked"), "points")
+
+
 def nearest(points: DataFrame, boxes: DataFrame, k: int = NEAREST) -> DataFrame:
     """(qid, x, y, item, d2): the k nearest items of every point, with all that tie with the last.
 
+    Rows are answered each for itself, also where a qid repeats or is null; points without coordinates give none.
+    """
+    given = numbered_points(points)
+    return nearest_of(given, boxes, k).join(given.select("qid", "asked"), "qid").select(F.col("asked").alias("qid"), "x", "y", "item", "d2")
+
+
+def nearest_of(given: DataFrame, boxes: DataFrame, k: int = NEAREST) -> DataFrame:
+    """nearest of points in a table, whose qid tells them apart.
+
     Boxes that are too wide for the grid's cells are found by way of the pyramid, for all points.
     """
-    given = staged(points.select("qid", "x", "y").where("x is not null and y is not null"), "points")
+    given = given.select("qid", "x", "y")
     wide = (F.col("x1") - F.col("x0") > WIDEST * CELL) | (F.col("y1") - F.col("y0") > WIDEST * CELL)
     small, large = boxes.where(~wide), boxes.where(wide)
     left, out, late = given, None, None
@@ -145,37 +165,71 @@ def nearest(points: DataFrame, boxes: DataFrame, k: int = NEAREST) -> DataFrame:
     return out if rest.isEmpty() else out.unionByName(descended(rest, boxes, k))
 
 
-def _leaves(nodes: DataFrame, near: DataFrame) -> DataFrame:
-    """near with the nodes it stands for: the item itself, or the leaves with coordinates below a block."""
+def leaf_points(nodes: DataFrame) -> DataFrame:
+    """(item, node_id, nx, ny): for each node of a path the leaves with coordinates below it, or itself."""
     leaves = nodes.where(has_coordinates() & is_leaf())
-    pairs = leaves.select(F.explode("path_ids").alias("item"), F.col("id").alias("node_id"), F.col("x").alias("nx"), F.col("y").alias("ny"))
-    return near.join(pairs, "item").select("qid", "x", "y", "node_id", "nx", "ny").distinct()
-
-
-def reverse_geocode(nodes: DataFrame, points: DataFrame, level: int = AZA) -> DataFrame:
+    return leaves.select(F.explode("path_ids").alias("item"), F.col("id").alias("node_id"), F.col("x").alias("nx"), F.col("y").alias("ny"))
+
+
+def choose(x: float, y: float, ids: np.ndarray, xs: np.ndarray, ys: np.ndarray) -> list[tuple[int, float]]:
+    """Of the leaves the nearest three, or those around the point: (node, distance), by distance and node."""
+    order = np.argsort(ids, kind="stable")
+    ids, xs, ys = ids[order], xs[order], ys[order]
+    d = geodesic(x, y, xs, ys)
+    order = d.argsort(kind="stable")
+    if len(order) <= 3 or d[order[0]] < 0.01:
+        chosen = order[:3]
+    else:
+        chosen = [order[k] for k in surrounding((x, y), [(xs[k], ys[k]) for k in order])]
+    return [(int(ids[k]), float(d[k])) for k in chosen]
+
+
+def _chosen(rows: Iterator[tuple]) -> Iterator[tuple]:
+    """(qid, x, y, rank, leaf, dist) from the rows of whole places: leaves (kind 0), then what each point is near (kind 1)."""
+    for _, place in groupby(rows, key=itemgetter(0, 1, 2)):
+        leaves: dict[int, list[tuple]] = {}
+        for qid, some in groupby(place, key=itemgetter(4)):
+            some = [*some]
+            if some[0][3] == 0:
+                for r in some:
+                    leaves.setdefault(r[5], []).append(r[6:])
+                continue
+            x, y = some[0][7], some[0][8]
+            ids, at = np.unique([n for r in some for n, _, _ in leaves.get(r[5], ())], return_index=True)
+            if len(ids):
+                places = np.array([(a, b) for r in some for _, a, b in leaves.get(r[5], ())])[at]
+                for rank, (leaf, dist) in enumerate(choose(x, y, ids, places[:, 0], places[:, 1])):
+                    yield qid, x, y, rank, leaf, dist
+
+
+def _picked(near: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(qid, x, y, rank, leaf, dist) of near (qid, x, y, item), with the leaves that its items stand for (leaf_points).
+
+    Points of one place are near the same items: the leaves of these come to the place once, not to each point. A place
+    with many points is dealt over several.
+    """
+    cx, cy = F.floor(F.col("x") / PLACE).alias("cx"), F.floor(F.col("y") / PLACE).alias("cy")
+    near = staged(near.select("qid", "x", "y", "item", cx, cy), "near")
+    parts = near.groupBy("cx", "cy").agg(F.ceil(F.approx_count_distinct("qid") / PLACE_POINTS).alias("parts"))
+    near = staged(near.join(parts, ["cx", "cy"]).withColumn("part", F.pmod(F.xxhash64("qid"), F.col("parts"))).drop("parts"), "near")
+    place = ["cx", "cy", "part"]
+    wanted = near.select(*place, "item").distinct()
+    leaves = wanted.join(pairs, "item").select(*place, F.lit(0).alias("kind"), F.lit(-1).cast("bigint").alias("qid"), "item", "node_id", F.col("nx").alias("a"), F.col("ny").alias("b"))
+    points = near.select(*place, F.lit(1).alias("kind"), "qid", "item", F.lit(None).cast("bigint").alias("node_id"), F.col("x").alias("a"), F.col("y").alias("b"))
+    dealt = leaves.unionByName(points).repartition(int(near.sparkSession.conf.get("spark.sql.shuffle.partitions")), *place).sortWithinPartitions(*place, "kind", "qid")
+    return map_rows(dealt, _chosen, "qid bigint, x double, y double, rank int, leaf bigint, dist double")
+
+
+def reverse_geocode(nodes: DataFrame, points: DataFrame, level: int = AZA, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """points (qid, x, y) with up to three answers: qid, rank, node_id, dist, candidate_dist.
 
     Each is the nearest node up to level on the path of a leaf; dist is the leaf's distance in metres, candidate_dist
-    that of the node itself. Points without coordinates, and an empty gazetteer, give no row.
+    that of the node itself. Points without coordinates, and an empty gazetteer, give no row; rows are answered each for
+    itself, also where a qid repeats or is null. index: items and leaf_points, if they are kept.
     """
-    near = nearest(points, staged(items(nodes), "items"))
-    found = _leaves(nodes, near).groupBy("qid", "x", "y").agg(F.sort_array(F.collect_list(F.struct("node_id", "nx", "ny"))).alias("c"))
-
-    def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for qid, x, y, c in zip(b["qid"], b["x"], b["y"], b["c"], strict=True):
-                xs, ys = [s["nx"] for s in c], [s["ny"] for s in c]
-                d = geodesic(x, y, xs, ys)
-                order = d.argsort(kind="stable")
-                if len(order) <= 3 or d[order[0]] < 0.01:
-                    chosen = order[:3]
-                else:
-                    chosen = [order[k] for k in surrounding((x, y), [(xs[k], ys[k]) for k in order])]
-                rows += [(qid, x, y, rank, c[k]["node_id"], float(d[k])) for rank, k in enumerate(chosen)]
-            yield pd.DataFrame(rows, columns=["qid", "x", "y", "rank", "leaf", "dist"])
-
-    picked = found.mapInPandas(choose, "qid bigint, x double, y double, rank int, leaf bigint, dist double")
+    boxes, pairs = index or (staged(items(nodes), "items"), leaf_points(nodes))
+    given = numbered_points(points)
+    picked = staged(_picked(nearest_of(given, boxes), pairs), "picked")
     on_path = nodes.select(F.col("id").alias("leaf"), F.explode("path_ids").alias("node_id"))
     high = nodes.where(F.col("level") <= level).select(F.col("id").alias("node_id"), F.col("x").alias("nx"), F.col("y").alias("ny"))
     lifted = picked.join(on_path, "leaf").join(high, "node_id").groupBy("qid", "x", "y", "rank", "dist").agg(F.max(F.struct("node_id", "nx", "ny")).alias("n"))
@@ -187,4 +241,5 @@ def reverse_geocode(nodes: DataFrame, points: DataFrame, level: int = AZA) -> Da
             b["candidate_dist"] = geodesic(b["x"], b["y"], b["nx"], b["ny"])
             yield b[["qid", "rank", "node_id", "dist", "candidate_dist"]]
 
-    return ranked.select("qid", "x", "y", "rank", "n.*", "dist").mapInPandas(measure, "qid bigint, rank int, node_id bigint, dist double, candidate_dist double")
+    made = ranked.select("qid", "x", "y", "rank", "n.*", "dist").mapInPandas(measure, "qid bigint, rank int, node_id bigint, dist double, candidate_dist double")
+    return made.join(given.select("qid", "asked"), "qid").select(F.col("asked").alias("qid"), "rank", "node_id", "dist", "candidate_dist")

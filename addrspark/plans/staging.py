@@ -47,6 +47,18 @@ def discard(*frames: DataFrame) -> None:
             _delete(df.sparkSession, f.rsplit("/", 1)[0])
 
 
+#: What keeps staged tables for later, and is emptied with them.
+_memos: list[dict] = []
+
+
+def memo() -> dict:
+    """A dictionary for staged tables that clear_shared empties."""
+    _memos.append({})
+    return _memos[-1]
+
+
 def clear_shared(spark: SparkSession) -> None:
-    """Delete all that this application has staged; call it when no result is read any more."""
+    """Delete all that this application has staged, and forget what was kept; call it when no result is read any more."""
     _delete(spark, shared_folder(spark))
+    for kept in _memos:
+        kept.clear()

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.tree import NO_COORDINATE, build_tree
-from .staging import staged
+from .staging import memo, staged
 
-_made: dict[tuple[str, str], DataFrame] = {}
+_made: dict[tuple[str, str], DataFrame] = memo()
 
 
 def star_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

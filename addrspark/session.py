@@ -17,6 +17,7 @@ from .functions.matching import Settings
 from .operators import codes
 from .operators.reverse import reverse_geocode
 from .operators.search import Gazetteer, check_areas, geocode, search
+from .operators.spatial import SpatialIndex, fingerprint
 from .sources import dictionary, remote
 
 #: Where a store is looked for: by this variable, then below the interpreter's and the user's own folder.
@@ -57,6 +58,8 @@ class Local:
             raise StoreError(f"{folder} has no nodes")
         self.registry = self._table("registry")
         self._gazetteer: Gazetteer | None = None
+        self._spatial: SpatialIndex | bool | None = None
+        self._codes: DataFrame | None = None
 
     def _table(self, name: str) -> DataFrame | None:
         path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
@@ -65,11 +68,42 @@ class Local:
 
     @property
     def gazetteer(self) -> Gazetteer:
-        """The prepared tables, made at the first search."""
+        """The prepared tables: those kept in the folder, if they are of its nodes, else made at the first search."""
         if self._gazetteer is None:
-            self._gazetteer = Gazetteer(self.nodes, self.registry)
+            try:
+                self._gazetteer = Gazetteer.open(f"{self.folder}/prepared", self.nodes, self.registry)
+            except StoreError:
+                self._gazetteer = Gazetteer(self.nodes, self.registry)
         return self._gazetteer
 
+    @property
+    def spatial(self) -> SpatialIndex | None:
+        """The spatial index kept in the folder, if it is of its nodes."""
+        if self._spatial is None:
+            try:
+                self._spatial = SpatialIndex.open(self.nodes, f"{self.folder}/spatial")
+            except StoreError:
+                self._spatial = False
+        return self._spatial or None
+
+    @property
+    def code_index(self) -> DataFrame:
+        """The codes of all nodes: the table kept in the folder with the prepared ones, else made at each look-up."""
+        if self._codes is None:
+            kept, mark = self._table("codes"), self._table("codes_mark")
+            whole = kept is not None and mark is not None and mark.first()[0] == fingerprint(self.nodes)
+            self._codes = kept if whole else codes.code_index(self.nodes)
+        return self._codes
+
+    def prepare(self) -> None:
+        """Keep in the folder what searches, reverse searches and look-ups by code need, so that no session makes it again."""
+        Gazetteer(self.nodes, self.registry).save(f"{self.folder}/prepared", self.nodes)
+        SpatialIndex.build(self.nodes, f"{self.folder}/spatial")
+        made = codes.code_index(self.nodes)
+        made.repartitionByRange(*made.columns).sortWithinPartitions(*made.columns).write.mode("overwrite").parquet(f"{self.folder}/codes")
+        self.spark.createDataFrame([(fingerprint(self.nodes),)], "nodes string").coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/codes_mark")
+        self._gazetteer = self._spatial = self._codes = None
+
     def configure(self, **values) -> Settings:
         settings = configure(self.settings, **values)
         if settings.target_area:
@@ -85,11 +119,12 @@ class Local:
 
     def reverse(self, x: float, y: float, level: int = 6) -> list[dict]:
         point = self.spark.createDataFrame([(1, float(x), float(y))], "qid bigint, x double, y double")
-        return [r.asDict() for r in reverse_geocode(self.nodes, point, level).orderBy("rank").collect()]
+        found = self.spatial.reverse(point, level) if self.spatial else reverse_geocode(self.nodes, point, level)
+        return [r.asDict() for r in found.orderBy("rank").collect()]
 
     def by_code(self, code: str, kind: str) -> DataFrame:
         """The nodes of a code; kind: postcode, prefcode, citycode or machiaza."""
-        wanted, index = self.spark.createDataFrame([(code,)], "code string"), codes.code_index(self.nodes)
+        wanted, index = self.spark.createDataFrame([(code,)], "code string"), self.code_index
         found = codes.search_by_machiaza(index, self.nodes, wanted) if kind == "machiaza" else codes.search_by_code(index, wanted, kind)
         return self.nodes.join(found.select(F.col("node_id").alias("id")), "id").orderBy("id")
 

@@ -32,7 +32,8 @@ def install(spark: SparkSession, path: str, target: str, table: str = "address_n
     sqlite.register(spark)
     raw = spark.read.format("gaz_sqlite").option("path", path).option("table", table).option("partitions", partitions).load()
     nodes = raw.select(*[F.col(a).alias(b) for a, b in COLUMNS.items()]).withColumns({"level": F.col("level").cast("int"), "priority": F.col("priority").cast("int")})
-    with_paths(staged(nodes, "raw")).write.mode("overwrite").parquet(target)
+    # by id, so that few ids are read from few row groups
+    with_paths(staged(nodes, "raw")).repartitionByRange("id").sortWithinPartitions("id").write.mode("overwrite").parquet(target)
     return spark.read.parquet(target).count()
 
 

@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from ..errors import ReadOnlyError, StoreError
 from ..operators.index import common_prefixes, predict_prefixes
 from ..operators.tree import dense_positions
+from ..plans.staging import discard, staged
+
+#: Positions of a bucket, which is rewritten whole, and the column that names it in the folders.
+BUCKET_ROWS, BUCKET = 1 << 20, "__bucket"
 
 
 def merge_updates(table: DataFrame, changes: DataFrame, key: str) -> DataFrame:
@@ -54,17 +58,24 @@ class Store:
     def create(self, name: str, rows: DataFrame, *order: str) -> None:
         """Write rows with positions from 0, in the order given, else as they come."""
         self._changing()
-        self._placed(rows, order).write.mode("overwrite").parquet(self._folder(name))
+        self._write(self._placed(rows, order), name, "overwrite")
+
+    def _write(self, rows: DataFrame, name: str, mode: str, **options: str) -> None:
+        """Rows by buckets of positions, each a folder of its own."""
+        placed = rows.withColumn(BUCKET, F.floor(F.col(self.position) / BUCKET_ROWS))
+        placed.write.mode(mode).options(**options).partitionBy(BUCKET).parquet(self._folder(name))
 
     def append(self, name: str, rows: DataFrame, *order: str) -> None:
         self._changing()
         start = self.count(name)
-        self._placed(rows, order, start).select(self.read(name).columns).write.mode("append").parquet(self._folder(name))
+        self._write(self._placed(rows, order, start).select(self.read(name).columns), name, "append")
 
     def read(self, name: str) -> DataFrame:
-        """The table; of a change that was cut short between its two last steps, the changed one."""
-        fs, p = self._fs(self._folder(name))
-        return self.spark.read.parquet(self._folder(name) if fs.exists(p) else f"{self._folder(name)}.next")
+        return self.spark.read.parquet(self._folder(name)).drop(BUCKET)
+
+    def read_buckets(self, name: str, buckets: list[int]) -> DataFrame:
+        """The rows of some buckets alone; no other folder is read."""
+        return self.spark.read.parquet(self._folder(name)).where(F.col(BUCKET).isin(buckets)).drop(BUCKET)
 
     def count(self, name: str) -> int:
         return self.read(name).count()
@@ -107,15 +118,19 @@ class Store:
         return rows if limit is None else rows.limit(limit)
 
     def update(self, name: str, changes: DataFrame) -> None:
-        """Rewrite the table with changes, which has the position and the new fields.
+        """Give rows the new fields of changes, which has their position; a null there leaves the old value.
 
-        The new table is written whole before it takes the old one's place, so a failure leaves one or the other.
+        Only the buckets of BUCKET_ROWS positions in which rows change are written anew, and each takes the old one's
+        place when all are written. Positions that the table does not have change nothing. The driver gets the numbers of
+        the changed buckets.
         """
         self._changing()
-        merge_updates(self.read(name), changes, self.position).write.mode("overwrite").parquet(f"{self._folder(name)}.next")
-        fs, now = self._fs(self._folder(name))
-        fs.delete(now, True)
-        fs.rename(self._fs(f"{self._folder(name)}.next")[1], now)
+        changes = staged(changes, "changes")
+        touched = [int(r[0]) for r in changes.where(F.col(self.position).isNotNull()).select(F.floor(F.col(self.position) / BUCKET_ROWS)).distinct().collect()]
+        new = staged(merge_updates(self.read_buckets(name, touched), changes, self.position), "changed")
+        if not new.isEmpty():
+            self._write(new, name, "overwrite", partitionOverwriteMode="dynamic")
+        discard(changes, new)
 
     # --- indexes
 
