@@ -56,7 +56,7 @@ probe("filtered_scan_params", "SELECT id, name FROM nodes WHERE level <= 7 AND n
 probe("strided_slice", "SELECT id, name FROM nodes WHERE id >= 10 AND id < 500 AND (id - 10) % 7 = 0")(lambda n: n.where("id >= 10 AND id < 500 AND (id - 10) % 7 = 0").select("id", "name"))
 
 
-@probe("append_positions append_positions_all", "SELECT name, row_number() OVER (ORDER BY id) + 9 AS pos FROM nodes")
+@probe("append_positions", "SELECT name, row_number() OVER (ORDER BY id) + 9 AS pos FROM nodes")
 def _append_all(n: DataFrame) -> DataFrame:
     return tree.dense_positions(n.select("id", "name"), "id", name="pos", first=10).select("name", "pos")
 
@@ -72,17 +72,17 @@ def _update(n: DataFrame) -> DataFrame:
 # --- joins along the tree
 
 probe("parent_join", "SELECT a.id, p.name AS parent_name FROM nodes a LEFT JOIN nodes p ON p.id = a.parent_id")(lambda n: tree.parents(n).select("id", F.col("p_name").alias("parent_name")))
-probe("children_list children_list_all", "SELECT p.id, string_agg(c.name, '/' ORDER BY c.id) AS children FROM nodes p JOIN nodes c ON c.parent_id = p.id GROUP BY p.id")(
+probe("children_list", "SELECT p.id, string_agg(c.name, '/' ORDER BY c.id) AS children FROM nodes p JOIN nodes c ON c.parent_id = p.id GROUP BY p.id")(
     lambda n: tree.children(n, n).groupBy(F.col("of").alias("id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("id", "name"))), lambda s: s["name"]), "/").alias("children"))
 )
-probe("child_by_name child_by_name_all", "SELECT q.parent_id, q.name_index, c.id FROM nodes q JOIN nodes c ON c.parent_id = q.parent_id AND c.name_index = q.name_index")(
+probe("child_by_name", "SELECT q.parent_id, q.name_index, c.id FROM nodes q JOIN nodes c ON c.parent_id = q.parent_id AND c.name_index = q.name_index")(
     lambda n: tree.child_by_name(n, n.select("parent_id", "name_index")).select("parent_id", "name_index", "id")
 )
 probe(
     "fullname",
     ", RECURSIVE_UP AS (SELECT 1) SELECT a.id, concat_ws('/', r.name, t.name, k.name, CASE WHEN a.level = 8 THEN a.name END) AS fullname FROM nodes a LEFT JOIN nodes r ON r.level = 1 AND r.r = a.r LEFT JOIN nodes t ON t.level = 3 AND t.n = a.n LEFT JOIN nodes k ON k.level = 7 AND k.c = a.c",
 )(lambda n: n.select("id", tree.fullname("/").alias("fullname")))
-probe("parent_list parent_list_all", "SELECT a.id, string_agg(CAST(p.id AS VARCHAR), ',' ORDER BY p.id) AS path FROM nodes a JOIN nodes p ON p.id <= a.id AND a.id < p.sibling_id GROUP BY a.id")(
+probe("parent_list", "SELECT a.id, string_agg(CAST(p.id AS VARCHAR), ',' ORDER BY p.id) AS path FROM nodes a JOIN nodes p ON p.id <= a.id AND a.id < p.sibling_id GROUP BY a.id")(
     lambda n: tree.descendants(n).groupBy("id").agg(F.array_join(F.sort_array(F.collect_list("ancestor_id")).cast("array<string>"), ",").alias("path"))
 )
 probe("nodes_by_level", "SELECT a.id, len(list_filter([1, 3, 7, 8], lambda v: v <= a.level)) AS levels, a.level + 1 AS slots FROM nodes a")(
@@ -113,11 +113,11 @@ probe("valid_coords", "SELECT id, x BETWEEN -180 AND 180 AND y BETWEEN -90 AND 9
 probe("level_name", "SELECT id, CASE level WHEN 1 THEN '都道府県' WHEN 3 THEN '市町村・特別区' WHEN 7 THEN '街区・道路・地番' WHEN 8 THEN '建物・枝番' ELSE '不明' END AS level_name FROM nodes")(
     lambda n: n.select("id", tree.level_name().alias("level_name"))
 )
-probe("map_links map_links_all", "SELECT id, printf('https://maps.gsi.go.jp/#%d/%.6f/%.6f/', level + 9, y, x) AS gsi, printf('https://maps.google.com/maps?q=%.6f,%.6f&z=%d', y, x, level + 9) AS google FROM nodes")(
+probe("map_links", "SELECT id, printf('https://maps.gsi.go.jp/#%d/%.6f/%.6f/', level + 9, y, x) AS gsi, printf('https://maps.google.com/maps?q=%.6f,%.6f&z=%d', y, x, level + 9) AS google FROM nodes")(
     lambda n: n.select("id", tree.map_links()[0].alias("gsi"), tree.map_links()[1].alias("google"))
 )
 probe("shown_name", "SELECT id, CASE WHEN name = '.' THEN '-' ELSE name END AS shown FROM nodes")(lambda n: n.select("id", tree.shown_name("-").alias("shown")))
-probe("geojson geojson_all", "SELECT id, 'Feature' AS type, name, level, round(x, 6) AS x, round(y, 6) AS y FROM nodes")(
+probe("geojson", "SELECT id, 'Feature' AS type, name, level, round(x, 6) AS x, round(y, 6) AS y FROM nodes")(
     lambda n: tree.geojson(n).select(
         "id",
         F.get_json_object("geojson", "$.type").alias("type"),
@@ -168,7 +168,7 @@ probe("city_lookup", "SELECT v AS code, id AS node_id FROM nodes JOIN (VALUES ('
 
 
 @probe(
-    "machiaza_lookup machiaza_lookup_all",
+    "machiaza_lookup",
     _CODED + ", b AS (SELECT id, city, lpad(CAST(c % 10000000 AS VARCHAR), 7, '0') AS aza FROM coded WHERE level = 7) SELECT city || aza AS code, id AS node_id FROM b UNION ALL SELECT aza, id FROM b",
 )
 def _machiaza_all(n: DataFrame) -> DataFrame:
@@ -191,7 +191,7 @@ def _registry(n: DataFrame) -> DataFrame:
 
 
 @probe(
-    "code_to_registry code_to_registry_all",
+    "code_to_registry",
     _CODED + ", reg AS (SELECT k.city || lpad(CAST(k.c % 10000000 AS VARCHAR), 7, '0') AS code, k.city, k.pref, k.n, p.name AS r_name, t.name AS n_name, k.name, lpad(CAST(k.c % 1000 * 7 AS VARCHAR), 7, '0') AS postcode FROM coded k JOIN coded t ON t.level = 3 AND t.n = k.n JOIN coded p ON p.level = 1 AND p.r = k.r WHERE k.level = 7) SELECT code, code AS aza_code, r_name || '/' || n_name || '/' || name AS names, postcode FROM reg UNION ALL SELECT DISTINCT city, CASE WHEN n = 0 THEN pref ELSE city END, CASE WHEN n = 0 THEN r_name ELSE r_name || '/' || n_name END, NULL FROM reg UNION ALL SELECT DISTINCT pref, pref, r_name, NULL FROM reg",
 )
 def _to_registry_all(n: DataFrame) -> DataFrame:
@@ -215,12 +215,13 @@ def _keys(n: DataFrame) -> DataFrame:
 
 
 probe("exact_key", "SELECT name_index AS key, id AS node_id FROM nodes WHERE level = 3")(lambda n: _keys(n).join(n.where("level = 3").select(F.col("name_index").alias("key"), F.col("id").alias("node_id")), ["key", "node_id"]).select("key", "node_id"))
-_QUERIES = ", keys AS (SELECT a.name_index AS key, a.id AS node_id FROM nodes a WHERE a.level IN (1, 3) UNION SELECT p.name_index || a.name_index, a.id FROM nodes a JOIN nodes p ON p.id = a.parent_id WHERE a.level = 3), q AS (SELECT a.id AS qid, CASE WHEN a.id % 2 = 0 THEN p.name_index || t.name_index || a.name_index ELSE t.name_index || a.name_index END AS text FROM nodes a JOIN nodes t ON t.id = a.parent_id JOIN nodes p ON p.id = t.parent_id WHERE a.level = 7) "
+_QUERIES = ", keys AS (SELECT a.name_index AS key, a.id AS node_id FROM nodes a WHERE a.level IN (1, 3) UNION SELECT p.name_index || a.name_index, a.id FROM nodes a JOIN nodes p ON p.id = a.parent_id WHERE a.level = 3), q AS (SELECT a.id AS qid, CASE WHEN a.id % 2 = 0 THEN p.name_index || t.name_index || a.name_index ELSE t.name_index || a.name_index END AS text FROM nodes a JOIN nodes t ON t.id = a.parent_id JOIN nodes p ON p.id = t.parent_id WHERE a.level = 7 UNION ALL SELECT a.id, CASE WHEN a.id % 2 = 0 THEN p.name_index || t.name_index || k.name_index || a.name_index ELSE t.name_index || k.name_index || a.name_index END FROM nodes a JOIN nodes k ON k.id = a.parent_id JOIN nodes t ON t.id = k.parent_id JOIN nodes p ON p.id = t.parent_id WHERE a.level = 8) "
 
 
 def _texts(n: DataFrame) -> DataFrame:
+    """Of every node below the cities its path, every second one without its first element."""
     up = F.transform("path_names", lambda x: F.upper(x))
-    return n.where("level = 7").select(F.col("id").alias("qid"), F.when(F.col("id") % 2 == 0, F.array_join(up, "")).otherwise(F.array_join(F.slice(up, 2, 2), "")).alias("text"))
+    return n.where("level >= 7").select(F.col("id").alias("qid"), F.when(F.col("id") % 2 == 0, F.array_join(up, "")).otherwise(F.array_join(F.slice(up, F.lit(2), F.size(up) - 1), "")).alias("text"))
 
 
 def _prefixes(n: DataFrame) -> DataFrame:
@@ -308,7 +309,7 @@ def _items(n: DataFrame) -> DataFrame:
     return items(n).select("item", *[F.round(c, 6).alias(c) for c in ("x0", "y0", "x1", "y1")])
 
 
-@probe("knn20 knn20_all", _ITEMS + ", d AS (SELECT qid, item, greatest(x0 - x, 0.0, x - x1) AS dx, greatest(y0 - y, 0.0, y - y1) AS dy FROM pts CROSS JOIN boxes), e AS (SELECT qid, item, dx * dx + dy * dy AS d2 FROM d) SELECT qid, item FROM (SELECT qid, item, rank() OVER (PARTITION BY qid ORDER BY d2) AS k FROM e) WHERE k <= 20")
+@probe("knn20", _ITEMS + ", d AS (SELECT qid, item, greatest(x0 - x, 0.0, x - x1) AS dx, greatest(y0 - y, 0.0, y - y1) AS dy FROM pts CROSS JOIN boxes), e AS (SELECT qid, item, dx * dx + dy * dy AS d2 FROM d) SELECT qid, item FROM (SELECT qid, item, rank() OVER (PARTITION BY qid ORDER BY d2) AS k FROM e) WHERE k <= 20")
 def _knn_all(n: DataFrame) -> DataFrame:
     from ..operators.reverse import items, nearest
     from .staging import staged
@@ -327,14 +328,14 @@ def _corners():
     return [F.lit(v) for v in (135.2, 35.1, 135.9, 35.2, 135.5, 35.7)]
 
 
-@probe("point_in_triangle point_in_triangle_all", ", s AS (SELECT id, (135.9 - 135.2) * (y - 35.1) - (35.2 - 35.1) * (x - 135.2) AS a, (135.5 - 135.9) * (y - 35.2) - (35.7 - 35.2) * (x - 135.9) AS b, (135.2 - 135.5) * (y - 35.7) - (35.1 - 35.7) * (x - 135.5) AS c FROM nodes) SELECT id, (a > 0 AND b > 0 AND c > 0) OR (a < 0 AND b < 0 AND c < 0) AS inside FROM s")
+@probe("point_in_triangle", ", s AS (SELECT id, (135.9 - 135.2) * (y - 35.1) - (35.2 - 35.1) * (x - 135.2) AS a, (135.5 - 135.9) * (y - 35.2) - (35.7 - 35.2) * (x - 135.9) AS b, (135.2 - 135.5) * (y - 35.7) - (35.1 - 35.7) * (x - 135.5) AS c FROM nodes) SELECT id, (a > 0 AND b > 0 AND c > 0) OR (a < 0 AND b < 0 AND c < 0) AS inside FROM s")
 def _triangle_all(n: DataFrame) -> DataFrame:
     from ..functions.geometry import in_triangle_column
 
     return n.select("id", in_triangle_column(F.col("x"), F.col("y"), *_corners()).alias("inside"))
 
 
-@probe("circumcircle circumcircle_all", ", p AS (SELECT id, x AS ax, y AS ay, 135.2 - x AS bx, 35.1 - y AS b, 135.9 - x AS cx, 35.2 - y AS c FROM nodes WHERE x BETWEEN -180 AND 180 AND y BETWEEN -90 AND 90), d AS (SELECT *, 2 * (bx * c - b * cx) AS d FROM p), u AS (SELECT id, ax, ay, (c * (bx * bx + b * b) - b * (cx * cx + c * c)) / d AS ux, (bx * (cx * cx + c * c) - cx * (bx * bx + b * b)) / d AS uy FROM d WHERE abs(d) > 0.01) SELECT id, round(ax + ux, 6) AS x, round(ay + uy, 6) AS y, round(ux * ux + uy * uy, 6) AS r2 FROM u")
+@probe("circumcircle", ", p AS (SELECT id, x AS ax, y AS ay, 135.2 - x AS bx, 35.1 - y AS b, 135.9 - x AS cx, 35.2 - y AS c FROM nodes WHERE x BETWEEN -180 AND 180 AND y BETWEEN -90 AND 90), d AS (SELECT *, 2 * (bx * c - b * cx) AS d FROM p), u AS (SELECT id, ax, ay, (c * (bx * bx + b * b) - b * (cx * cx + c * c)) / d AS ux, (bx * (cx * cx + c * c) - cx * (bx * bx + b * b)) / d AS uy FROM d WHERE abs(d) > 0.01) SELECT id, round(ax + ux, 6) AS x, round(ay + uy, 6) AS y, round(ux * ux + uy * uy, 6) AS r2 FROM u")
 def _circle_all(n: DataFrame) -> DataFrame:
     from ..functions.geometry import circumcircle_columns, cross_column
 
@@ -364,13 +365,10 @@ def _geodesic_sql(lon: float, lat: float, rounds: int = 8) -> str:
 
 @probe("geodesic", _geodesic_sql(135.5, 35.4))
 def _geodesic(n: DataFrame) -> DataFrame:
-    from pyspark.sql import types as T
-
-    from ..functions.geometry import geodesic
+    from ..functions.geometry import geodesic_column
 
-    metres = F.pandas_udf(lambda x, y: x * 0 + geodesic(x, y, 135.5, 35.4), T.DoubleType())
-    x, y = (F.when(tree.has_coordinates(), F.col(c)) for c in ("x", "y"))
-    return n.select("id", F.round(metres(x, y), 3).alias("metres"))
+    metres = geodesic_column(F.col("x"), F.col("y"), 135.5, 35.4)
+    return n.select("id", F.when(tree.has_coordinates(), F.round(metres, 3)).alias("metres"))
 
 
 # --- text
@@ -382,20 +380,6 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-@probe("std_full", _DOCS + "upper(regexp_replace(source, '([0-9]+)', '\\1.')) || '-' || upper(lang) AS std FROM documents", star=False)
-def _std_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..functions.normalize import Standard
-
-    return _docs(spark, sf_dir).select("doc_id", Standard().column(F.concat("source", F.lit("―"), "lang")).alias("std"))
-
-
-@probe("get_number", _DOCS + "CAST(substr(source, 4) AS BIGINT) AS n, length(source) - 3 AS i FROM documents", star=False)
-def _number(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..functions.normalize import number_udf
-
-    return _docs(spark, sf_dir).select("doc_id", number_udf(F.substring("source", 4, 9)).alias("r")).select("doc_id", "r.n", F.col("r.i").cast("bigint").alias("i"))
-
-
 def _sql_translate(text: str, pairs: dict[str, str]) -> str:
     """DuckDB's translate() of text; it keeps the first of equal characters, as Spark's does."""
     quoted = ["".join(x).replace("'", "''") for x in (pairs.keys(), pairs.values())]
@@ -412,25 +396,39 @@ def _std_sql() -> str:
     return _sql_translate(f"replace({c}, '通リ', '通')", dict.fromkeys(HYPHENS, "-"))
 
 
-@probe("std_native std_native_text", _DOCS + _std_sql() + " AS std FROM documents", star=False)
+@probe("std_native", _DOCS + _std_sql() + " AS std FROM documents", star=False)
 def _std_native_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..functions.normalize import Standard
 
     return _docs(spark, sf_dir).select("doc_id", Standard().plain_column("text").alias("std"))
 
 
-@probe("std_full_text", star=False)
-def _std_full_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _talk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/conversations.parquet")
+
+
+_TALK = "SELECT conv_id, turn, "
+#: Numerals of the standard text; the given texts have ASCII digits alone.
+_FULL_SQL = r"regexp_replace(" + _std_sql() + r", '0*([0-9]+)\.?', '\1.', 'g') AS std"
+_NUMBER_SQL = "CASE WHEN regexp_extract(coalesce(text, ''), '^[0-9]+') = '' THEN 0 ELSE TRY_CAST(regexp_extract(text, '^[0-9]+') AS BIGINT) END AS n, CAST(length(regexp_extract(coalesce(text, ''), '^[0-9]+')) AS BIGINT) AS i"
+
+
+def _standard(df: DataFrame, *keys: str) -> DataFrame:
     from ..functions.normalize import Standard
 
-    return _docs(spark, sf_dir).select("doc_id", Standard().column("text").alias("std"))
+    return df.select(*keys, Standard().column("text").alias("std"))
 
 
-@probe("get_number_text", star=False)
-def _number_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _number(df: DataFrame, *keys: str) -> DataFrame:
     from ..functions.normalize import number_udf
 
-    return _docs(spark, sf_dir).select("doc_id", number_udf("text").alias("r")).select("doc_id", "r.n", F.col("r.i").cast("bigint").alias("i"))
+    return df.select(*keys, number_udf("text").alias("r")).select(*keys, "r.n", F.col("r.i").cast("bigint").alias("i"))
+
+
+probe("std_full", _TALK + _FULL_SQL + " FROM conversations", star=False)(lambda spark, sf_dir: _standard(_talk(spark, sf_dir), "conv_id", "turn"))
+probe("std_full_text", _DOCS + _FULL_SQL + " FROM documents", star=False)(lambda spark, sf_dir: _standard(_docs(spark, sf_dir), "doc_id"))
+probe("get_number", _TALK + _NUMBER_SQL + " FROM conversations", star=False)(lambda spark, sf_dir: _number(_talk(spark, sf_dir), "conv_id", "turn"))
+probe("get_number_text", _DOCS + _NUMBER_SQL + " FROM documents", star=False)(lambda spark, sf_dir: _number(_docs(spark, sf_dir), "doc_id"))
 
 
 @probe("char_class", "SELECT event_id, CASE WHEN regexp_matches(substr(props, 1 + event_id % 6, 1), '[a-zA-Z]') THEN 2 WHEN regexp_matches(substr(props, 1 + event_id % 6, 1), '[!-~]') THEN 4 ELSE -1 END AS kind FROM events", star=False)
@@ -454,7 +452,7 @@ def _match_len(n: DataFrame) -> DataFrame:
     return n.select("id", length(s.plain_column("name"), s.column("name")).alias("n"))
 
 
-@probe("geocode_full geocode_full_all", "SELECT id AS qid, id AS node_id, length(name) + CASE WHEN level = 8 THEN 1 ELSE 0 END AS tail FROM nodes WHERE level > 1")
+@probe("geocode_full", "SELECT id AS qid, id AS node_id, length(name) + CASE WHEN level = 8 THEN 1 ELSE 0 END AS tail FROM nodes WHERE level > 1")
 def _geocode(n: DataFrame) -> DataFrame:
     """Every node asked for by its own path; those of the first level have no coordinates, nor have their first children."""
     from ..functions.normalize import Standard
@@ -486,3 +484,95 @@ def _variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_name").alias("representative"), F.lower("n_name").alias("variants"))
     back = representative_rows(variant_rows(table))
     return variant_rows(back).groupBy("variant").agg(F.min("representative").alias("representative"))
+
+
+# --- what is kept, and the SQL surface
+
+
+@probe("kept_items", _ITEMS + "SELECT item, round(x0, 6) AS x0, round(y0, 6) AS y0, round(x1, 6) AS x1, round(y1, 6) AS y1 FROM boxes")
+def _kept_items(n: DataFrame) -> DataFrame:
+    """The items of a spatial index that is written, and opened again."""
+    from ..operators.spatial import SpatialIndex
+    from .staging import shared_path
+
+    folder = shared_path(n.sparkSession, "spatial")
+    SpatialIndex.build(n, folder)
+    return SpatialIndex.open(n, folder).items.select("item", *[F.round(c, 6).alias(c) for c in ("x0", "y0", "x1", "y1")])
+
+
+_STAND = ", stood AS (SELECT k.id AS item, d.id AS node_id, d.x AS nx, d.y AS ny FROM nodes k JOIN nodes d ON d.parent_id = k.id WHERE k.level = 7 UNION ALL SELECT min(id), min(id), x, y FROM nodes WHERE level = 7 AND sibling_id = id + 1 GROUP BY n, x, y) "
+
+
+@probe("kept_leaves", _STAND + "SELECT item, node_id, round(nx, 6) AS nx, round(ny, 6) AS ny FROM stood")
+def _kept_leaves(n: DataFrame) -> DataFrame:
+    """The leaves that each item of an index stands for."""
+    from ..operators.spatial import SpatialIndex
+    from .staging import shared_path
+
+    return SpatialIndex.build(n, shared_path(n.sparkSession, "spatial")).leaves.select("item", "node_id", F.round("nx", 6).alias("nx"), F.round("ny", 6).alias("ny"))
+
+
+@probe("kept_notations", _QUERIES + "SELECT qid, key, node_id FROM q JOIN keys ON starts_with(text, key)")
+def _kept_notations(n: DataFrame) -> DataFrame:
+    """common_prefixes over a notation index that is kept, sorted by key, and found to be of these nodes."""
+    from ..operators.index import common_prefixes
+    from ..operators.search import Gazetteer
+    from .staging import shared_path
+
+    folder, upper = shared_path(n.sparkSession, "prepared"), n.where("level <= 3")
+    Gazetteer(upper).save(folder, upper)
+    return common_prefixes(_texts(n), Gazetteer.open(folder, upper).index).select("qid", "key", "node_id")
+
+
+_WRITTEN = "translate(name, '1234567', '字ケノツヶッ大')"
+_OPTIONAL_SQL = "[t]"
+for _s in ("大字", "小字", "字", "ケ", "ヶ", "ガ", "ツ", "ッ", "ノ"):
+    _OPTIONAL_SQL = f"list_distinct(flatten(list_transform({_OPTIONAL_SQL}, lambda x: [x, replace(x, '{_s}', '')])))"
+
+
+@probe("optional_letters", f", w AS (SELECT id, {_WRITTEN} AS t FROM nodes) SELECT id, unnest({_OPTIONAL_SQL}) AS variant FROM w")
+def _optional(n: DataFrame) -> DataFrame:
+    from ..operators.index import optional_variants
+
+    written = F.translate("name", "1234567", "字ケノツヶッ大")
+    return n.select("id", F.explode(optional_variants(written)).alias("variant"))
+
+
+@probe("sql_lateral_notes", "SELECT id, split_part(p, ':', 1) AS k, split_part(p, ':', 2) AS v, length(split_part(p, ':', 2)) = 5 AS five FROM (SELECT id, unnest(string_split(note, '/')) AS p FROM nodes WHERE note <> '')")
+def _lateral(n: DataFrame) -> DataFrame:
+    """Notes and check digits in SQL text, by the registered functions."""
+    from ..functions.sql import register
+
+    register(n.sparkSession)
+    return n.sparkSession.sql("SELECT id, k, v, address_authority_code(v) <> '' AS five FROM {n} AS n, LATERAL address_notes(n.note)", n=n)
+
+
+@probe("record_round_trip", "SELECT event_id, event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k, '{\"k\":' || CAST(json_extract(props, '$.k') AS VARCHAR) || '}' AS props FROM events", star=False)
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as records with an object, and back to flat rows."""
+    from ..sources.records import RecordCodec
+
+    codec = RecordCodec({"event_id": 0, "event_type": "", "props": {"k": 0}})
+    back = codec.decode(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    return codec.encode(back).join(back.select("event_id", F.col("props.k").alias("k")), "event_id").select("event_id", "event_type", "k", "props")
+
+
+@probe("sqlite_round_trip", "SELECT c_custkey, c_name, c_nationkey FROM customer WHERE c_nationkey >= 5 AND starts_with(c_name, 'Customer')", star=False)
+def _sqlite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers written through the SQLite sink, and read back with their filters in the statement.
+
+    SQLite needs files: where the shared folder is none of a file system, it raises.
+    """
+    from ..sources import sqlite
+    from .staging import shared_path
+
+    sqlite.register(spark)
+    path = shared_path(spark, "customers").removeprefix("file://").removeprefix("file:")
+    if "://" in path:
+        raise ValueError("spark.checkpoint.dir is no folder of a file system")
+    import os
+
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").cast("bigint").alias("c_custkey"), "c_name", F.col("c_nationkey").cast("bigint").alias("c_nationkey"))
+    rows.write.format("gaz_sqlite").option("path", path).option("table", "customer").mode("append").save()
+    return spark.read.format("gaz_sqlite").option("path", path).option("table", "customer").load().where("c_nationkey >= 5 and c_name like 'Customer%'")
