@@ -6,10 +6,10 @@ bitmap, of the places of its last word, is shifted by one position and met with
 same blocks: AND gives the bitmaps of the phrases one word longer, popcount how often they occur in the shard. So phrases
 grow depth-first, a batch of them at a time, and their popcounts are summed over shards.
 
-Counting goes through the shards twice. The popcounts of pairs are first summed by hash alone, and then those of all phrases
-by their words. What has been counted prunes what comes next: a sieve, a bitmap of bounded size that says which words, then
-which pairs, may be frequent anywhere. It never says no wrongly, and the sums by words are compared with the threshold after
-it, so results depend on neither its size nor on hashes.
+Counts of words, then popcounts of pairs are first summed by hash alone, and then those of all phrases by their words. What
+has been counted prunes what comes next: a sieve, a bitmap of bounded size that says which words, then which pairs, may be
+frequent anywhere. It never says no wrongly, and the sums by words are compared with the threshold after it, so results
+depend on neither its size nor on hashes.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from __future__ import annotations
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import count
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +41,8 @@ RANKED = 100_000
 FOLD = bytes(c + 32 if 65 <= c <= 90 else 32 if c == 9 else 10 if 10 <= c <= 13 or c in b".,;:!?" else c for c in range(256))
 _SHARD = "lang string, words array<string>, counts array<bigint>, bitmaps binary"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Bits of a pair's hash: fewer to move, and pairs that share one only pass the sieve together.
+_PAIR_BITS = np.uint64((1 << 48) - 1)
 
 
 def _planes(a: np.ndarray) -> bytes:
@@ -123,13 +125,14 @@ def shards(docs: DataFrame, lang: str = "lang", size: int = SHARD) -> DataFrame:
 
 
 def word_hashes(lang: str, words: list[bytes]) -> np.ndarray:
-    seed = xxhash.xxh32_intdigest(lang.encode())
+    """The same as xxhash64(lang, word) in Spark."""
+    seed = xxhash.xxh64_intdigest(lang.encode(), 42)
     return np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), np.uint64, len(words))
 
 
 def pair_hashes(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     h = (left * _MIX + right) * _MIX
-    return h ^ (h >> np.uint64(29))
+    return (h ^ (h >> np.uint64(29))) & _PAIR_BITS
 
 
 class Sieve:
@@ -143,20 +146,6 @@ class Sieve:
         return (self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
 
-def hashed(words: DataFrame) -> DataFrame:
-    """(h) of (lang, phrase) rows of one word each."""
-
-    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            by: dict[str, list[bytes]] = defaultdict(list)
-            for lang, word in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                by[lang].append(word.encode())
-            for lang, some in by.items():
-                yield pa.RecordBatch.from_arrays([pa.array(word_hashes(lang, some).view(np.int64))], names=["h"])
-
-    return words.select("lang", "phrase").mapInArrow(hashes, "h bigint")
-
-
 def sieve(frequent: DataFrame, bounds: tuple[int, int] = SIEVE_BITS) -> Sieve:
     """Of hashes (h); Spark makes the words of the bitmap, of which the driver gets as many as it has at most."""
     n = min(bounds[1], max(bounds[0], 1 << (16 * frequent.count()).bit_length()))
@@ -240,9 +229,12 @@ def _pair_rows(batches: Iterator[pa.RecordBatch], words: Sieve) -> Iterator[pa.R
 
 
 def _phrase_rows(batches: Iterator[pa.RecordBatch], longest: int, words: Sieve, pairs: Sieve) -> Iterator[pa.RecordBatch]:
-    """How often the phrases of a shard occur all of whose pairs the sieve lets through."""
+    """How often the phrases of a shard occur all of whose words and pairs the sieves let through."""
     for each, names in _verticals(batches, words):
-        for phrases, n in each.grow(np.arange(each.v)[:, None], *each.by_word, longest, pairs):
+        alone = np.arange(each.v)[:, None]
+        kept, n = np.unique(each.by_word[0], return_inverse=True)
+        single = np.bincount(n, np.bitwise_count(each.by_word[2]), len(kept)).astype(np.int64)
+        for phrases, n in chain([(kept[:, None], single)] * bool(len(kept)), each.grow(alone, *each.by_word, longest, pairs)):
             text = pc.binary_join_element_wise(*[names.take(pa.array(c)) for c in phrases.T], " ")
             yield pa.RecordBatch.from_arrays([pa.array([each.lang] * len(n)), text, pa.array(n)], names=["lang", "phrase", "n"])
 
@@ -262,13 +254,13 @@ def counted(rows: DataFrame, least: int, *by: str) -> DataFrame:
 def frequent_phrases(made: DataFrame, least: int = LEAST, longest: int = LONGEST, bounds: tuple[int, int] = SIEVE_BITS) -> DataFrame:
     """(lang, phrase, n) of all words and phrases of up to longest words, two or more, in the shards made that occur least times."""
     context = made.sparkSession.sparkContext
-    words = staged(counted(made.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("e")).select("lang", F.col("e.words").alias("phrase"), F.col("e.counts").alias("n")), least, "lang", "phrase"), "words")
+    each = made.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("e")).select(F.xxhash64("lang", "e.words").alias("h"), F.col("e.counts").alias("n"))
+    words = staged(counted(each, least, "h").select("h"), "words")
     narrow = made.select("lang", "words", "bitmaps")
-    one = context.broadcast(sieve(hashed(words), bounds))
+    one = context.broadcast(sieve(words, bounds))
     pairs = staged(counted(narrow.mapInArrow(lambda b: _pair_rows(b, one.value), "h bigint, n bigint"), least, "h").select("h"), "pairs")
     two = context.broadcast(sieve(pairs, bounds))
-    more = counted(narrow.mapInArrow(lambda b: _phrase_rows(b, longest, one.value, two.value), "lang string, phrase string, n bigint"), least, "lang", "phrase")
-    out = staged(words.unionByName(more), "frequent")
+    out = staged(counted(narrow.mapInArrow(lambda b: _phrase_rows(b, longest, one.value, two.value), "lang string, phrase string, n bigint"), least, "lang", "phrase"), "frequent")
     discard(words, pairs)
     return out
 
