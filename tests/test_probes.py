@@ -20,18 +20,18 @@ def test_every_point_is_asked(spark):
     points = nodes.where(tree.has_coordinates()).select(F.col("id").alias("qid"), (F.col("x") + 0.0004).alias("x"), (F.col("y") + 0.0003).alias("y"))
     pairs = points.crossJoin(reverse.items(nodes)).select("qid", "item", reverse.box_distance().alias("d2"))
     want = {tuple(r) for r in pairs.selectExpr("qid", "item", "rank() over (partition by qid order by d2) as k").where("k <= 20").select("qid", "item").collect()}
-    assert {tuple(r) for r in probes.queries()["knn20_all"](spark, SMALL).collect()} == want
+    assert {tuple(r) for r in probes.queries()["knn20"](spark, SMALL).collect()} == want
     assert ids(probes.queries()["reverse_full"](spark, SMALL), "qid") == placed
 
 
 def test_every_child_and_code_is_asked(spark):
     nodes, queries = star_nodes(spark, SMALL), probes.queries()
-    assert ids(queries["child_by_name_all"](spark, SMALL)) == ids(nodes)
+    assert ids(queries["child_by_name"](spark, SMALL)) == ids(nodes)
     blocks = ids(nodes.where("level = 7"))
-    found = queries["machiaza_lookup_all"](spark, SMALL).selectExpr("node_id", "length(code) as n")
+    found = queries["machiaza_lookup"](spark, SMALL).selectExpr("node_id", "length(code) as n")
     for n in (7, 12):
         assert ids(found.where(f"n = {n}"), "node_id") == blocks
-    lengths = {r["n"]: r["count"] for r in queries["code_to_registry_all"](spark, SMALL).groupBy(F.length("code").alias("n")).count().collect()}
+    lengths = {r["n"]: r["count"] for r in queries["code_to_registry"](spark, SMALL).groupBy(F.length("code").alias("n")).count().collect()}
     assert lengths == {12: len(blocks), 5: len(ids(nodes.where("level = 7"), "parent_id")), 2: 5}
 
 
@@ -43,10 +43,10 @@ def test_whole_texts(spark, tmp_path):
     from addrspark.functions.numbers import read_number
 
     spark.createDataFrame(list(enumerate(TEXTS)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {name: {r["doc_id"]: r for r in probes.queries()[name](spark, str(tmp_path)).collect()} for name in ("std_native_text", "std_full_text", "get_number_text")}
+    got = {name: {r["doc_id"]: r for r in probes.queries()[name](spark, str(tmp_path)).collect()} for name in ("std_native", "std_full_text", "get_number_text")}
     s = Standard()
     for k, t in enumerate(TEXTS):
-        assert got["std_native_text"][k]["std"] == s.plain(t)
+        assert got["std_native"][k]["std"] == s.plain(t)
         assert got["std_full_text"][k]["std"] == s(t)
     assert [got["std_full_text"][k]["std"] for k in (2, 3, 4)] == ["12.番地ト34.号\n20450000. AND 7. MORE", "AB-C\nSSTRASSE 12.", "9" * 30 + ". X"]
     assert got["std_full_text"][5]["std"] == "8" * 6000 + "."
@@ -59,19 +59,19 @@ def test_documents_are_read_whole(spark):
 
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
     s = Standard()
-    for name, of in (("std_native_text", s.plain), ("std_full_text", s)):
+    for name, of in (("std_native", s.plain), ("std_full_text", s)):
         assert {r["doc_id"]: r["std"] for r in probes.queries()[name](spark, SMALL).collect()} == {k: of(t) for k, t in docs.items()}
 
 
 def test_every_level_is_asked(spark):
     nodes, queries = star_nodes(spark, SMALL), probes.queries()
     every, placed = ids(nodes), ids(nodes.where(tree.has_coordinates()))
-    for name in ("geodesic", "match_len", "parent_list_all", "map_links_all", "geojson_all", "point_in_triangle_all"):
+    for name in ("geodesic", "match_len", "parent_list", "map_links", "geojson", "point_in_triangle"):
         assert ids(queries[name](spark, SMALL)) == every, name
     assert ids(queries["geodesic"](spark, SMALL).where("metres is not null and not isnan(metres)")) == placed
-    assert ids(queries["children_list_all"](spark, SMALL)) == ids(nodes.where("parent_id > 0"), "parent_id")
-    assert ids(queries["append_positions_all"](spark, SMALL), "pos") == {*range(10, 10 + len(every))}
-    assert {r[0] for r in queries["circumcircle_all"](spark, SMALL).join(nodes.select("id", "level"), "id").select("level").distinct().collect()} == {7, 8}
+    assert ids(queries["children_list"](spark, SMALL)) == ids(nodes.where("parent_id > 0"), "parent_id")
+    assert ids(queries["append_positions"](spark, SMALL), "pos") == {*range(10, 10 + len(every))}
+    assert {r[0] for r in queries["circumcircle"](spark, SMALL).join(nodes.select("id", "level"), "id").select("level").distinct().collect()} == {7, 8}
 
 
 def test_whole_variant_table(spark):
