@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from addrspark.llm.bpe import bpe_encode, read_ranks
-from addrspark.llm.common import staged, table
+from addrspark.llm.common import discard, staged, table
 from addrspark.llm.decontaminate import decontaminate
 from addrspark.llm.quality_rules import drop_failing
 from addrspark.llm.simhash import drop_near_duplicates
@@ -56,7 +56,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The result of the last stage; of the others nothing is left once the next one is written."""
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
         docs = staged(stage(spark, docs, sf_dir), f"stage-{name}")
+        discard(*before)
+        before = [docs]
     return docs
