@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .tree import last_on_path, with_path_levels
+
 #: Keys of notes that no index holds.
 UNINDEXED = ("ref", "geoshape_city_id")
 #: Patterns of notes: what parts two of them, the key and the value of one, and an escaped character.
@@ -77,11 +79,8 @@ def aza_code() -> Column:
 
 def with_area_names(nodes: DataFrame) -> DataFrame:
     """nodes with pref_name and city_name: those of the nearest prefecture, and city or ward, on the path; empty if none."""
-    high = nodes.where(F.col("level").isin(1, 3, 4)).select(F.col("id").alias("ancestor_id"), F.col("level").alias("l"), F.col("name").alias("n"))
-    on_path = nodes.select("id", F.explode("path_ids").alias("ancestor_id")).join(high, "ancestor_id")
-    pick = lambda cond: F.max_by(F.when(cond, F.col("n")), F.when(cond, F.col("ancestor_id")))
-    names = on_path.groupBy("id").agg(pick(F.col("l") == 1).alias("p"), pick(F.col("l") > 1).alias("c"))
-    return nodes.join(names, "id", "left").select(*nodes.columns, F.coalesce("p", F.lit("")).alias("pref_name"), F.coalesce("c", F.lit("")).alias("city_name"))
+    named = with_path_levels(nodes).withColumns({"pref_name": F.coalesce(last_on_path("path_names", [1]), F.lit("")), "city_name": F.coalesce(last_on_path("path_names", [3, 4]), F.lit(""))})
+    return named.select(*nodes.columns, "pref_name", "city_name")
 
 
 def aza_names(nodes: DataFrame, registry: DataFrame) -> DataFrame:

@@ -37,15 +37,17 @@ def dense_positions(df: DataFrame, *order: str | Column, name: str = "pos", firs
 def build_tree(rows: DataFrame) -> DataFrame:
     """nodes of rows with path_key: one sort key a path element, in which siblings order by code point.
 
-    Adds id (preorder, from 1), parent_id (0 under the root), sibling_id, path_ids and path_names (from the top). A row
-    whose parent is missing hangs on its nearest ancestor. The root itself is not a row; see with_root.
+    Adds id (preorder, from 1), parent_id (0 under the root), sibling_id, path_ids, path_names and path_levels (from the
+    top; levels if rows have any). A row whose parent is missing hangs on its nearest ancestor. The root itself is not a
+    row; see with_root.
     """
+    level = F.col("level") if "level" in rows.columns else F.lit(None).cast("int")
     ids = dense_positions(rows, "path_key", name="id", first=1)
     ids = staged(ids, "ids")
     prefixes = ids.select("id", F.explode(F.transform(F.sequence(F.lit(1), F.size("path_key")), lambda k: F.struct(k.alias("depth"), F.slice("path_key", F.lit(1), k).alias("key")))).alias("p")).select("id", "p.*")
-    named = ids.select(F.col("path_key").alias("key"), F.col("id").alias("a_id"), F.col("name").alias("a_name"))
-    paths = staged(prefixes.join(named, "key").select("id", "depth", "a_id", "a_name"), "paths")
-    up = paths.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("depth", "a_id", "a_name"))).alias("p"))
+    named = ids.select(F.col("path_key").alias("key"), F.col("id").alias("a_id"), F.col("name").alias("a_name"), level.alias("a_level"))
+    paths = staged(prefixes.join(named, "key").select("id", "depth", "a_id", "a_name", "a_level"), "paths")
+    up = paths.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("depth", "a_id", "a_name", "a_level"))).alias("p"))
     down = paths.groupBy(F.col("a_id").alias("id")).agg(F.count("*").alias("size"))
     nodes = ids.join(up, "id").join(down, "id")
     return nodes.select(
@@ -55,9 +57,35 @@ def build_tree(rows: DataFrame) -> DataFrame:
         (F.col("id") + F.col("size")).alias("sibling_id"),
         F.col("p.a_id").alias("path_ids"),
         F.col("p.a_name").alias("path_names"),
+        F.col("p.a_level").alias("path_levels"),
     )
 
 
+def with_path_levels(nodes: DataFrame) -> DataFrame:
+    """nodes with path_levels, which tables of other builders lack: the levels of the path, from the top.
+
+    Where nodes have it, what the path says of a node is read off its own row, without a join on ancestors, of which a
+    prefecture's has millions of nodes.
+    """
+    if "path_levels" in nodes.columns:
+        return nodes
+    pairs = descendants(nodes).join(nodes.select(F.col("id").alias("ancestor_id"), F.col("level").alias("l")), "ancestor_id")
+    levels = pairs.groupBy(F.col("id").alias("__of")).agg(F.transform(F.sort_array(F.collect_list(F.struct("ancestor_id", "l"))), lambda s: s["l"]).alias("path_levels"))
+    return nodes.join(levels, F.col("id") == F.col("__of")).drop("__of")
+
+
+def on_path(column: str, levels: list[int] | None = None) -> Column:
+    """(level, value) of the path's elements, from the top: those on the given levels, or all."""
+    every = F.transform(F.arrays_zip(F.col("path_levels").alias("l"), F.col(column).alias("v")), lambda s: F.struct(s["l"].alias("l"), s["v"].alias("v")))
+    return every if levels is None else F.filter(every, lambda s: s["l"].isin(levels))
+
+
+def last_on_path(column: str, levels: list[int]) -> Column:
+    """The value of the lowest element of the path on one of the levels; null if there is none."""
+    found = on_path(column, levels)
+    return F.get(found, F.size(found) - 1)["v"]
+
+
 def with_root(nodes: DataFrame) -> DataFrame:
     """nodes and the root: id 0, level -1, no name, no coordinates, all ids below it."""
     top = nodes.agg(F.coalesce(F.max("id"), F.lit(0)).alias("__n")).select(*[{"id": F.lit(0), "name": F.lit(""), "name_index": F.lit(""), "level": F.lit(-1), "parent_id": F.lit(-1), "sibling_id": F.col("__n") + 1, "x": F.lit(NO_COORDINATE), "y": F.lit(NO_COORDINATE), "priority": F.lit(0), "note": F.lit("")}.get(c, F.lit(None)).cast(t).alias(c) for c, t in nodes.dtypes])
@@ -124,18 +152,14 @@ def by_names(nodes: DataFrame, names: list[str]) -> DataFrame:
 
 def upper_node(nodes: DataFrame, levels: list[int]) -> DataFrame:
     """(id, upper_id): the nearest of the node and its ancestors whose level is among levels; null if none."""
-    pairs = descendants(nodes)
-    of = nodes.where(F.col("level").isin(levels)).select(F.col("id").alias("ancestor_id"))
-    best = pairs.join(of, "ancestor_id").groupBy("id").agg(F.max("ancestor_id").alias("upper_id"))
-    return nodes.select("id").join(best, "id", "left")
+    return with_path_levels(nodes).select("id", last_on_path("path_ids", levels).alias("upper_id"))
 
 
 def nodes_by_level(nodes: DataFrame) -> DataFrame:
     """(id, levels): for each level up to the node's own, the names on its path at that level, as an array of arrays."""
-    pairs = descendants(nodes).join(nodes.select(F.col("id").alias("ancestor_id"), F.col("level").alias("l"), F.col("name").alias("n")), "ancestor_id")
-    path = pairs.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("ancestor_id", "l", "n"))).alias("p"))
-    per = F.transform(F.sequence(F.lit(0), F.col("level")), lambda k: F.transform(F.filter("p", lambda s: s["l"] == k), lambda s: s["n"]))
-    return nodes.select("id", "level").join(path, "id").select("id", per.alias("levels"))
+    named = with_path_levels(nodes).select("id", "level", on_path("path_names").alias("p"))
+    per = F.transform(F.sequence(F.lit(0), F.col("level")), lambda k: F.transform(F.filter("p", lambda s: s["l"] == k), lambda s: s["v"]))
+    return named.select("id", per.alias("levels"))
 
 
 def dummy_coordinates(nodes: DataFrame) -> DataFrame:

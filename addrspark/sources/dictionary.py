@@ -16,12 +16,12 @@ NOTES = ("metadata.txt", "README.md")
 
 
 def with_paths(nodes: DataFrame, max_depth: int = 64) -> DataFrame:
-    """nodes (id, parent_id, name, ...) with path_ids and path_names: one join with the parents for each level of depth."""
-    done, front = None, staged(nodes.where("parent_id <= 0 AND id > 0").withColumn("path_ids", F.array("id")).withColumn("path_names", F.array("name")), "paths")
+    """nodes (id, parent_id, name, ...) with path_ids, path_names and path_levels: one join with the parents for each level of depth."""
+    done, front = None, staged(nodes.where("parent_id <= 0 AND id > 0").withColumn("path_ids", F.array("id")).withColumn("path_names", F.array("name")).withColumn("path_levels", F.array("level")), "paths")
     for _ in range(max_depth):
         done = front if done is None else done.unionByName(front)
-        up = front.select(F.col("id").alias("__p"), F.col("path_ids").alias("__ids"), F.col("path_names").alias("__names"))
-        front = staged(nodes.join(up, F.col("parent_id") == F.col("__p")).select(*nodes.columns, F.concat("__ids", F.array("id")).alias("path_ids"), F.concat("__names", F.array("name")).alias("path_names")), "paths")
+        up = front.select(F.col("id").alias("__p"), F.col("path_ids").alias("__ids"), F.col("path_names").alias("__names"), F.col("path_levels").alias("__levels"))
+        front = staged(nodes.join(up, F.col("parent_id") == F.col("__p")).select(*nodes.columns, F.concat("__ids", F.array("id")).alias("path_ids"), F.concat("__names", F.array("name")).alias("path_names"), F.concat("__levels", F.array("level")).alias("path_levels")), "paths")
         if front.isEmpty():
             return done
     raise ValueError(f"the tree is deeper than {max_depth}")
