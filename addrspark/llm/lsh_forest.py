@@ -10,7 +10,12 @@ Candidates pass a sketch of their signatures and are then confirmed on the texts
 of each set first; later rounds leave aside what is connected already. Sets with region mates further off than NEAR are
 held, where they are not connected yet, against the best-linked member of each of their regions and then against the
 likely ones of WIDE neighbours on either side: thousands of near copies are joined by links to a few of them, without their
-pairs. A set that is linked with few of very many mates, and at the threshold only, can be missed there.
+pairs.
+
+What all this has left apart is gone through exactly. In one order of all shingles, roughly by frequency, similar sets have
+one of their first shingles in common, the front, which holds a fifth of a set. Rows of fronts meet by shingle where their
+sets are in different components; bounds by place, size and a bitmap, which no similar pair fails, leave the pairs to confirm.
+So neither the neighbours looked at nor the sketches decide what is linked.
 """
 
 from __future__ import annotations
@@ -39,6 +44,11 @@ WIDE_BITS = 13
 SKETCH_BITS = 29
 #: Shingles of texts that a task keeps, as many pairs have a text in common.
 CACHED = 400_000
+#: One text in so many gives the counts that the order of shingles goes by, and the cells with the greatest counts that are
+#: kept, by hash. They decide how long the last pass takes, not what it finds.
+ORDER_EVERY, CELL_BITS, KEPT_CELLS = 8, 23, 1 << 20
+#: The least bits of a set's bitmap, which has two or more for each shingle.
+PARITIES = 512
 #: Best candidates of a set that the first round confirms; the second takes all that are not connected by then.
 FIRST = 2
 _FACTORS = np.random.default_rng(11).integers(1 << 62, 1 << 63, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -67,21 +77,81 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     return (mixed >> np.uint64(48)).astype("<u2")
 
 
-def _signed_rows(cols: dict[str, list]):
-    out: dict[str, list] = {"n": [], "digest": [], "sig": []}
-    for data in cols["data"]:
-        some = shingles(data)
-        hashes = np.sort(np.fromiter(map(xxhash.xxh64_intdigest, some), np.uint64, len(some)))
-        out["n"].append(len(some))
-        out["digest"].append(xxhash.xxh3_128_digest(hashes.tobytes()) if some else b"")
-        out["sig"].append(signature(hashes).tobytes() if some else b"")
-    return out, None
+def _hashes(some: set[bytes]) -> np.ndarray:
+    return np.sort(np.fromiter(map(xxhash.xxh64_intdigest, some), np.uint64, len(some)))
+
+
+def frequencies(rows: DataFrame) -> np.ndarray:
+    """By the first CELL_BITS bits of a shingle's hash a level from 0 to 255: the more frequent, the higher.
+
+    rows has mark and data. Counts over one text in ORDER_EVERY; beyond KEPT_CELLS cells, or counted once only, level 0.
+    """
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                each = [_hashes(shingles(x)) >> np.uint64(64 - CELL_BITS) for x in batch.column(0).slice(at, 64).to_pylist()]
+                cell, n = np.unique(np.concatenate(each), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(n.astype(np.int64))], names=["cell", "n"])
+
+    some = rows.where(F.pmod("mark", F.lit(ORDER_EVERY)) == 0).select("data").mapInArrow(cells, "cell int, n bigint")
+    counted = staged(some.groupBy("cell").agg(F.sum("n").alias("n")).where("n > 1").select("cell", F.least(F.lit(255), F.floor(16 * F.log2("n"))).cast("int").alias("level")), "cells")
+    least, held = 1, 0
+    for level, n in sorted(counted.groupBy("level").count().collect(), reverse=True):  # 255 rows at most
+        held += n
+        if held > KEPT_CELLS:
+            least = level + 1
+            break
+    got = counted.where(F.col("level") >= least).toArrow()
+    discard(counted)
+    levels = np.zeros(1 << CELL_BITS, np.uint8)
+    levels[got["cell"].to_numpy()] = got["level"].to_numpy()
+    return levels
+
+
+def front(hashes: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    """The first shingles of a set, rare ones first, as numbers of 32 bits: so many that any similar set has one of them in
+    its own front. Shingles whose numbers are alike only bring more sets together."""
+    keys = np.sort((levels[hashes >> np.uint64(64 - CELL_BITS)].astype(np.uint64) << np.uint64(56)) | (hashes & np.uint64((1 << 56) - 1)))
+    n = len(keys)
+    return ((keys[: n - (SHARE * n + 99) // 100 + 1] * _MIX) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
+def parities(hashes: np.ndarray) -> bytes:
+    """A bit for each residue by a power of two: whether an odd number of the hashes has it."""
+    size = max(PARITIES, 1 << (2 * len(hashes) - 1).bit_length())
+    odd = np.bincount((hashes & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def parted(x: bytes, y: bytes) -> int:
+    """In how many bits two bitmaps differ, the longer one folded to the other's length: in no more than sets in members."""
+    a, b = (np.frombuffer(z, np.uint64) for z in (x, y))
+    least = min(len(a), len(b))
+    a, b = (np.bitwise_xor.reduce(z.reshape(-1, least), axis=0) for z in (a, b))
+    return int(np.bitwise_count(a ^ b).sum())
 
 
 def signed(docs: DataFrame, key: str) -> DataFrame:
-    """(id, mark, n, digest, sig) of every row: a hash of the text, the size of its set, the set's digest and signature."""
+    """(id, mark, n, digest, sig, bits, front) of every row: a hash of the text, the size of its set, the set's digest,
+    signature, bitmap and front."""
     rows = Narrow(docs, [], id=(key, lambda c: c), mark=("text", lambda c: F.xxhash64(text_bytes(c))), data=("text", text_bytes)).df
-    return map_slices(rows, _signed_rows, {"n": "bigint", "digest": "binary", "sig": "binary"}, 2)
+    levels = docs.sparkSession.sparkContext.broadcast(frequencies(rows.select("mark", "data")).tobytes())
+
+    def work(cols: dict[str, list]):
+        out: dict[str, list] = {"n": [], "digest": [], "sig": [], "bits": [], "front": []}
+        by_cell = np.frombuffer(levels.value, np.uint8)
+        for data in cols["data"]:
+            hashes = _hashes(shingles(data))
+            out["n"].append(len(hashes))
+            some = len(hashes) > 0
+            out["digest"].append(xxhash.xxh3_128_digest(hashes.tobytes()) if some else b"")
+            out["sig"].append(signature(hashes).tobytes() if some else b"")
+            out["bits"].append(parities(hashes) if some else b"")
+            out["front"].append(front(hashes, by_cell) if some else [])
+        return out, None
+
+    return map_slices(rows, work, {"n": "bigint", "digest": "binary", "sig": "binary", "bits": "binary", "front": "array<int>"}, 2)
 
 
 def sketch(sig: np.ndarray) -> np.ndarray:
@@ -277,15 +347,48 @@ def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
     return staged(moved.unionByName(joined), "roots")
 
 
-def linked(docs: DataFrame, key: str, classes: DataFrame, near: int = NEAR, wide: int = WIDE) -> DataFrame:
-    """(v, root) of the classes (cls, sig, rep; none of empty sets) that are linked with others."""
+def unmet(seen: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs (a, b) of classes of different roots in roots (v, root), with all similar ones among them.
+
+    A pair meets by each number that both fronts have. At their first common one both sets still hold all that they have in
+    common, which bounds it from above; similar pairs pass there. What they do not have in common is bounded from below by
+    the bits in which their bitmaps differ. In each place only rows outside its largest component are paired with the others.
+    """
+    sizes = roots.groupBy("root").agg(F.count("*").alias("size")).select(F.col("root").alias("r"), "size")
+    named = classes.join(roots.select(F.col("v").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    named = named.join(sizes, F.col("root") == F.col("r"), "left").select("cls", "root", F.coalesce("size", F.lit(0)).alias("size"), F.col("rep.id").alias("i"), F.col("rep.mark").alias("m"))
+    fronts = seen.where("n > 0").select("id", "mark", "n", "front").join(named, F.col("id").eqNullSafe(F.col("i")) & (F.col("mark") == F.col("m")))
+    rows = fronts.select("cls", "root", "size", F.col("n").cast("int").alias("n"), F.posexplode("front").alias("place", "number"))
+    at = Window.partitionBy("number")
+    main = F.max(F.struct("size", "root")).over(at)["root"]
+    mixed = rows.withColumns({"lo": F.min("root").over(at), "hi": F.max("root").over(at), "main": main}).where("lo <> hi")
+    mixed = staged(mixed.select("number", "cls", "root", (F.col("root") == F.col("main")).alias("in_main"), "n", (F.col("n") - F.col("place")).alias("rest")), "mixed")
+    left, right = (mixed.toDF(*[f"{side}_{c}" for c in mixed.columns]) for side in "xy")
+    common = F.least("x_rest", "y_rest").cast("bigint") * (100 + SHARE) >= F.lit(SHARE) * (F.col("x_n") + F.col("y_n"))
+    once = F.col("y_in_main") | (F.col("x_cls") < F.col("y_cls"))
+    met = left.where("not x_in_main").join(right, (F.col("x_number") == F.col("y_number")) & (F.col("x_root") != F.col("y_root")) & once & common)
+    met = staged(met.select(F.least("x_cls", "y_cls").alias("a"), F.greatest("x_cls", "y_cls").alias("b")).distinct(), "unmet")
+    of = classes.select("cls", "n", "bits")
+    both = met.join(of.toDF("a", "n_a", "x"), "a").join(of.toDF("b", "n_b", "y"), "b")
+
+    def work(cols: dict[str, list]):
+        apart = np.array([parted(x, y) for x, y in zip(cols["x"], cols["y"], strict=True)], np.int64)
+        return {}, np.flatnonzero(apart * (100 + SHARE) <= (100 - SHARE) * (np.array(cols["n_a"]) + np.array(cols["n_b"]))).tolist()
+
+    out = staged(map_slices(both.select("a", "b", "n_a", "n_b", "x", "y"), work, {}, 2), "pairs")
+    discard(mixed, met)
+    return out
+
+
+def linked(docs: DataFrame, key: str, seen: DataFrame, classes: DataFrame, near: int = NEAR, wide: int = WIDE) -> DataFrame:
+    """(v, root) of the classes (cls, n, sig, bits, rep; none of empty sets), made of seen, that are linked with others."""
     pairs, far = candidates(classes.withColumn("root", F.col("cls")), near)
     texts = _texts(docs, key, classes, pairs.select("a", "b").unionByName(far.select(F.col("cls").alias("a"), F.col("cls").alias("b"))))
     ranked = staged(pairs.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy("apart", "b"))), "ranked")
     links = staged(confirmed(ranked.where(F.col("rank") <= FIRST), texts), "links")
     roots = components(links)
 
-    def follow(more: DataFrame) -> bool:
+    def follow(more: DataFrame, texts: DataFrame = texts) -> bool:
         """Take the links among more, pairs of sets that are not connected yet; whether there are any."""
         nonlocal links, roots
         tried = staged(more.select("a", "b").distinct(), "tried")
@@ -306,6 +409,9 @@ def linked(docs: DataFrame, key: str, classes: DataFrame, near: int = NEAR, wide
             while follow(_hubs(far, links, roots, classes)):
                 pass
     discard(pairs, far, texts, ranked)
+    rest = unmet(seen, classes, roots)
+    if not rest.isEmpty():
+        follow(rest, _texts(docs, key, classes, rest))
     return roots
 
 
@@ -318,15 +424,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", near: int = NEAR, wide
     null doc_id keep it, never name a component and are not kept; a doc_id that repeats with other texts is another
     document each time. Repeated rows give repeated rows; an empty table an empty one. Other columns are not looked at.
 
-    A link is found unless its sets are apart in all orders: at the threshold they share the first HEAD values of at least
-    one of TREES orders but once in ten million times. Where more than NEAR others lie between them in each such order, a
-    chain of links, a hub of the region, or likely neighbours within WIDE of each other must connect them.
+    Most links are found among neighbours in the orders. What more than NEAR or WIDE others, or chance, keep apart there is
+    found by the fronts, so near and wide, and the sample that the order of shingles comes from, change the time alone.
     """
     seen = staged(signed(docs, key), "signed")
     rep = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "mark")).alias("rep")
-    grouped = seen.where("n > 0").groupBy("digest").agg(F.max("n").alias("n"), F.max("sig").alias("sig"), F.min("id").alias("first"), rep)
+    grouped = seen.where("n > 0").groupBy("digest").agg(F.max("n").alias("n"), F.max("sig").alias("sig"), F.max("bits").alias("bits"), F.min("id").alias("first"), rep)
     classes = staged(grouped.withColumn("cls", F.monotonically_increasing_id()), "classes")
-    roots = linked(docs, key, classes, near, wide)
+    roots = linked(docs, key, seen, classes, near, wide)
     of = roots.select(F.col("v").alias("cls"), "root").unionByName(roots.select(F.col("root").alias("cls"), "root").distinct())
     named = classes.select("cls", "digest", "first").join(of, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     named = staged(named, "named")

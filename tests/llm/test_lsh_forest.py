@@ -76,6 +76,34 @@ def test_against_all_pairs(spark, near, wide):
     assert run(spark, rows, near=near, wide=wide) == plain(rows)
 
 
+def test_links_that_no_neighbours_show(spark):
+    rng = random.Random(5)
+    texts = near_copies(rng, [f"b{k}" for k in range(60)], 40, 9) + near_copies(rng, [f"c{k}" for k in range(9)], 12, 1) + ["b1 b2", "B1 b2", "", "b1"]
+    rows = list(enumerate(texts))
+    want = plain(rows)
+    assert 10 < len({c for _, _, c, _ in want}) < 45
+    assert run(spark, rows, near=0, wide=0) == want
+
+
+def test_similar_sets_pass_fronts_and_bitmaps():
+    rng = np.random.default_rng(8)
+    levels = rng.integers(0, 256, 1 << lf.CELL_BITS).astype(np.uint8)
+    met = 0
+    for n in (1, 2, 5, 9, 60, 500, 3000):
+        for _ in range(40):
+            a = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+            b = a[: n - int(rng.integers(0, n // 5 + 1))]
+            b = np.concatenate([b, rng.integers(0, 1 << 63, int(rng.integers(0, n // 5 + 1)), dtype=np.uint64)])
+            both, either = len(set(a.tolist()) & set(b.tolist())), len({*a.tolist(), *b.tolist()})
+            assert lf.parted(lf.parities(a), lf.parities(b)) <= either - both
+            if 100 * both >= lf.SHARE * either:
+                met += 1
+                x, y = (lf.front(z, levels).tolist() for z in (a, b))
+                first = [(len(a) - i, len(b) - y.index(v)) for i, v in enumerate(x) if v in y]
+                assert any(180 * min(p) >= 80 * (len(a) + len(b)) for p in first)
+    assert met > 100
+
+
 def test_ties_nulls_repeats_and_empty(spark):
     rows = [(5, "a b c"), (5, "a b c"), (None, "a b c"), (7, "A B\tC"), (5, "z z z"), (None, "q r s"), (None, None), (9, None), (3, "z z")]
     assert run(spark, rows) == plain(rows)
