@@ -173,7 +173,8 @@ def classify(docs: DataFrame, keep: list[str], scorer: Scorer | None = None) ->
     Vote patterns are counted over all rows. Null texts count as empty; repeated rows count each time and give repeated
     rows, but an id is sampled once; an empty table gives an empty one; a result column replaces a kept column of its name.
     """
-    scorer = scorer or trained(docs)[3]
+    if scorer is None:  # one that has met no word yet is empty, and so false
+        scorer = trained(docs)[3]
     shared = docs.sparkSession.sparkContext.broadcast((scorer.weights.astype(np.float32), scorer.bias, scorer.again))
     made = {"score": "double", "kept": "boolean"}
     mine: list[Scorer] = []

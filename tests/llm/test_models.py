@@ -275,6 +275,13 @@ def test_weak_labels(spark):
     assert weak_labels.classify(odd.limit(0), ["doc_id"]).count() == 0
 
 
+def test_a_given_scorer_is_not_fitted_again(spark, monkeypatch):
+    monkeypatch.setattr(weak_labels, "trained", lambda *_: pytest.fail("fitted again"))
+    rows = spark.createDataFrame([(1, "some words"), (2, None)], "doc_id bigint, text string")
+    scorer = weak_labels.Scorer(np.zeros(weak_labels.BUCKETS), 1.0, 0.0)
+    assert not scorer and all(r["kept"] for r in weak_labels.classify(rows, ["doc_id"], scorer).collect())
+
+
 def test_an_id_is_sampled_once(spark, monkeypatch):
     monkeypatch.setattr(weak_labels, "TRAIN_ROWS", 3)
     rows = spark.createDataFrame([(k % 5, f"t{k}") for k in range(200)], "id bigint, text string")
