@@ -301,10 +301,14 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return map_slices(rows, work, {}, 2)
 
 
-def _texts(docs: DataFrame, key: str, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(cls, data): one text of each class in pairs."""
-    involved = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    wanted = classes.join(involved, "cls").select("cls", F.col("rep.id").alias("i"), F.col("rep.mark").alias("m"))
+def ends(pairs: DataFrame) -> DataFrame:
+    """(cls): the classes of pairs (a, b), each as often as it is in one. The columns are read apart, so no row is doubled."""
+    return pairs.select(F.col("a").alias("cls")).union(pairs.select("b"))
+
+
+def _texts(docs: DataFrame, key: str, classes: DataFrame, involved: DataFrame) -> DataFrame:
+    """(cls, data): one text of each class in involved (cls), which may repeat."""
+    wanted = classes.join(involved.distinct(), "cls").select("cls", F.col("rep.id").alias("i"), F.col("rep.mark").alias("m"))
     rows = Narrow(docs, [], id=(key, lambda c: c), data=("text", text_bytes)).df.withColumn("mark", F.xxhash64("data"))
     met = rows.join(wanted, F.col("id").eqNullSafe(F.col("i")) & (F.col("mark") == F.col("m"))).select("cls", "data")
     return staged(met.dropDuplicates(["cls"]), "texts")
@@ -320,7 +324,7 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
 
 def _hubs(far: DataFrame, links: DataFrame, roots: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs (a, b) of sets in dense regions with the member of the region that has most links, where they are unconnected."""
-    degree = links.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count("*").alias("links"))
+    degree = ends(links).groupBy("cls").agg(F.count("*").alias("links"))
     rooted = staged(far.join(roots.select(F.col("v").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls")), "rooted")
     ranked = rooted.join(degree, "cls").groupBy("tree", "head").agg(F.max(F.struct("links", "cls", "root")).alias("hub")).select(F.col("tree").alias("t"), F.col("head").alias("h"), "hub.cls", "hub.root").toDF("t", "h", "hub", "of")
     # one row for each set outside its region's largest component
@@ -383,7 +387,7 @@ def unmet(seen: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
 def linked(docs: DataFrame, key: str, seen: DataFrame, classes: DataFrame, near: int = NEAR, wide: int = WIDE) -> DataFrame:
     """(v, root) of the classes (cls, n, sig, bits, rep; none of empty sets), made of seen, that are linked with others."""
     pairs, far = candidates(classes.withColumn("root", F.col("cls")), near)
-    texts = _texts(docs, key, classes, pairs.select("a", "b").unionByName(far.select(F.col("cls").alias("a"), F.col("cls").alias("b"))))
+    texts = _texts(docs, key, classes, ends(pairs).union(far.select("cls")))
     ranked = staged(pairs.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy("apart", "b"))), "ranked")
     links = staged(confirmed(ranked.where(F.col("rank") <= FIRST), texts), "links")
     roots = components(links)
@@ -411,7 +415,7 @@ def linked(docs: DataFrame, key: str, seen: DataFrame, classes: DataFrame, near:
     discard(pairs, far, texts, ranked)
     rest = unmet(seen, classes, roots)
     if not rest.isEmpty():
-        follow(rest, _texts(docs, key, classes, rest))
+        follow(rest, _texts(docs, key, classes, ends(rest)))
     return roots
 
 

@@ -145,3 +145,24 @@ def test_signatures_estimate_the_share():
     assert abs((sigs[0] == sigs[1]).mean() - share) < 0.12
     apart = lf.differing(*lf.sketch(np.stack(sigs))).sum()
     assert abs(apart / 128 - (1 - share) / 2) < 0.1
+
+
+def test_pairs_and_rows_of_a_growing_dense_group(spark):
+    """A set has NEAR neighbours a side in each order however large its group is, and its ends are found without doubling rows."""
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 63, 120, dtype=np.uint64)
+    counts = []
+    for n in (150, 600):
+        rows = []
+        for k in range(n):
+            some = base.copy()
+            some[rng.integers(0, 120, 12)] = rng.integers(0, 1 << 63, 12, dtype=np.uint64)
+            rows.append((k, k, bytearray(lf.signature(some).tobytes())))
+        pairs, far = lf.candidates(spark.createDataFrame(rows, "cls bigint, root bigint, sig binary"), 2)
+        made = lf.ends(pairs)
+        want = {r[c] for r in pairs.collect() for c in (0, 1)}
+        assert {r[0] for r in made.distinct().collect()} == want and made.count() == 2 * pairs.count()
+        assert "Generate" not in made.distinct()._jdf.queryExecution().toString()
+        counts.append(pairs.count())
+        assert counts[-1] <= 2 * lf.TREES * n and 0 < far.count() <= lf.TREES * n
+    assert counts[1] < 8 * counts[0]  # a square would give sixteen times as many
