@@ -327,10 +327,12 @@ def _hubs(far: DataFrame, links: DataFrame, roots: DataFrame, classes: DataFrame
     degree = ends(links).groupBy("cls").agg(F.count("*").alias("links"))
     rooted = staged(far.join(roots.select(F.col("v").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls")), "rooted")
     ranked = rooted.join(degree, "cls").groupBy("tree", "head").agg(F.max(F.struct("links", "cls", "root")).alias("hub")).select(F.col("tree").alias("t"), F.col("head").alias("h"), "hub.cls", "hub.root").toDF("t", "h", "hub", "of")
+    # written first: joined in the stage that finds them, a region's rows would all be one task's, with no way to split them
+    ranked = staged(ranked, "best")
     # one row for each set outside its region's largest component
     met = rooted.join(ranked, (F.col("tree") == F.col("t")) & (F.col("head") == F.col("h")) & (F.col("root") != F.col("of")))
     met = staged(met.select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b")).distinct(), "hubs")
-    discard(rooted)
+    discard(rooted, ranked)
     sig = classes.select("cls", "sig")
     both = met.join(sig.select(F.col("cls").alias("a"), F.col("sig").alias("x")), "a").join(sig.select(F.col("cls").alias("b"), F.col("sig").alias("y")), "b")
 

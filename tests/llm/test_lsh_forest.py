@@ -166,3 +166,19 @@ def test_pairs_and_rows_of_a_growing_dense_group(spark):
         counts.append(pairs.count())
         assert counts[-1] <= 2 * lf.TREES * n and 0 < far.count() <= lf.TREES * n
     assert counts[1] < 8 * counts[0]  # a square would give sixteen times as many
+
+
+def test_hubs_are_joined_apart_from_where_they_are_found(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    sigs = [lf.signature(rng.integers(0, 1 << 63, 40, dtype=np.uint64)) for _ in range(2)]
+    sigs = [bytearray(sigs[k // 6].tobytes()) for k in range(12)]
+    classes = spark.createDataFrame(list(enumerate(sigs)), "cls bigint, sig binary")
+    far = spark.createDataFrame([(0, k // 6, k) for k in range(12)], "tree int, head bigint, cls bigint")
+    links = spark.createDataFrame([(0, 1), (0, 2), (6, 7)], "a bigint, b bigint")
+    roots = spark.createDataFrame([(1, 0), (2, 0), (7, 6), (0, 0), (6, 6)], "v bigint, root bigint")
+    plans, staged = {}, lf.staged
+    monkeypatch.setattr(lf, "staged", lambda df, tag: plans.update({tag: df._jdf.queryExecution().optimizedPlan().toString()}) or staged(df, tag))
+    got = {tuple(r)[:2] for r in lf._hubs(far, links, roots, classes).collect()}
+    hub = min(got)[0], max(got)[0]
+    assert hub[0] == 0 and hub[1] in (6, 7) and got == {(min(hub[k // 6], k), max(hub[k // 6], k)) for k in (3, 4, 5, 8, 9, 10, 11)}
+    assert "max(struct(" not in plans["hubs"]  # else the regions' rows meet in the tasks that find the hubs
