@@ -99,6 +99,16 @@ def test_search_tables(spark, nodes, tmp_path):
         Gazetteer.open(str(tmp_path / "none"), nodes)
 
 
+def test_a_key_of_the_kept_index(spark, nodes, tmp_path):
+    Gazetteer(nodes).save(str(tmp_path / "g"), nodes)
+    kept = Gazetteer.open(str(tmp_path / "g"), nodes)
+    rows = kept.index.where("key = 'C1.O11.'").select("key", "node_id")
+    assert rows.count() == 1 and "EqualTo(key" in rows._jdf.queryExecution().toString()
+    with pytest.raises(StoreError):
+        Gazetteer.open(str(tmp_path / "g"), nodes.where("id > 1"))
+    with pytest.raises(StoreError):
+        Gazetteer.open(str(tmp_path / "none"), nodes)
+
 def test_fingerprints_and_curve(spark):
     a = spark.createDataFrame([(1, "x"), (2, None)], "a int, b string")
     assert fingerprint(a) == fingerprint(a.select("b", "a").orderBy(F.desc("a"))) != fingerprint(a.where("a = 1"))
