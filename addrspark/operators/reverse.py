@@ -161,7 +161,8 @@ def _in_tile(k: int, tell: bool):
         side = FINE * WIDER**kind
         # by squares with some points each, so that those compared at once lie together
         across = max(1, int(np.sqrt(len(qid) / 32)))
-        square = [np.clip((v / side - t) * across, 0, across - 1).astype(int) for v, t in ((x, tx), (y, ty))]
+        span = max([float(np.ptp(v)) for v in (x, y) if len(v)], default=0.0) or 1.0
+        square = [np.minimum((v - v.min(initial=np.inf)) / span * across, across - 1).astype(int) for v in (x, y)]
         square = square[0] * across + square[1]
         order = np.lexsort((x, y, square))
         qid, x, y, square = qid[order], x[order], y[order], square[order]
