@@ -54,3 +54,38 @@ def test_tiles_and_parts(spark, monkeypatch):
         d = sorted((max(x0 - x, 0, x - x1) ** 2 + max(y0 - y, 0, y - y1) ** 2, i) for i, x0, y0, x1, y1 in boxes)
         want |= {(q, i) for v, i in d if v <= d[4][0]}
     assert got == want
+
+
+def test_paths_of_rows_without_a_parent(spark):
+    from addrspark.operators.tree import build_tree
+
+    keys = [["a"], ["a", "b", "c"], ["a", "b", "d"], ["e", "f"], ["e", "f", "g", "h"], ["a", "z"]]
+    rows = spark.createDataFrame([(k, k[-1], len(k)) for k in keys], "path_key array<string>, name string, level int")
+    got = {r["name"]: (r["id"], r["parent_id"], r["sibling_id"], r["path_ids"], r["path_names"], r["path_levels"]) for r in build_tree(rows).collect()}
+    assert got == {
+        "a": (1, 0, 5, [1], ["a"], [1]), "c": (2, 1, 3, [1, 2], ["a", "c"], [1, 3]), "d": (3, 1, 4, [1, 3], ["a", "d"], [1, 3]), "z": (4, 1, 5, [1, 4], ["a", "z"], [1, 2]),
+        "f": (5, 0, 7, [5], ["f"], [2]), "h": (6, 5, 7, [5, 6], ["f", "h"], [2, 4]),
+    }
+
+
+def test_expanded_rows_read_only_what_they_need(spark):
+    from addrspark.functions.rows import expand_rows
+
+    df = spark.createDataFrame([(k, "x" * k, [k]) for k in range(4)], "k bigint, t string, l array<int>")
+    got = expand_rows(df, lambda t: [(j,) for j in range(len(t))], ["t"], ["k", "l"], "j int")
+    assert got.columns == ["k", "l", "j"] and sorted((r["k"], r["l"], r["j"]) for r in got.collect()) == [(k, [k], j) for k in range(4) for j in range(k)]
+
+
+def test_prefixes_of_the_lengths_that_keys_have(spark):
+    from addrspark.operators.index import common_prefixes
+
+    texts, keys = spark.createDataFrame([("abcd",), ("ab",), ("",), (None,)], "text string"), spark.createDataFrame([("ab", 1), ("abcd", 2), ("b", 3)], "key string, node_id bigint")
+    want = sorted(map(tuple, common_prefixes(texts, keys).collect()))
+    assert sorted(map(tuple, common_prefixes(texts, keys, lengths=[1, 2, 4]).collect())) == want and len(want) == 3
+
+
+def test_letters_and_keys_in_one_pass():
+    from addrspark.operators.descent import _keys
+
+    assert sorted(_keys("A12.3", 0, False, ["A", "B"])) == [(0, "A"), (0, "A\0" + "1"), (0, "A\0" + "12")]
+    assert [*_keys("A1", 2, False, None)] == []
