@@ -271,9 +271,10 @@ def _gathered(near: DataFrame) -> DataFrame:
 
 
 def leaf_points(nodes: DataFrame) -> DataFrame:
-    """(item, node_id, nx, ny): for each node of a path the leaves with coordinates below it, or itself."""
-    leaves = nodes.where(has_coordinates() & is_leaf())
-    return leaves.select(F.explode("path_ids").alias("item"), F.col("id").alias("node_id"), F.col("x").alias("nx"), F.col("y").alias("ny"))
+    """(item, node_id, nx, ny): for each block the leaves with coordinates below it, and for each leaf itself; no other node is an item."""
+    leaves = with_path_levels(nodes).where(has_coordinates() & is_leaf())
+    over = F.array_union(F.transform(on_path("path_ids", [BLOCK]), lambda s: s["v"]), F.array("id"))
+    return leaves.select(F.explode(over).alias("item"), F.col("id").alias("node_id"), F.col("x").alias("nx"), F.col("y").alias("ny"))
 
 
 def choose(px: np.ndarray, py: np.ndarray, ids: np.ndarray, xs: np.ndarray, ys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

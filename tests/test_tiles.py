@@ -89,3 +89,10 @@ def test_letters_and_keys_in_one_pass():
 
     assert sorted(_keys("A12.3", 0, False, ["A", "B"])) == [(0, "A"), (0, "A\0" + "1"), (0, "A\0" + "12")]
     assert [*_keys("A1", 2, False, None)] == []
+
+
+def test_leaves_hang_on_what_may_be_an_item(spark):
+    rows = [(1, 1, 999.9, 9, [1], [1]), (2, 7, 1.0, 5, [1, 2], [1, 7]), (3, 8, 1.1, 4, [1, 2, 3], [1, 7, 8]), (4, 8, 1.2, 5, [1, 2, 4], [1, 7, 8]), (5, 7, 1.3, 6, [1, 5], [1, 7]), (6, 6, 1.4, 7, [1, 6], [1, 6])]
+    nodes = spark.createDataFrame([(i, level, x, 2.0, after, ids, levels) for i, level, x, after, ids, levels in rows], "id bigint, level int, x double, y double, sibling_id bigint, path_ids array<bigint>, path_levels array<int>")
+    got = sorted((r["item"], r["node_id"]) for r in reverse.leaf_points(nodes).collect())
+    assert got == [(2, 3), (2, 4), (3, 3), (4, 4), (5, 5), (6, 6)]  # none by the region
